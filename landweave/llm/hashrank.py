@@ -1,0 +1,34 @@
+"""Rank of rows by a hash within groups of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def hash_key(columns: list[str], seed: int) -> Column:
+    """A reproducible 64-bit number per row; the seed is hashed along."""
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def smallest_by_hash(df: DataFrame, groups: list[str], key: list[str], limit: str, seed: int, bits: int = 12) -> DataFrame:
+    """The rows of ``df`` with their ``rank`` (from 1) by hash within ``groups``, where rank <= ``limit``.
+
+    ``key`` must be unique within a group; ``limit`` is a column that is constant in a group. A
+    group is never gathered: rows fall into ``2**bits`` buckets by the first bits of the hash,
+    counts of buckets give offsets, and only rows of one bucket are ordered against each other.
+    Buckets that begin beyond the limit are left out before anything is sorted.
+    """
+    hashed = df.withColumn("_hash", hash_key(key, seed)).withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - bits).cast("int"))
+    counts = hashed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*groups, "_bucket").orderBy("_hash", *key)
+    same = [hashed[c].eqNullSafe(offsets[c]) for c in groups] + [hashed["_bucket"] == offsets["_bucket"]]
+    joined = hashed.join(offsets, same).drop(*[offsets[c] for c in groups], offsets["_bucket"])
+    return (
+        joined.where(F.col("_offset") < F.col(limit))
+        .withColumn("rank", F.col("_offset") + F.row_number().over(within))
+        .where(F.col("rank") <= F.col(limit))
+        .drop("_hash", "_bucket", "_offset")
+    )
