@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.llm.pieces import boundary_tables, coarsest_boundary, emit_pieces, oversized, piece_offsets, text_ranges
 from landweave.llm.skeleton import same_looking, skeleton_udf, with_skeletons
+from landweave.llm.tokens import token_ids, token_texts, vocabulary
 from landweave.sources.tables import current_rows, table
 
 
@@ -40,5 +42,43 @@ def p4_uniform(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("field", F.col("key").alias("pageid"), skeleton_udf("text").alias("text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p4_uniform": p4_uniform}
+PIECE_CHARS, OVERLAP_CHARS = 24_000, 200
+
+
+def _oversized_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    return text_ranges(oversized(table(spark, folder, "article_contents"), "pageid", "content", "fetched_at", PIECE_CHARS))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with an oversized current content, and the coarsest boundary that suffices."""
+    tables = boundary_tables(_oversized_ranges(spark, folder))
+    return coarsest_boundary(tables, PIECE_CHARS).select(F.col("key").alias("pageid"), "boundary")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of oversized contents with their offsets."""
+    ranges = _oversized_ranges(spark, folder)
+    offsets = piece_offsets(boundary_tables(ranges), PIECE_CHARS, OVERLAP_CHARS)
+    return emit_pieces(offsets, ranges).withColumnRenamed("key", "pageid")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return token_ids(table(spark, folder, "documents"), "doc_id", "text", vocabulary())
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: number of ids, and whether they decode to the text again."""
+    data = vocabulary()
+    documents = table(spark, folder, "documents")
+    texts = token_texts(p6_ids(spark, folder), "doc_id", data).withColumnRenamed("text", "decoded")
+    counts = p6_ids(spark, folder).select("doc_id", F.size("ids").alias("n_ids"))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", "text").join(texts, "doc_id").join(counts, "doc_id").select("doc_id", "n_ids", same.alias("same"))
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_groups": p4_groups, "p4_uniform": p4_uniform, "p5_found": p5_found, "p5_pieces": p5_pieces,
+    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip,
+}
 ORACLE: dict[str, str] = {}
