@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.llm.leaks import leaked_items, leaked_spans, remove_leaks
 from landweave.llm.pieces import boundary_tables, coarsest_boundary, emit_pieces, oversized, piece_offsets, text_ranges
+from landweave.llm.prose import STATISTICS, text_statistics, text_types
 from landweave.llm.skeleton import same_looking, skeleton_udf, with_skeletons
 from landweave.llm.tokens import token_ids, token_texts, vocabulary
 from landweave.sources.tables import current_rows, table
@@ -77,8 +79,58 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "text").join(texts, "doc_id").join(counts, "doc_id").select("doc_id", "n_ids", same.alias("same"))
 
 
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the evaluation items of which they contain a passage."""
+    return leaked_items(_spans(spark, folder), "doc_id")
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage: what is done with them, and the text without it."""
+    return remove_leaks(table(spark, folder, "documents"), "doc_id", "text", _spans(spark, folder))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation item and the number of documents into which it leaked."""
+    counts = p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n"))
+    items = table(spark, folder, "eval_items").select("item_id")
+    return items.join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every document and its type."""
+    measured = text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
+    return text_types(measured).select("doc_id", *[F.round(n, 6).alias(n) for n in STATISTICS], "kind", F.round("certainty", 4).alias("certainty"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are no prose: list, table or junk."""
+    measured = text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
+    return text_types(measured).where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_groups": p4_groups, "p4_uniform": p4_uniform, "p5_found": p5_found, "p5_pieces": p5_pieces,
-    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip,
+    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_clean": p7_clean, "p7_items": p7_items,
+    "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
-ORACLE: dict[str, str] = {}
+
+_WORDS = r"""list_filter(string_split_regex(lower(strip_accents(regexp_replace(nfc_normalize({0}), '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g'))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""
+_LEAKS = f"""
+items AS (SELECT item_id, {_WORDS.format("item_text")} AS w FROM eval_items WHERE item_text IS NOT NULL),
+passages AS (
+  SELECT item_id, unnest(list_transform(range(0, len(w) - least(12, len(w)) + 1), lambda i: list_slice(w, i + 1, i + least(12, len(w))))) AS g
+  FROM items WHERE len(w) > 0),
+texts AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+windows AS (
+  SELECT doc_id, unnest(list_transform(range(0, len(w) - n + 1), lambda i: list_slice(w, i + 1, i + n))) AS g
+  FROM texts CROSS JOIN (SELECT DISTINCT len(g) AS n FROM passages) WHERE len(w) >= n),
+found AS (SELECT DISTINCT doc_id, item_id FROM windows JOIN passages USING (g))"""
+ORACLE: dict[str, str] = {
+    "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",
+    "p7_items": f"""WITH {_LEAKS} SELECT i.item_id, count(f.doc_id) AS n_documents
+      FROM eval_items i LEFT JOIN found f USING (item_id) GROUP BY i.item_id""",
+}
