@@ -109,7 +109,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are no prose: list, table or junk."""
     measured = text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
-    return text_types(measured).where(F.col("kind") != "prose").select("doc_id", "kind")
+    return text_types(measured.select("doc_id", "votes")).where(F.col("kind") != "prose").select("doc_id", "kind")
 
 
 QUERIES = {
