@@ -77,8 +77,8 @@ def polygon_rings(wkt: Column) -> Column:
     flat = F.regexp_replace(body, r"\)\s*,\s*\(", "|")
     flat = F.regexp_replace(flat, r"[()]", "")
     point = lambda p: F.struct(
-        F.split(F.trim(p), r"\s+")[0].try_cast("double").alias("x"),
-        F.split(F.trim(p), r"\s+")[1].try_cast("double").alias("y"),
+        F.get(F.split(F.trim(p), r"\s+"), F.lit(0)).try_cast("double").alias("x"),
+        F.get(F.split(F.trim(p), r"\s+"), F.lit(1)).try_cast("double").alias("y"),
     )
     rings = F.transform(F.split(flat, r"\|"), lambda r: F.transform(F.split(r, ","), point))
     good = F.forall(rings, lambda r: F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))

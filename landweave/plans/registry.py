@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.plans import places
+from landweave.plans import places, spatial
 
-QUERIES = {**places.QUERIES}
-ORACLE = {**places.ORACLE}
+_MODULES = [places, spatial]
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
