@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -177,7 +178,7 @@ def scrub_title(text: Column, title: Column, *, squeeze_always: bool = True) ->
 def number_text(value: Column, default: str = "inconnue") -> Column:
     """Three decimals without trailing zeros."""
     number = number_or_null(value)
-    return F.coalesce(F.regexp_replace(F.format_string("%.3f", number), r"\.?0+$", ""), F.lit(default)) if default is not None else number
+    return F.when(number.isNull(), default).otherwise(F.regexp_replace(F.format_string("%.3f", number), r"\.?0+$", ""))
 
 
 def yes_no(value: Column) -> Column:
@@ -220,13 +221,17 @@ def word_pattern(word: str) -> str:
     return r"(^|[^a-z0-9])" + r"\s+".join(t + ("s?" if len(t) <= 4 and t.isalpha() else "") for t in tokens) + r"($|[^a-z0-9])"
 
 
+def _names(pattern: str, category: Column) -> Column:
+    return category.rlike(pattern)
+
+
 def article_types(categories: Column) -> Column:
     """Types that any of the categories names, in order of preference; ``other_or_unclear`` if none."""
     words = F.transform(F.coalesce(categories, F.array().cast("array<string>")), category_words)
     hits = []
     for kind, rules in vocab.ARTICLE_TYPE_WORDS.items():
         pattern = "|".join(dict.fromkeys(word_pattern(r) for r in rules))
-        hits.append(F.when(F.exists(words, lambda c, p=pattern: c.rlike(p)), F.lit(kind)))
+        hits.append(F.when(F.exists(words, partial(_names, pattern)), F.lit(kind)))
     found = F.array_compact(F.array(*hits))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other_or_unclear")))
 
