@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.plans import evaluation, places, spatial, texts
+from landweave.plans import evaluation, places, spatial, supervision, texts
 
-_MODULES = [places, spatial, evaluation, texts]
+_MODULES = [places, spatial, evaluation, texts, supervision]
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
 
