@@ -40,12 +40,21 @@ def nearest_prompt(rows: DataFrame, prompts: Sequence[tuple[str, Sequence[float]
 
     The labels' vectors are few constants in the plan: no join.
     """
-    scored = []
-    for label, v in sorted(prompts):
-        norm = float(np.linalg.norm(v)) or 1.0
-        scored.append(F.struct(dot(unit(F.col(vector)), F.array(*[F.lit(float(x) / norm) for x in v])).alias("score"), F.lit(label).alias("label")))
-    best = F.array_max(F.transform(F.array(*scored), lambda s: s["score"]))
-    return rows.withColumn("prediction", F.filter(F.array(*scored), lambda s: s["score"] == best)[0]["label"])
+    vectors = {label: np.asarray(v, dtype=float) / (float(np.linalg.norm(v)) or 1.0) for label, v in prompts}
+    return _best_label(rows, unit(F.col(vector)), {k: (vectors[k], 0.0) for k in sorted(vectors)})
+
+
+def _best_label(rows: DataFrame, features: Column, rows_of_weights: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+    """``rows`` with the label whose weights and bias give the greatest score; the first of equal ones.
+
+    The weights are one constant of the plan, as numbers of features x labels.
+    """
+    numbers = lambda v: "array(" + ", ".join(f"{float(x)!r}D" for x in v) + ")"
+    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    table = F.expr("array(" + ", ".join(f"named_struct('label', {text(k)}, 'w', {numbers(w)}, 'b', {float(b)!r}D)" for k, (w, b) in rows_of_weights.items()) + ")")
+    scored = rows.withColumn("_f", features).withColumn("_s", F.transform(table, lambda t: F.struct((dot(F.col("_f"), t["w"]) + t["b"]).alias("score"), t["label"].alias("label"))))
+    best = F.aggregate("_s", F.col("_s")[0], lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a))
+    return scored.withColumn("prediction", best["label"]).drop("_f", "_s")
 
 
 def mean_vectors(rows: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
@@ -145,9 +154,7 @@ def predict_probe(rows: DataFrame, probe: Probe, vector: str = "embedding") -> D
     """``rows`` with ``prediction``: scores as expressions of constants, no Python per row."""
     weights = probe.weights / probe.scale[:, None]
     bias = probe.bias - probe.mean @ weights
-    scored = [F.struct((dot(F.col(vector), F.array(*[F.lit(float(v)) for v in weights[:, k]])) + float(bias[k])).alias("score"), F.lit(name).alias("label")) for k, name in enumerate(probe.labels)]
-    best = F.array_max(F.transform(F.array(*scored), lambda s: s["score"]))
-    return rows.withColumn("prediction", F.filter(F.array(*scored), lambda s: s["score"] == best)[0]["label"])
+    return _best_label(rows, F.col(vector), {name: (weights[:, k], bias[k]) for k, name in enumerate(probe.labels)})
 
 
 def probe_grid(rows: DataFrame, configurations: DataFrame, *, label: str = "label", vector: str = "embedding", weight: str = "weight", split: str = "split") -> DataFrame:

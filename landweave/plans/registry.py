@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from landweave.plans import evaluation, flagship as _flagship, pipeline, places, spatial, supervision, texts
 
-from landweave.plans import evaluation, places, spatial, supervision, texts
-
-_MODULES = [places, spatial, evaluation, texts, supervision]
+_MODULES = [_flagship, places, spatial, evaluation, texts, supervision, pipeline]
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p3_found"](spark, folder)
+flagship = _flagship.flagship
