@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from landweave.functions.geo import lcc_forward, polygon_rings
+from landweave.operators.scale import evaluated
 
 #: Corners of the polygon that stands for a circle.
 CORNERS = 64
@@ -98,10 +99,56 @@ def clip_area(subject: Ring, convex: Ring) -> float:
     return abs(_signed_area(points))
 
 
+def convex_ring(rings: list[Ring]) -> Ring | None:
+    """The only ring counter-clockwise, if it is convex and winds once; else None."""
+    if len(rings) != 1:
+        return None
+    ring = [p for i, p in enumerate(rings[0]) if p != rings[0][i - 1]]
+    if len(ring) < 3:
+        return None
+    turns, turned = 0.0, []
+    for i in range(len(ring)):
+        a, b, c = ring[i - 2], ring[i - 1], ring[i]
+        u, v = (b[0] - a[0], b[1] - a[1]), (c[0] - b[0], c[1] - b[1])
+        cross = u[0] * v[1] - u[1] * v[0]
+        turned.append(cross)
+        turns += math.atan2(cross, u[0] * v[0] + u[1] * v[1])
+    if abs(abs(turns) - 2 * math.pi) > 1e-6 or not (min(turned) >= 0 or max(turned) <= 0):
+        return None
+    return ring if turns > 0 else ring[::-1]
+
+
 def region_area(a: list[Ring], b: list[Ring]) -> float:
     """Area of the intersection of two regions."""
-    one, two = signed_triangles(a), signed_triangles(b)
-    return max(0.0, sum(s * t * clip_area(x, y) for s, x in one for t, y in two))
+    one, two = convex_ring(a), convex_ring(b)
+    parts_a = [(1, one)] if one else signed_triangles(a)
+    parts_b = [(1, two)] if two else signed_triangles(b)
+    return max(0.0, sum(s * t * clip_area(x, y) for s, x in parts_a for t, y in parts_b))
+
+
+def disc_area(rings: list[Ring], radius: float) -> float:
+    """Area of a region inside the polygon that stands for the circle around the origin."""
+    outside = True
+    if len(rings) == 1 and len(rings[0]) < 64:
+        # nothing to clip if no edge comes near the circle
+        ring, r2 = rings[0], radius * radius
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            dx, dy = bx - ax, by - ay
+            length = dx * dx + dy * dy
+            t = max(0.0, min(1.0, -(ax * dx + ay * dy) / length)) if length else 0.0
+            if (ax + t * dx) ** 2 + (ay + t * dy) ** 2 < r2:
+                outside = False
+                break
+        if outside:
+            odd = False
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+                if (ay > 0) != (by > 0) and 0 < (bx - ax) * -ay / (by - ay) + ax:
+                    odd = not odd
+            return CORNERS / 2 * math.sin(2 * math.pi / CORNERS) * radius * radius if odd else 0.0
+    disc = circle(0.0, 0.0, radius)
+    one = convex_ring(rings)
+    parts = [(1, one)] if one else signed_triangles(rings)
+    return max(0.0, sum(s * clip_area(disc, t) for s, t in parts))
 
 
 def circle(x: float, y: float, radius: float) -> Ring:
@@ -118,12 +165,10 @@ def planar(regions: DataFrame, key: str, wkt: str, keep: list[str], *, project:
     if project:
         point = lambda p: F.struct(*[v.alias(n) for v, n in zip(lcc_forward(p["x"], p["y"]), "xy")])
         rings = F.transform(rings, lambda r: F.transform(r, point))
-    rows = rows.withColumn("rings", rings).where(F.col("rings").isNotNull()).drop(wkt)
-    flat = F.flatten("rings")
-    return rows.withColumns({
-        "minx": F.array_min(F.transform(flat, lambda p: p["x"])), "maxx": F.array_max(F.transform(flat, lambda p: p["x"])),
-        "miny": F.array_min(F.transform(flat, lambda p: p["y"])), "maxy": F.array_max(F.transform(flat, lambda p: p["y"])),
-    }).where(F.col("minx").isNotNull())
+    read = evaluated(rows, {"rings": rings}).where(F.col("rings").isNotNull()).drop(wkt)
+    side = lambda pick, axis: pick(F.transform(F.flatten("rings"), lambda p: p[axis]))
+    box = {"minx": side(F.array_min, "x"), "maxx": side(F.array_max, "x"), "miny": side(F.array_min, "y"), "maxy": side(F.array_max, "y")}
+    return evaluated(read, box).where(F.col("minx").isNotNull())
 
 
 def _cells(df: DataFrame, size: float) -> DataFrame:
@@ -149,20 +194,27 @@ def box_candidates(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     )
 
 
+def _flat(rings: Column) -> Column:
+    """Rings as flat arrays of numbers, which Arrow hands over without an object per point."""
+    return F.transform(rings, lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+
+
+def _read(rings: np.ndarray, x: float = 0.0, y: float = 0.0) -> list[Ring]:
+    shapes = []
+    for r in rings:
+        flat = r.tolist()
+        shapes.append([(a - x, b - y) for a, b in zip(flat[::2], flat[1::2])])
+    return shapes
+
+
 @F.pandas_udf(DoubleType())
 def _intersection(a: pd.Series, b: pd.Series) -> pd.Series:
-    read = lambda rings: [[(p["x"], p["y"]) for p in r] for r in rings]
-    return pd.Series([region_area(read(x), read(y)) for x, y in zip(a, b)], dtype=float)
+    return pd.Series([region_area(_read(x), _read(y)) for x, y in zip(a, b)], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def _in_circle(rings: pd.Series, x: pd.Series, y: pd.Series, radius: pd.Series) -> pd.Series:
-    out = np.zeros(len(rings))
-    for i, (shape, cx, cy, r) in enumerate(zip(rings, x, y, radius)):
-        disc = circle(0.0, 0.0, r)
-        parts = signed_triangles([[(p["x"] - cx, p["y"] - cy) for p in ring] for ring in shape])
-        out[i] = max(0.0, sum(s * clip_area(t, disc) for s, t in parts))
-    return pd.Series(out)
+    return pd.Series([disc_area(_read(shape, cx, cy), r) for shape, cx, cy, r in zip(rings, x, y, radius)], dtype=float)
 
 
 def overlay_shares(left: DataFrame, right: DataFrame, key: str, label: str, *, cell: float = 5000.0) -> DataFrame:
@@ -171,7 +223,7 @@ def overlay_shares(left: DataFrame, right: DataFrame, key: str, label: str, *, c
     Both sides come from ``planar``. The share is of the intersected area, not of the region.
     """
     pairs = box_candidates(left.select(key, "rings", "minx", "miny", "maxx", "maxy"), right.select(label, "rings", "minx", "miny", "maxx", "maxy"), cell)
-    areas = pairs.withColumn("area", _intersection("rings", "r_rings")).where(F.col("area") > 0)
+    areas = pairs.withColumn("area", _intersection(_flat(F.col("rings")), _flat(F.col("r_rings")))).where(F.col("area") > 0)
     sums = areas.groupBy(key, F.col(f"r_{label}").alias(label)).agg(F.sum("area").alias("area"))
     totals = sums.groupBy(key).agg(F.sum("area").alias("_total"))
     return sums.join(totals, key).select(key, label, "area", (F.col("area") / F.col("_total")).alias("share"))
@@ -190,7 +242,7 @@ def buffer_shares(points: DataFrame, regions: DataFrame, label: str, radii: list
     })
     pairs = box_candidates(boxes, regions.select(label, "rings", "minx", "miny", "maxx", "maxy"), cell)
     whole = CORNERS / 2 * math.sin(2 * math.pi / CORNERS)
-    covered = _in_circle("r_rings", "x", "y", "radius") / (whole * F.col("radius") * F.col("radius"))
+    covered = _in_circle(_flat(F.col("r_rings")), "x", "y", "radius") / (whole * F.col("radius") * F.col("radius"))
     shares = pairs.withColumn("share", covered).where(F.col("share") > 0)
     return shares.groupBy(*points.columns, "radius", F.col(f"r_{label}").alias("label")).agg(F.sum("share").alias("share"))
 

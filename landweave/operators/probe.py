@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def stack_embeddings(rows: DataFrame, embeddings: DataFrame, key: str, *, allow_missing: bool = False) -> DataFrame:
@@ -38,29 +39,57 @@ def dot(a: Column, b: Column) -> Column:
 def nearest_prompt(rows: DataFrame, prompts: Sequence[tuple[str, Sequence[float]]], vector: str = "embedding") -> DataFrame:
     """``rows`` with ``prediction``: the label whose prompt vector is most alike by cosine; ties to the first label by name.
 
-    The labels' vectors are few constants in the plan: no join.
+    The labels' vectors are few constants: no join.
     """
     vectors = {label: np.asarray(v, dtype=float) / (float(np.linalg.norm(v)) or 1.0) for label, v in prompts}
-    return _best_label(rows, unit(F.col(vector)), {k: (vectors[k], 0.0) for k in sorted(vectors)})
+    # the length of a row's own vector does not change which label is nearest
+    return _best_label(rows, F.col(vector), {k: (vectors[k], 0.0) for k in sorted(vectors)})
 
 
-def _best_label(rows: DataFrame, features: Column, rows_of_weights: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+def _best_label(rows: DataFrame, features: Column, weights: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
     """``rows`` with the label whose weights and bias give the greatest score; the first of equal ones.
 
-    The weights are one constant of the plan, as numbers of features x labels.
+    One matrix product per Arrow batch; the labels' weights travel with the function. Null
+    vectors have a null label.
     """
-    numbers = lambda v: "array(" + ", ".join(f"{float(x)!r}D" for x in v) + ")"
-    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    table = F.expr("array(" + ", ".join(f"named_struct('label', {text(k)}, 'w', {numbers(w)}, 'b', {float(b)!r}D)" for k, (w, b) in rows_of_weights.items()) + ")")
-    scored = rows.withColumn("_f", features).withColumn("_s", F.transform(table, lambda t: F.struct((dot(F.col("_f"), t["w"]) + t["b"]).alias("score"), t["label"].alias("label"))))
-    best = F.aggregate("_s", F.col("_s")[0], lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a))
-    return scored.withColumn("prediction", best["label"]).drop("_f", "_s")
+    names = np.asarray(list(weights), dtype=object)
+    matrix = np.stack([w for w, _ in weights.values()], axis=1)
+    bias = np.array([b for _, b in weights.values()])
+
+    @F.pandas_udf(StringType())
+    def label(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        known = vectors.notna().to_numpy()
+        if known.any():
+            out[known] = names[(np.stack(vectors[known].to_numpy()).astype(float) @ matrix + bias).argmax(1)]
+        return out
+
+    return rows.withColumn("prediction", label(features))
 
 
 def mean_vectors(rows: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
-    """Mean of the unit vectors of each label, as ``label, embedding``."""
-    cells = rows.select(label, F.posexplode(unit(F.col(vector))).alias("at", "x")).groupBy(label, "at").agg(F.avg("x").alias("x"))
-    return cells.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("embedding"))
+    """Mean of the unit vectors of each label, as ``label, embedding``.
+
+    Every partition adds up its vectors per label; only these sums are shuffled.
+    """
+    kind = rows.schema[label].dataType.simpleString()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            x = np.stack(batch["v"].to_numpy()).astype(float)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            for name, at in batch.groupby("label").indices.items():
+                total, n = sums.get(name, (0.0, 0))
+                sums[name] = (total + x[at].sum(0), n + len(at))
+        yield pd.DataFrame({"label": list(sums), "sums": [t.tolist() for t, _ in sums.values()], "n": [n for _, n in sums.values()]})
+
+    known = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("v"))
+    parts = known.mapInPandas(add, f"label {kind}, sums array<double>, n long")
+    cells = parts.select("label", "n", F.posexplode("sums").alias("at", "x")).groupBy("label", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    means = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("embedding"))
+    return means.withColumnRenamed("label", label)
 
 
 # ---- linear probes -----------------------------------------------------------------------------

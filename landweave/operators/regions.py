@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.geo import inside_rings, on_boundary, polygon_rings, ring_edges
+from landweave.operators.scale import evaluated
 
 #: Finest resolution: cells of world / 2**LEVELS.
 LEVELS = 24
@@ -19,16 +20,10 @@ LEVELS = 24
 def prepared_regions(regions: DataFrame, key: str, wkt: str, keep: list[str]) -> DataFrame:
     """``key``, ``keep``, ``edges`` and the bounding box; unreadable and repeated rows are dropped."""
     rows = regions.where(F.col(key).isNotNull()).select(key, *keep, wkt).distinct()
-    rings = rows.withColumn("_rings", polygon_rings(F.col(wkt))).where(F.col("_rings").isNotNull()).drop(wkt)
-    edges = rings.withColumn("edges", ring_edges(F.col("_rings"))).drop("_rings").where(F.size("edges") >= 3)
-    return edges.withColumns(
-        {
-            "minx": F.array_min(F.transform("edges", lambda e: e["ax"])),
-            "maxx": F.array_max(F.transform("edges", lambda e: e["ax"])),
-            "miny": F.array_min(F.transform("edges", lambda e: e["ay"])),
-            "maxy": F.array_max(F.transform("edges", lambda e: e["ay"])),
-        }
-    )
+    edges = evaluated(rows.select(key, *keep, wkt), {"edges": ring_edges(polygon_rings(F.col(wkt)))}).drop(wkt)
+    side = lambda pick, axis: pick(F.transform("edges", lambda e: e[axis]))
+    box = {"minx": side(F.array_min, "ax"), "maxx": side(F.array_max, "ax"), "miny": side(F.array_min, "ay"), "maxy": side(F.array_max, "ay")}
+    return evaluated(edges.where(F.size("edges") >= 3), box)
 
 
 def _index(value: Column, level: Column, span: float) -> Column:

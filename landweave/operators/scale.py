@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is heavy if it has more than one row in HEAVY of the total; at most HEAVY keys are.
@@ -22,3 +22,15 @@ def heavy_join(rows: DataFrame, side: DataFrame, on: str, count: str, total: int
     here = tagged.where(F.col("_heavy")).drop("_heavy")
     rest = rows.join(few.select(on), on, "left_anti").join(side.where(~heavy), on)
     return here.unionByName(rest)
+
+
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that are computed once per row.
+
+    A filter on a plain column is pushed below it, with the column's expression copied into it;
+    an expensive expression would be computed several times. Nothing is pushed through a
+    generator.
+    """
+    whole = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = df.select("*", F.explode(F.array(whole)).alias("_evaluated"))
+    return kept.select(*df.columns, *[F.col("_evaluated")[n].alias(n) for n in columns])
