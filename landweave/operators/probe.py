@@ -83,7 +83,8 @@ def mean_vectors(rows: DataFrame, label: str, vector: str = "embedding") -> Data
             for name, at in batch.groupby("label").indices.items():
                 total, n = sums.get(name, (0.0, 0))
                 sums[name] = (total + x[at].sum(0), n + len(at))
-        yield pd.DataFrame({"label": list(sums), "sums": [t.tolist() for t, _ in sums.values()], "n": [n for _, n in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"label": list(sums), "sums": [t.tolist() for t, _ in sums.values()], "n": [n for _, n in sums.values()]})
 
     known = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("v"))
     parts = known.mapInPandas(add, f"label {kind}, sums array<double>, n long")
