@@ -278,6 +278,15 @@ def test_learning_recovers_rates():
     assert prose.learn_types({})[0] == {}
 
 
+@pytest.mark.parametrize("run", ["xo", "-=", "= ", ". ", "=", "|", "#", "Ã©", "1", "• a\n"])
+def test_statistics_are_linear_on_long_runs(run):
+    import time
+
+    began = time.perf_counter()
+    prose.votes(prose.statistics(run * 60_000, [frozenset(COMMON)], {}))
+    assert time.perf_counter() - began < 5
+
+
 # ---- queries ----
 
 
