@@ -223,7 +223,6 @@ def model_agreement(records: DataFrame, groups: Sequence[str], models: tuple[str
 def class_distribution(records: DataFrame, groups: Sequence[str], label: str, labels: Sequence[str]) -> DataFrame:
     """Support and share of every label of ``labels`` per group, zeros included."""
     spine = F.transform(F.array(*[F.lit(x) for x in labels]), lambda x: F.struct(x.alias("label"), F.lit(0).alias("n")))
-    own = F.array(F.struct(F.col(label).alias("label"), F.lit(1).alias("n")))
     total = records.groupBy(*groups).agg(F.count("*").alias("total"))
     counts = records.groupBy(*groups, label).agg(F.count("*").alias("_n"))
     own = F.array(F.struct(F.col(label).alias("label"), F.col("_n").alias("n")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landweave import vocab
 from landweave.functions import columns as C
 from landweave.operators import artifacts
+from landweave.operators.scale import evaluated
 from landweave.plans import inputs
 from landweave.plans.inputs import case_sql, with_sql
 from landweave.sources.tables import table
@@ -180,14 +181,14 @@ _RAW_SQL = with_sql("records").rstrip() + """, raws AS (SELECT pageid, text_sour
 
 @query(_RAW_SQL + " SELECT pageid, text_source, array_to_string(labels, ',') AS labels, error FROM parsed")
 def f22_parse_response(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS)
-    return _responses(spark, folder).select("pageid", "text_source", F.array_join(parsed["labels"], ",").alias("labels"), parsed["error"].alias("error"))
+    rows = evaluated(_responses(spark, folder), {"parsed": C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS)})
+    return rows.select("pageid", "text_source", F.array_join("parsed.labels", ",").alias("labels"), F.col("parsed.error").alias("error"))
 
 
 @query(_RAW_SQL + " SELECT pageid, text_source, CASE WHEN error IS NULL AND len(labels) = 1 THEN labels[1] END AS prediction, CASE WHEN error IS NOT NULL THEN 'error' WHEN len(labels) > 1 THEN 'ambiguous' ELSE 'ok' END AS parse_status FROM parsed")
 def f23_single_label_result(spark: SparkSession, folder: str) -> DataFrame:
-    result = C.single_label_result(C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS))
-    return _responses(spark, folder).select("pageid", "text_source", result["prediction"].alias("prediction"), result["parse_status"].alias("parse_status"))
+    result = C.single_label_result(F.col("parsed"))
+    return evaluated(_responses(spark, folder), {"parsed": C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS)}).select("pageid", "text_source", result["prediction"].alias("prediction"), result["parse_status"].alias("parse_status"))
 
 
 @query(with_sql("records") + "SELECT pageid, model, text_source, CASE WHEN parse_status = 'ok' AND prediction NOT IN ('21','22','23','24','31','32') THEN 'unknown prediction labels: ' || prediction END AS problem FROM records")
