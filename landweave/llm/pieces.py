@@ -24,10 +24,6 @@ from pyspark.sql import functions as F
 
 #: Nominal range size in characters.
 RANGE = 16_384
-#: Word ends are only tabled in stretches without a coarser boundary longer than this ...
-SPARSE = 2_000
-#: ... and one in every so many characters.
-WORD_STEP = 64
 KINDS = ("paragraph", "sentence", "word", "none")
 
 _BREAK = re.compile(r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
@@ -58,8 +54,18 @@ def _summary(spans: list[tuple[int, int]], n: int) -> tuple[int, int, int]:
     return spans[0][0], inner, n - spans[-1][1]
 
 
-def range_boundaries(text: str) -> dict:
-    """The boundary table of one range."""
+def sparse_stretch(limit: int, overlap: int) -> int:
+    """The longest stretch without a coarser boundary in which no cut at a word end is looked for: the shorter half of the room."""
+    return limit // 2 - overlap
+
+
+def range_boundaries(text: str, sparse: int = 0) -> dict:
+    """The boundary table of one range.
+
+    Word ends are tabled in stretches without a coarser boundary that are longer than ``sparse``.
+    The first and the last stretch may go on in other ranges, so theirs are always tabled; the
+    end of the range is a word end if white space is before it.
+    """
     breaks = [m.span() for m in _BREAK.finditer(text)]
     ends = [m.span() for m in _SENTENCE.finditer(text)]
     # a gap between sentences may hold line breaks; separators are merged where they touch
@@ -72,15 +78,15 @@ def range_boundaries(text: str) -> dict:
     gaps = [m.span() for m in _SPACE.finditer(text)]
     paragraph_ends = sorted({b for _, b in breaks})
     sentence_ends = sorted({b for _, b in ends})
-    coarse = [0, *sorted({*paragraph_ends, *sentence_ends}), len(text)]
-    bare = [(a, b) for a, b in zip(coarse, coarse[1:]) if b - a > SPARSE]
+    ends_inside = {*paragraph_ends, *sentence_ends}
+    coarse = np.array(sorted({0, *ends_inside, len(text)}), dtype=np.int64)
     word_ends: list[int] = []
-    if bare:
+    if gaps:
+        bare = np.diff(coarse) > sparse
+        bare[[0, -1]] = True
         stops = np.array([b for _, b in gaps], dtype=np.int64)
-        for a, b in bare:
-            own = stops[(stops > a) & (stops < b)]
-            last = np.r_[np.diff(own // WORD_STEP) != 0, True][: len(own)] if len(own) else own.astype(bool)
-            word_ends += own[last].tolist()
+        stops = stops[bare[np.searchsorted(coarse, stops) - 1]]
+        word_ends = [b for b in stops.tolist() if b not in ends_inside]
     return {
         "n": len(text),
         "paragraph": _summary(breaks, len(text)),
@@ -175,12 +181,12 @@ def file_ranges(paths: DataFrame, size: int = 1 << 20) -> DataFrame:
     return planned.mapInPandas(read, "key string, range long, text string")
 
 
-def boundary_tables(ranges: DataFrame) -> DataFrame:
-    """The boundary table of every range."""
+def boundary_tables(ranges: DataFrame, sparse: int = 0) -> DataFrame:
+    """The boundary table of every range; ``sparse_stretch`` gives what a limit allows, 0 serves every limit."""
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tables = pd.DataFrame([range_boundaries(t) for t in batch["text"]])
+            tables = pd.DataFrame([range_boundaries(t, sparse) for t in batch["text"]])
             tables.insert(0, "range", batch["range"].to_numpy())
             tables.insert(0, "key", batch["key"].to_numpy())
             if len(tables):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.llm.leaks import leaked_items, leaked_spans, remove_leaks
-from landweave.llm.pieces import boundary_tables, coarsest_boundary, emit_pieces, oversized, piece_offsets, text_ranges
+from landweave.llm.pieces import boundary_tables, coarsest_boundary, emit_pieces, oversized, piece_offsets, sparse_stretch, text_ranges
 from landweave.llm.prose import STATISTICS, text_statistics, text_types
 from landweave.llm.skeleton import same_looking, skeleton_udf, with_skeletons
 from landweave.llm.tokens import token_ids, token_texts, vocabulary
@@ -53,14 +53,14 @@ def _oversized_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with an oversized current content, and the coarsest boundary that suffices."""
-    tables = boundary_tables(_oversized_ranges(spark, folder))
+    tables = boundary_tables(_oversized_ranges(spark, folder), sparse_stretch(PIECE_CHARS, OVERLAP_CHARS))
     return coarsest_boundary(tables, PIECE_CHARS).select(F.col("key").alias("pageid"), "boundary")
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of oversized contents with their offsets."""
     ranges = _oversized_ranges(spark, folder)
-    offsets = piece_offsets(boundary_tables(ranges), PIECE_CHARS, OVERLAP_CHARS)
+    offsets = piece_offsets(boundary_tables(ranges, sparse_stretch(PIECE_CHARS, OVERLAP_CHARS)), PIECE_CHARS, OVERLAP_CHARS)
     return emit_pieces(offsets, ranges).withColumnRenamed("key", "pageid")
 
 

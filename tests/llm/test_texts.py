@@ -104,6 +104,35 @@ def test_pieces_of_texts(spark):
         pieces.piece_offsets(tables, 100, 50)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(alphabet, max_size=120).map("".join), st.integers(3, 20), st.integers(8, 24), st.integers(0, 2))
+def test_cuts_do_not_depend_on_ranges(text, size, limit, overlap):
+    first, ends = 0, {k: [] for k in pieces.KINDS[:3]}
+    for part in ranges_of(text, size):
+        table = pieces.range_boundaries(part, pieces.sparse_stretch(limit, overlap))
+        for k in ends:
+            ends[k] += [first + e for e in table[f"{k}_ends"]]
+        first += len(part)
+    every = {"paragraph": BREAKS, "sentence": r"(?<=[.!?…])[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+", "word": r"\s+"}
+    expected = {k: np.array([m.end() for m in re.finditer(v, text)], dtype=np.int64) for k, v in every.items()}
+    found = {k: np.array(v, dtype=np.int64) for k, v in ends.items()}
+    assert pieces.choose_cuts(len(text), found, limit, overlap) == pieces.choose_cuts(len(text), expected, limit, overlap)
+
+
+def test_words_beside_a_range_border_are_cut_between():
+    text = ("Ab. " * 3720)[:14_876].rstrip() + " " + "word " * 290
+    text += "x" * 23_000 + " " + "Ab. " * 4000
+    first, ends = 0, {k: [] for k in pieces.KINDS[:3]}
+    for part in ranges_of(text, pieces.RANGE):
+        for k, v in pieces.range_boundaries(part).items():
+            if k.endswith("_ends"):
+                ends[k[:-5]] += [first + e for e in v]
+        first += len(part)
+    cuts = pieces.choose_cuts(len(text), {k: np.array(v, dtype=np.int64) for k, v in ends.items()}, 24_000, 200)
+    run = text.index("x")
+    assert any(b == run and kind == "word" for _, b, kind in cuts) and all(kind != "none" for _, _, kind in cuts)
+
+
 def test_byte_ranges_of_files(spark, tmp_path):
     random.seed(2)
     text = "".join(random.choice(["é", "a", "😀", " ", "\r\n", ". "]) for _ in range(20_000)) + " " * 9000 + "é"
