@@ -1,9 +1,9 @@
 """Embeddings: completeness, normalisation, linear probes, zero-shot labels.
 
 A probe is full-batch softmax regression on standardised features. The gradient of an epoch is
-a sum over rows, so a probe on many rows is trained by summing partial gradients of partitions;
-what travels is one matrix of features x labels. Many small probes (one per configuration) run
-side by side, each in one task.
+a sum over rows, so probes on many rows are trained by summing partial gradients of partitions,
+keyed by training set; what travels is one matrix of features x labels for each. Sets that fit
+into a task (``GATHER``) are trained in one task each, side by side, by the same epochs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from landweave.session import cut_lineage
+
+#: A training set of at most so many values is trained in one task.
+GATHER = 16_000_000
+
 
 def stack_embeddings(rows: DataFrame, embeddings: DataFrame, key: str, *, allow_missing: bool = False) -> DataFrame:
     """Inner join with a check: every key of ``rows`` must have an embedding, unless missing ones are allowed."""
@@ -142,42 +147,117 @@ def fit_probe(features: np.ndarray, labels: Sequence[str], *, weights: np.ndarra
     return Probe(names, model, bias, mean, scale)
 
 
-def fit_probe_distributed(rows: DataFrame, label: str, vector: str = "embedding", weight: str | None = None, *, seed: int = 0, epochs: int = 50, rate: float = 0.5, l2: float = 1e-3) -> Probe:
-    """The same on a table of any size: an epoch sums the partitions' gradients.
+def fit_probes(data: DataFrame, configurations: dict[str, tuple[str, dict]], *, gather: int = GATHER) -> dict[str, Probe]:
+    """A probe for each configuration ``name: (set, options)`` on a table of any size.
 
-    Null labels and vectors do not count. What reaches the driver in an epoch is one matrix of
-    features x labels per partition.
+    ``data`` has ``y`` (text), ``x`` (numbers) and ``sets``, an array of ``set, w``: the training
+    sets that hold the row, and its weight there. ``options`` are ``seed, epochs, rate, l2``. Sets
+    without two labels have no probe. Weights that add up to nothing count as 1 each.
     """
-    data = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("y"), F.col(vector).cast("array<double>").alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    names = [r[0] for r in data.select("y").distinct().orderBy("y").collect()]
-    if len(names) < 2:
-        raise ValueError("a probe needs two labels")
-    cells = data.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale")).orderBy("at").collect()
-    mean, scale = np.array([c["mean"] for c in cells]), np.array([c["scale"] or 1.0 for c in cells])
-    model = np.random.default_rng(seed).normal(0, 0.01, (len(mean), len(names)))
-    bias = np.zeros(len(names))
-    width = len(mean) * len(names) + len(names) + 1
+    tallies = data.select("y", F.inline("sets")).groupBy("set", "y").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()
+    names: dict[str, list[str]] = {}
+    size: dict[str, int] = {}
+    mass: dict[str, float] = {}
+    for t in sorted(tallies, key=lambda t: t["y"]):
+        names.setdefault(t["set"], []).append(t["y"])
+        size[t["set"]] = size.get(t["set"], 0) + t["n"]
+        mass[t["set"]] = mass.get(t["set"], 0.0) + t["w"]
+    wanted: dict[str, list[str]] = {}
+    for name, (of, _) in configurations.items():
+        if len(names.get(of, [])) > 1:
+            wanted.setdefault(of, []).append(name)
+    if not wanted:
+        return {}
+    width = len(data.select("x").first()["x"])
+    if max(size[s] for s in wanted) * width <= gather:
+        return _fit_gathered(data, configurations, wanted, mass)
+
+    data = cut_lineage(data)
+    first = _sums(data, wanted, lambda of, x, y, w: x.sum(0))
+    mean = {s: first[s] / size[s] for s in wanted}
+    spread = _sums(data, wanted, lambda of, x, y, w: ((x - mean[of]) ** 2).sum(0))
+    scale = {s: np.sqrt(spread[s] / size[s]) for s in wanted}
+    for v in scale.values():
+        v[v == 0] = 1.0
+    models = {}
+    for of, own in wanted.items():
+        for name in own:
+            start = np.random.default_rng(configurations[name][1]["seed"]).normal(0, 0.01, (width, len(names[of])))
+            models[name] = (start, np.zeros(len(names[of])))
+    for epoch in range(max(configurations[name][1]["epochs"] for name in models)):
+        open_ = {s: [name for name in own if epoch < configurations[name][1]["epochs"]] for s, own in wanted.items()}
+
+        def step(of: str, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+            x = (x - mean[of]) / scale[of]
+            hot = (y[:, None] == np.asarray(names[of], dtype=object)[None]).astype(float)
+            w = w if mass[of] > 0 else np.ones(len(w))
+            return np.concatenate([part.ravel() for name in open_[of] for part in _gradient(x, hot, w, *models[name])])
+
+        totals = _sums(data, {s: own for s, own in open_.items() if own}, step)
+        for of, total in totals.items():
+            n = mass[of] if mass[of] > 0 else size[of]
+            for name, part in zip(open_[of], np.split(total, len(open_[of]))):
+                o, (w, b) = configurations[name][1], models[name]
+                g = part[: w.size].reshape(w.shape)
+                models[name] = (w - o["rate"] * (g / n + o["l2"] * w), b - o["rate"] * part[w.size :] / n)
+    return {name: Probe(names[of], *models[name], mean[of], scale[of]) for of, own in wanted.items() for name in own}
+
+
+def _sums(data: DataFrame, sets, each) -> dict[str, np.ndarray]:
+    """Sum over the partitions of ``each(set, x, y, w)`` per set; the sums of a set meet in a task, one per set reaches the driver."""
+    sets = set(sets)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for batch in batches:
+            x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy()
+            at = np.repeat(np.arange(len(batch)), [len(s) for s in batch["sets"]])
+            of = np.array([m["set"] for own in batch["sets"] for m in own], dtype=object)
+            w = np.array([m["w"] for own in batch["sets"] for m in own], dtype=float)
+            for name, rows in pd.Series(of).groupby(of).indices.items():
+                if name in sets:
+                    total[name] = total.get(name, 0.0) + each(name, x[at[rows]], y[at[rows]], w[rows])
+        if total:
+            yield pd.DataFrame({"set": list(total), "sums": [v.tolist() for v in total.values()]})
 
-    def partial(current: tuple[np.ndarray, np.ndarray]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(width)
-            for batch in batches:
-                x = (np.stack(batch["x"].to_numpy()) - mean) / scale
-                hot = (batch["y"].to_numpy()[:, None] == np.asarray(names, dtype=object)[None]).astype(float)
-                w = batch["w"].to_numpy()
-                g, b = _gradient(x, hot, w, *current)
-                total += np.r_[g.ravel(), b, w.sum()]
-            yield pd.DataFrame({"sums": [total.tolist()]})
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"set": [group["set"].iloc[0]], "sums": [np.sum(np.stack(group["sums"].to_numpy()), axis=0).tolist()]})
 
-        return run
+    schema = "set string, sums array<double>"
+    found = data.mapInPandas(part, schema).groupBy("set").applyInPandas(add, schema).collect()
+    return {r["set"]: np.array(r["sums"]) for r in found}
 
-    for _ in range(epochs):
-        parts = data.mapInPandas(partial((model, bias)), "sums array<double>").collect()
-        total = np.sum([p["sums"] for p in parts], axis=0)
-        g, b, n = total[: model.size].reshape(model.shape), total[model.size : -1], total[-1]
-        model = model - rate * (g / n + l2 * model)
-        bias = bias - rate * b / n
-    return Probe(names, model, bias, mean, scale)
+
+def _fit_gathered(data: DataFrame, configurations: dict[str, tuple[str, dict]], wanted: dict[str, list[str]], mass: dict[str, float]) -> dict[str, Probe]:
+    """Every set in one task, for all its configurations."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        of = group["set"].iloc[0]
+        x, y = np.stack(group["x"].to_numpy()).astype(float), group["y"].tolist()
+        w = group["w"].to_numpy() if mass[of] > 0 else None
+        fitted = [fit_probe(x, y, weights=w, **configurations[name][1]) for name in wanted[of]]
+        return pd.DataFrame({
+            "name": wanted[of], "labels": [p.labels for p in fitted], "weights": [p.weights.ravel().tolist() for p in fitted],
+            "bias": [p.bias.tolist() for p in fitted], "mean": [p.mean.tolist() for p in fitted], "scale": [p.scale.tolist() for p in fitted],
+        })
+
+    rows = data.select("y", "x", F.inline("sets")).where(F.col("set").isin(*wanted))
+    schema = "name string, labels array<string>, weights array<double>, bias array<double>, mean array<double>, scale array<double>"
+    found = rows.groupBy("set").applyInPandas(run, schema).collect()
+    return {
+        r["name"]: Probe(list(r["labels"]), np.array(r["weights"]).reshape(-1, len(r["labels"])), np.array(r["bias"]), np.array(r["mean"]), np.array(r["scale"]))
+        for r in found
+    }
+
+
+def fit_probe_distributed(rows: DataFrame, label: str, vector: str = "embedding", weight: str | None = None, *, seed: int = 0, epochs: int = 50, rate: float = 0.5, l2: float = 1e-3, gather: int = GATHER) -> Probe:
+    """The same on a table of any size. Null labels and vectors do not count."""
+    one = F.array(F.struct(F.lit("all").alias("set"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")))
+    data = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("y"), F.col(vector).alias("x"), one.alias("sets"))
+    found = fit_probes(data, {"all": ("all", {"seed": seed, "epochs": epochs, "rate": rate, "l2": l2})}, gather=gather)
+    if not found:
+        raise ValueError("a probe needs two labels")
+    return found["all"]
 
 
 def predict_probe(rows: DataFrame, probe: Probe, vector: str = "embedding") -> DataFrame:
@@ -187,20 +267,37 @@ def predict_probe(rows: DataFrame, probe: Probe, vector: str = "embedding") -> D
     return _best_label(rows, F.col(vector), {name: (weights[:, k], bias[k]) for k, name in enumerate(probe.labels)})
 
 
-def probe_grid(rows: DataFrame, configurations: DataFrame, *, label: str = "label", vector: str = "embedding", weight: str = "weight", split: str = "split") -> DataFrame:
-    """Predictions of one probe per configuration (``config, l2, epochs, rate, seed, weighted``) on its evaluation rows.
+def probe_grid(rows: DataFrame, members: DataFrame, policies: dict[str, tuple[str, Column]], l2s: Sequence[float], *, seed: int = 42, epochs: int = 600, rate: float = 0.1, gather: int = GATHER) -> DataFrame:
+    """``policy, split, l2, key, target, prediction``: for each policy, evaluation split and L2, the split's rows as a probe labels them.
 
-    ``rows`` has ``split`` of train or eval. Every configuration trains in one task on all rows:
-    for tables beyond one worker's memory use ``fit_probe_distributed`` per configuration.
+    ``rows`` has ``key, label, embedding`` and what the policies' weights need; ``members`` has
+    ``key, split, tier``. A policy is a training tier and a weight. It trains on the rows of its
+    tier in the split ``train_for_`` the evaluation split, which hold none of that split's keys.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        c = group.iloc[0]
-        train, held = group[group[split] == "train"], group[group[split] == "eval"]
-        if train[label].nunique() < 2 or held.empty:
-            return pd.DataFrame({"config": [], "key": [], "target": [], "prediction": []})
-        probe = fit_probe(np.stack(train[vector].to_numpy()), train[label].tolist(), weights=train[weight].to_numpy() if c["weighted"] else None, seed=int(c["seed"]), epochs=int(c["epochs"]), rate=float(c["rate"]), l2=float(c["l2"]))
-        return pd.DataFrame({"config": c["config"], "key": held["key"].to_numpy(), "target": held[label].to_numpy(), "prediction": probe.predict(np.stack(held[vector].to_numpy()))})
-
-    spread = configurations.join(rows, F.lit(True))
-    return spread.groupBy("config").applyInPandas(run, "config string, key long, target string, prediction string")
+    known = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
+    training = members.where(F.col("split").startswith("train_for_")).select("key", F.expr("substring(split, 11)").alias("split"), "tier").distinct()
+    held = members.where(~F.col("split").startswith("train")).select("key", "split").distinct()
+    chosen = F.array(*[F.struct(F.lit(tier).alias("tier"), F.lit(policy).alias("policy"), weight.cast("double").alias("w")) for policy, (tier, weight) in policies.items()])
+    own = training.groupBy("key").agg(F.collect_list(F.struct("split", "tier")).alias("own"))
+    joined = known.select("key", F.col("label").alias("y"), F.col("embedding").alias("x"), chosen.alias("chosen")).join(own, "key")
+    sets = F.flatten(F.transform("chosen", lambda c: F.transform(F.filter("own", lambda o: o["tier"] == c["tier"]), lambda o: F.struct(F.concat_ws("|", c["policy"], o["split"]).alias("set"), c["w"].alias("w")))))
+    data = cut_lineage(joined.select("y", "x", sets.alias("sets")))
+    splits = [r["split"] for r in held.select("split").distinct().orderBy("split").collect()]
+    options = {"seed": seed, "epochs": epochs, "rate": rate}
+    grid = {(p, s, l2): f"{p}|{s}|{l2}" for p in policies for s in splits for l2 in l2s}
+    fitted = fit_probes(data, {name: (f"{p}|{s}", options | {"l2": l2}) for (p, s, l2), name in grid.items()}, gather=gather)
+    by_split: dict[str, list[tuple[str, float, Probe]]] = {}
+    for (p, s, l2), name in grid.items():
+        if name in fitted:
+            by_split.setdefault(s, []).append((p, l2, fitted[name]))
+
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for split, part in batch.groupby("split"):
+                x = np.stack(part["embedding"].to_numpy()).astype(float)
+                for policy, l2, model in by_split.get(split, []):
+                    yield pd.DataFrame({"policy": policy, "split": split, "l2": l2, "key": part["key"].to_numpy(), "target": part["label"].to_numpy(), "prediction": model.predict(x)})
+
+    scored = held.join(known.select("key", "label", "embedding"), "key").select("key", "split", "label", "embedding")
+    kind = scored.schema["key"].dataType.simpleString()
+    return scored.mapInPandas(guess, f"policy string, split string, l2 double, key {kind}, target string, prediction string")

@@ -147,7 +147,12 @@ def probe_splits(rows: DataFrame, *, seed: int = 42, per_class: int = 5, repeats
     return evals.join(flagged.select("pageid", "label", *keep), "pageid").select("pageid", "label", *keep, "split", "tier").unionByName(training)
 
 
-def policy_weight(policy: str) -> Column:
-    """Raw weight of a training policy, to be brought to mean 1: uniform, quality, or quality balanced by class."""
-    known = {"uniform": F.lit(1.0), "quality": F.col("weight_raw"), "class_balanced": F.col("weight_class_balanced"), "relevance": F.col("relevance_component"), "spatial": F.col("spatial_component"), "agreement": F.col("agreement_component")}
-    return known[policy]
+def training_policies() -> dict[str, tuple[str, Column]]:
+    """Training policies: the tier of the rows and their weight, of which only the proportions count."""
+    one, soft = F.lit(1.0), F.col("agreement_component") * F.col("spatial_component") * F.col("relevance_component")
+    return {
+        "all_unweighted": ("all", one), "spatial_only_unweighted": ("spatial_only", one),
+        "quality_spatial_hard": ("quality_spatial", one), "agreement_hard": ("text_spatial_agreement", one),
+        "all_quality_weighted": ("all", F.col("weight_raw")), "all_quality_weighted_class_balanced": ("all", F.col("weight_class_balanced")),
+        "spatial_soft_weighted": ("all", F.col("spatial_component")), "text_agreement_soft_weighted": ("all", soft),
+    }

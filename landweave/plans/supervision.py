@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landweave import vocab
 from landweave.functions import geo
+from landweave.functions.columns import lookup
 from landweave.operators import controls, metrics, probe, quality, reports, subsets
 from landweave.plans import inputs
 from landweave.plans.evaluation import LABELS, _rounded
 from landweave.plans.inputs import case_sql, with_sql
+from landweave.session import cut_lineage
 from landweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -128,17 +130,30 @@ def k7_linear_probe(spark: SparkSession, folder: str) -> DataFrame:
     return probe.predict_probe(rows, model).select("vec_id", F.col("label").cast("string").alias("target"), "prediction")
 
 
+def _page_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """``pageid, embedding``: the n-th page of a class has the n-th vector of the label in the class's place.
+
+    The tables hold no vectors of pages; pages beyond the vectors of their class have none.
+    """
+    vectors = table(spark, folder, "embeddings").where("embedding IS NOT NULL")
+    place = lookup(F.col("label"), {label: i for i, label in enumerate(sorted(LABELS))})
+    pages = inputs.pages(spark, folder).where("label IS NOT NULL").select("pageid", place.cast("int").alias("place"))
+    n = lambda key: F.row_number().over(Window.partitionBy("place").orderBy(key)).alias("n")
+    numbered = vectors.select("vec_id", "embedding", F.col("label").cast("int").alias("place")).select("embedding", "place", n("vec_id"))
+    return pages.select("pageid", "place", n("pageid")).join(numbered, ["place", "n"]).select("pageid", "embedding")
+
+
 @query()
 def k12_probe_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Probes of several strengths of L2, unweighted and weighted, scored on held-out vectors."""
-    rows = table(spark, folder, "embeddings").select(
-        F.col("vec_id").cast("long").alias("key"), F.col("label").cast("string").alias("label"), "embedding", F.lit(1.0).alias("weight"), F.when(F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0, "eval").otherwise("train").alias("split")
-    )
-    grid = [(f"l2={l2} weighted={w}", l2, 60, 0.5, 42, w) for l2 in (0.0, 1e-3) for w in (False, True)]
-    configs = spark.createDataFrame(grid, "config string, l2 double, epochs int, rate double, seed int, weighted boolean")
-    guesses = probe.probe_grid(rows, configs).withColumns({"parse_status": F.lit("ok"), "pageid": F.col("key")})
-    labels = [str(i) for i in range(10)]
-    return _rounded(metrics.supported(metrics.confusion_counts(guesses, ["config"]), ["config"], labels))
+    """Probes of eight training policies, all evaluation splits and four strengths of L2, scored on the held-out pages."""
+    pages = quality.with_weights(_weight_input(spark, folder).where("label IS NOT NULL").drop("weight_raw"))
+    rows = cut_lineage(probe.stack_embeddings(pages, _page_vectors(spark, folder), "pageid", allow_missing=True))
+    places = f33_geo_groups(spark, folder).select("pageid", "geo_group_20km")
+    members = cut_lineage(quality.probe_splits(rows.drop("embedding").join(places, "pageid")).select(F.col("pageid").alias("key"), "split", "tier"))
+    guesses = probe.probe_grid(rows.withColumn("key", F.col("pageid")), members, quality.training_policies(), (1e-5, 1e-4, 1e-3, 1e-2))
+    guesses = guesses.withColumns({"parse_status": F.lit("ok"), "pageid": F.col("key")})
+    by = ["policy", "split", "l2"]
+    return _rounded(metrics.supported(metrics.confusion_counts(guesses, by), by, LABELS))
 
 
 def _splits(spark: SparkSession, folder: str) -> DataFrame:

@@ -99,6 +99,35 @@ def test_probe(spark):
     assert all(r.prediction == r.label for r in guesses if r.key < 90) and next(r.prediction for r in guesses if r.key == 99) is None
 
 
+@pytest.mark.parametrize("gather", [0, probe.GATHER])
+def test_probe_grid(spark, gather):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (60, 3))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(0, 1, 60) > 0, "21", "31")
+    w = rng.uniform(0.1, 3, 60)
+    rows = spark.createDataFrame([(str(i), y[i], x[i].tolist(), float(w[i])) for i in range(60)], "key string, label string, embedding array<double>, weight double")
+    fold = [(str(i), f"fold_{i % 2}", "eval") for i in range(60)]
+    train = [(str(i), f"train_for_fold_{1 - i % 2}", t) for i in range(60) for t in (["all", "few"] if i < 40 else ["all"])]
+    members = spark.createDataFrame(fold + train + [("1", "train", "all"), ("99", "fold_0", "eval")], "key string, split string, tier string")
+    policies = {"plain": ("all", F.lit(1.0)), "weighted": ("all", F.col("weight")), "hard": ("few", F.lit(1.0)), "empty": ("none", F.lit(1.0))}
+    found = {(r.policy, r.split, r.l2, r.key): r.prediction for r in probe.probe_grid(rows, members, policies, (1e-4, 0.5), epochs=15, gather=gather).collect()}
+    expected = {}
+    for policy, most, weights in (("plain", 60, None), ("weighted", 60, w), ("hard", 40, None)):
+        for k in (0, 1):
+            own = [i for i in range(most) if i % 2 != k]
+            for l2 in (1e-4, 0.5):
+                model = probe.fit_probe(x[own], y[own], weights=None if weights is None else weights[own], seed=42, epochs=15, rate=0.1, l2=l2)
+                expected |= {(policy, f"fold_{k}", l2, str(i)): p for i, p in zip(range(k, 60, 2), model.predict(x[k::2]))}
+    assert found == expected
+
+
+def test_policies_of_the_grid():
+    assert set(quality.training_policies()) == {
+        "all_unweighted", "spatial_only_unweighted", "quality_spatial_hard", "agreement_hard",
+        "all_quality_weighted", "all_quality_weighted_class_balanced", "spatial_soft_weighted", "text_agreement_soft_weighted",
+    }
+
+
 def test_zero_shot_and_completeness(spark):
     df = spark.createDataFrame([(1, [3.0, 0.1]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "key long, embedding array<double>")
     assert [r.prediction for r in probe.nearest_prompt(df, [("b", [0.0, 1.0]), ("a", [5.0, 0.0])]).orderBy("key").collect()] == ["a", "b", "a"]
