@@ -124,9 +124,9 @@ def k10_zero_shot(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def k7_linear_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """Probe trained over all vectors, and its prediction for each."""
+    """Probe trained over all vectors with the reference's epochs, rate and L2, and its prediction for each."""
     rows = table(spark, folder, "embeddings")
-    model = probe.fit_probe_distributed(rows, "label", epochs=12)
+    model = probe.fit_probe_distributed(rows, "label", seed=42, epochs=500, rate=0.1, l2=1e-4)
     return probe.predict_probe(rows, model).select("vec_id", F.col("label").cast("string").alias("target"), "prediction")
 
 

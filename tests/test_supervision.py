@@ -121,6 +121,16 @@ def test_probe_grid(spark, gather):
     assert found == expected
 
 
+def test_probe_query_trains_to_the_end(spark, sf):
+    from landweave.plans.supervision import k7_linear_probe
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(rows.embedding.to_numpy()).astype(float)
+    model = probe.fit_probe(x, rows.label.astype(str).tolist(), seed=42, epochs=500, rate=0.1, l2=1e-4)
+    found = {r.vec_id: r.prediction for r in k7_linear_probe(spark, sf).collect()}
+    assert [found[i] for i in rows.vec_id] == model.predict(x).tolist()
+
+
 def test_policies_of_the_grid():
     assert set(quality.training_policies()) == {
         "all_unweighted", "spatial_only_unweighted", "quality_spatial_hard", "agreement_hard",
