@@ -1,4 +1,4 @@
-"""Queries on supervision quality, splits, controls and embeddings: F30 to F36, G7, H6, I1, K7 to K17."""
+"""Queries on supervision quality, splits, controls and embeddings: F30 to F36, G7, H6, I1, K7 to K16."""
 
 from __future__ import annotations
 
