@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType
 from landweave.session import cut_lineage
 
 #: A training set of at most so many values is trained in one task.
-GATHER = 16_000_000
+GATHER = 4_000_000
 
 
 def stack_embeddings(rows: DataFrame, embeddings: DataFrame, key: str, *, allow_missing: bool = False) -> DataFrame:
