@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions import columns as C
+from landweave.session import cut_lineage
 
 #: Characters of a text that a prompt holds.
 PROMPT_CHARS = 24_000
@@ -60,18 +61,24 @@ def ask(rows: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], b
 
 
 def classify(texts: DataFrame, task: str, source: str, labels: Sequence[str], model: Callable[[list[str]], list[str]], *, single: bool, key: str = "pageid", text: str = "text") -> DataFrame:
-    """``key, prediction (array), parse_status, error, raw_response, attempts`` with one retry of bad answers."""
+    """``key, prediction (array), parse_status, error, raw_response, attempts`` with one retry of bad answers.
+
+    One row per input row, also of a null or empty text. The model gets every first prompt once
+    and every retry prompt once: both attempts are written to the checkpoint folder before they
+    are read, because a model may answer the same prompt differently the next time. So the
+    model runs when this is called, not when the result is read.
+    """
     parsed = C.parse_response(F.col("raw_response"), labels)
     result = C.single_label_result(parsed) if single else C.multi_label_result(parsed, tolerate_unknown=task == "osm")
     array = (lambda p: F.when(p.isNotNull(), F.array(p))) if single else (lambda p: p)
 
     def read(rows: DataFrame, attempts: int) -> DataFrame:
         out = rows.withColumn("_r", result)
-        status = F.when(F.col("call_error").isNotNull(), "error").otherwise(F.col("_r.parse_status"))
+        status = F.when(F.col("call_error").isNotNull(), "error").otherwise(F.coalesce(F.col("_r.parse_status"), F.lit("error")))
         return out.select(key, "prompt", array(F.col("_r.prediction")).alias("prediction"), status.alias("parse_status"), F.coalesce("call_error", F.col("_r.error")).alias("error"), "raw_response", F.lit(attempts).alias("attempts"))
 
     prompts = texts.select(key, user_prompt(task, source, labels, F.col(text)).alias("prompt"))
-    first = read(ask(prompts, "prompt", model), 1)
+    first = cut_lineage(read(ask(prompts, "prompt", model), 1))
     bad = first.where(F.col("parse_status") != "ok").select(key, retry_prompt(F.col("prompt"), F.col("raw_response"), F.col("error"), single=single).alias("prompt"))
-    second = read(ask(bad, "prompt", model), 2)
+    second = cut_lineage(read(ask(bad, "prompt", model), 2))
     return first.where(F.col("parse_status") == "ok").unionByName(second).drop("prompt")

@@ -50,29 +50,20 @@ def target_feasible(universe: DataFrame, wanted: DataFrame, target: str = "targe
     return w.join(a, target, "left").select(target, "wanted", F.coalesce("available", F.lit(0)).alias("available"), (F.coalesce("available", F.lit(0)) >= F.col("wanted")).alias("feasible"))
 
 
-def _balanced(target: np.ndarray, guess: np.ndarray, labels: Sequence[str]) -> float:
-    recalls = [float((guess[target == x] == x).mean()) if (target == x).any() else 0.0 for x in labels]
-    return float(np.mean(recalls)) if recalls else 0.0
-
-
-def _scores(table: pd.DataFrame, labels: Sequence[str], n: int, counts: dict[str, int] | None, draws: int, seed: int) -> list[float]:
+def _scores(hit: np.ndarray, size: np.ndarray, other: int, n: int, counts: np.ndarray | None, draws: int, seed: int) -> list[float]:
     """Balanced accuracies of random selections of ``n`` rows, or of ``counts`` rows per target.
 
-    A selection only matters through its (target, right) counts, so a draw is a multivariate
-    hypergeometric sample of these, and no rows are picked.
+    ``size`` rows have each label as target, ``hit`` of them are right, ``other`` rows have none
+    of the labels. A selection only matters through these counts, so a draw is a multivariate
+    hypergeometric sample of them, and no rows are picked.
     """
     rng = np.random.default_rng(seed)
-    right = (table["target"] == table["prediction"]).to_numpy()
-    names = list(labels)
-    hit = np.array([int((right & (table["target"] == x)).sum()) for x in names])
-    size = np.array([int((table["target"] == x).sum()) for x in names])
-    other = len(table) - int(size.sum())
     if counts is None:
         cells = np.r_[hit, size - hit, other]
         taken = rng.multivariate_hypergeometric(cells, min(n, int(cells.sum())), size=draws, method="marginals")
-        h, m = taken[:, : len(names)], taken[:, len(names) : 2 * len(names)]
+        h, m = taken[:, : len(hit)], taken[:, len(hit) : 2 * len(hit)]
     else:
-        want = np.array([min(counts.get(x, 0), s) for x, s in zip(names, size)])
+        want = np.minimum(counts, size)
         h = np.stack([rng.hypergeometric(a, s - a, w, size=draws) if w else np.zeros(draws, dtype=int) for a, s, w in zip(hit, size, want)], 1)
         m = want[None] - h
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -98,15 +89,22 @@ def monte_carlo(members: DataFrame, universes: DataFrame, groups: Sequence[str],
     order = list(labels)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        expand = lambda column: pd.DataFrame({"target": np.repeat(group["target"].to_numpy(), group[column]), "prediction": np.where(np.repeat(group["right"].to_numpy(), group[column]), np.repeat(group["target"].to_numpy(), group[column]), "")})
-        everything, subset = expand("all_n"), expand("sub_n")
-        observed = _balanced(subset["target"].to_numpy(), subset["prediction"].to_numpy(), order)
+        right, target = group["right"].to_numpy(dtype=bool), group["target"].to_numpy()
+
+        def tally(column: str) -> tuple[np.ndarray, np.ndarray, int]:
+            n = group[column].to_numpy(dtype=np.int64)
+            size = np.array([n[target == x].sum() for x in order], dtype=np.int64)
+            return np.array([n[(target == x) & right].sum() for x in order], dtype=np.int64), size, int(n.sum() - size.sum())
+
+        everything, (hit, size, other) = tally("all_n"), tally("sub_n")
+        n = int(size.sum()) + other
+        observed = float(np.mean(np.where(size > 0, hit / np.maximum(size, 1), 0.0))) if order else 0.0
         first = {k: group[k].iloc[0] for k in keys}
         base = seed_of(seed, *first.values())
         out = []
-        for control, counts in (("same_n", None), ("same_targets", subset["target"].value_counts().to_dict())):
-            scores = _scores(everything, order, len(subset), counts, draws, base + (counts is not None))
-            out.append(pd.DataFrame({**first, "control": control, "draw": range(draws), "score": scores, "observed": observed, "n": len(subset)}))
+        for control, counts in (("same_n", None), ("same_targets", size)):
+            scores = _scores(*everything, n, counts, draws, base + (counts is not None))
+            out.append(pd.DataFrame({**first, "control": control, "draw": range(draws), "score": scores, "observed": observed, "n": n}))
         return pd.concat(out)
 
     kinds = dict(members.dtypes) | dict(universes.dtypes)

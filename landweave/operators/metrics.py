@@ -205,14 +205,17 @@ def multi_label(records: DataFrame, groups: Sequence[str], labels: Sequence[str]
     )
 
 
-def model_agreement(records: DataFrame, groups: Sequence[str], models: tuple[str, str]) -> DataFrame:
+def model_agreement(records: DataFrame, groups: Sequence[str], models: tuple[str, str], order: str = "row_idx") -> DataFrame:
     """Per group: records, share on which two models agree, and how often an agreed label is right.
 
-    A record that one model lacks counts as disagreement.
+    Of several records of a model for a page and target the first in ``order`` counts that is ok
+    and has a prediction; what one model lacks counts as disagreement, what both lack is left
+    out, and so are records without target.
     """
     a, b = models
-    first = lambda m: F.max(F.when(F.col("model") == m, F.col("prediction")))
-    wide = records.groupBy(*groups, "pageid").agg(first(a).alias("a"), first(b).alias("b"), F.max("target").alias("target"))
+    usable = records.where(surely(F.col("parse_status") == "ok") & F.col("prediction").isNotNull() & F.col("target").isNotNull() & F.col("model").isin(a, b))
+    first = lambda m: F.min(F.when(F.col("model") == m, F.struct(F.col(order).alias("o"), F.col("prediction").alias("p"))))["p"]
+    wide = usable.groupBy(*groups, "pageid", "target").agg(first(a).alias("a"), first(b).alias("b"))
     agree = surely(F.col("a") == F.col("b"))
     return _grouped(wide, groups).agg(
         F.count("*").alias("n"), F.count_if(agree).alias("n_agree"), safe_div(F.count_if(agree), F.count("*")).alias("agreement_rate"),

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave import vocab
 from landweave.functions.columns import boolish, lookup, number_or_null, present, surely
 from landweave.functions.geo import lcc_forward
+from landweave.operators.ranks import smallest_by_digest
 
+#: Groups that one packing takes; twice the 10 km cells that the Earth's surface has.
+MOST_GROUPS = 10_000_000
 TRAIN_TIERS = ("all", "spatial_only", "quality_spatial", "text_spatial_agreement")
 
 
@@ -86,11 +89,15 @@ def group_folds(groups: DataFrame, group: str, size: str, folds: int = 5) -> Dat
     """``group, fold``: groups packed into folds, the largest first, each into the smallest fold so far.
 
     Ties go by group name and by fold number. The packing is sequential by nature, so it runs in
-    one task on the table of groups, of which there is one row per cell of the map.
+    one task on the table of groups, whose size does not grow with the rows: there is one row
+    per cell of the map, and the Earth has 1.3 million cells of 20 km. More than ``MOST_GROUPS``
+    are refused rather than gathered.
     """
     import pandas as pd
 
     def pack(table: pd.DataFrame) -> pd.DataFrame:
+        if len(table) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups")
         table = table.sort_values(["size", "group"], ascending=[False, True])
         filled = [0] * folds
         chosen = []
@@ -113,9 +120,12 @@ def tier_flags(rows: DataFrame) -> DataFrame:
 
 
 def sample_per_class(rows: DataFrame, n: int, seed: int, *, label: str = "label", key: str = "pageid") -> DataFrame:
-    """Up to ``n`` rows per label: those with the smallest hashes of seed and key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return rows.where(F.col(label).isNotNull()).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    """Up to ``n`` rows per label: those with the smallest digests of seed and key.
+
+    Null labels and keys have no sample. No label is gathered: ranks go by digest buckets.
+    """
+    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("_n", F.lit(n))
+    return smallest_by_digest(known, [label], [key], "_n", seed).drop("_n", "rank")
 
 
 def probe_splits(rows: DataFrame, *, seed: int = 42, per_class: int = 5, repeats: int = 20, folds: int = 5, keep: Sequence[str] = ()) -> DataFrame:
@@ -132,8 +142,7 @@ def probe_splits(rows: DataFrame, *, seed: int = 42, per_class: int = 5, repeats
     evals = strict
     if repeats:
         spread = pool.withColumn("repeat", seeds)
-        rank = F.row_number().over(Window.partitionBy("repeat", "label").orderBy(F.xxhash64(F.lit(seed) + F.col("repeat"), "pageid"), "pageid"))
-        drawn = spread.withColumn("_rank", rank).where(F.col("_rank") <= per_class)
+        drawn = smallest_by_digest(spread.withColumn("_n", F.lit(per_class)), ["repeat", "label"], ["pageid"], "_n", F.lit(seed) + F.col("repeat"))
         evals = evals.unionByName(drawn.select("pageid", F.concat(F.lit("repeated_eval_seed_"), "repeat").alias("split"), F.lit("eval_repeated").alias("tier")))
     sizes = flagged.groupBy("geo_group_20km").agg(F.count("*").alias("size"))
     blocks = flagged.join(group_folds(sizes, "geo_group_20km", "size", folds), "geo_group_20km")

@@ -147,7 +147,8 @@ ORACLE["e6_majority_baseline"] = _RECORDS.rstrip() + """, c AS (SELECT model, te
   SELECT model, text_source, target AS majority_label, c AS majority_n, round(c / n, 6) AS majority_share FROM r WHERE rk = 1"""
 
 
-@query(_RECORDS.rstrip() + """, w AS (SELECT text_source, pageid, max(CASE WHEN model = 'model_g' THEN prediction END) AS a, max(CASE WHEN model = 'model_q' THEN prediction END) AS b, max(target) AS t FROM records GROUP BY ALL)
+@query(_RECORDS.rstrip() + """, w AS (SELECT text_source, pageid, target AS t, arg_min(prediction, (row_idx, prediction)) FILTER (WHERE model = 'model_g') AS a, arg_min(prediction, (row_idx, prediction)) FILTER (WHERE model = 'model_q') AS b
+    FROM records WHERE parse_status = 'ok' AND prediction IS NOT NULL AND target IS NOT NULL GROUP BY ALL)
   SELECT text_source, count(*) AS n, count(*) FILTER (WHERE a = b) AS n_agree, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS agreement_rate,
     round(coalesce(count(*) FILTER (WHERE a = b AND a = t) / nullif(count(*) FILTER (WHERE a = b), 0), 0), 6) AS agreed_precision FROM w GROUP BY text_source""")
 def e29_model_agreement(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,7 +84,8 @@ def g2_group_mean(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("weight_raw"), 6).alias("mean_weight"))
 
 
-@query()
+@query(_PAGES.rstrip() + """, r AS (SELECT label, pageid, row_number() OVER (PARTITION BY label ORDER BY left(md5('42:' || pageid), 15), pageid) AS rk FROM pages WHERE label IS NOT NULL)
+  SELECT label, pageid FROM r WHERE rk <= 5""")
 def g7_per_class_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quality.sample_per_class(inputs.pages(spark, folder), 5, 42).select("label", "pageid")
 
@@ -166,7 +167,17 @@ def k13_probe_splits(spark: SparkSession, folder: str) -> DataFrame:
     return _splits(spark, folder)
 
 
-@query()
+_FOLDS = with_sql("articles").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _LCC + """,
+  sizes AS (SELECT CAST(floor(x / 20000) AS BIGINT) || '_' || CAST(floor(y / 20000) AS BIGINT) AS g, count(*) AS n FROM xy GROUP BY 1),
+  ordered AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM sizes),
+  pack(i, g, fold, filled) AS (
+    SELECT 0::BIGINT, NULL::VARCHAR, NULL::INT, [0, 0, 0, 0, 0]::BIGINT[]
+    UNION ALL SELECT o.i, o.g, CAST(list_position(p.filled, list_min(p.filled)) - 1 AS INT),
+      list_transform(p.filled, lambda v, k: CASE WHEN k = list_position(p.filled, list_min(p.filled)) THEN v + o.n ELSE v END)
+    FROM pack p JOIN ordered o ON o.i = p.i + 1)"""
+
+
+@query(_FOLDS + " SELECT g AS geo_group_20km, fold FROM pack WHERE i > 0")
 def h6_group_folds(spark: SparkSession, folder: str) -> DataFrame:
     sizes = f33_geo_groups(spark, folder).groupBy("geo_group_20km").agg(F.count("*").alias("size"))
     return quality.group_folds(sizes, "geo_group_20km", "size")

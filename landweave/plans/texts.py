@@ -229,6 +229,24 @@ def k3_prompt_length(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.contents(spark, folder).select("pageid", F.length(prompt).cast("long").alias("n"))
 
 
+@query(with_sql("contents").rstrip() + """, t AS (SELECT pageid, contains(lower(left(coalesce(content, ''), 24000)), 'forêt') AS wood FROM contents)
+  SELECT pageid, CASE WHEN wood THEN '31' ELSE '21' END AS prediction, 'ok' AS parse_status, CASE WHEN wood THEN 1 ELSE 2 END AS attempts FROM t""")
+def k2_classify(spark: SparkSession, folder: str) -> DataFrame:
+    """Classification with a retry: the stub answers woods at once and everything else only when asked again."""
+    from landweave.operators.classify import classify
+
+    def model(prompts: list[str]) -> list[str]:
+        answers = []
+        for p in prompts:
+            wood = "forêt" in p.lower()
+            answers.append('{"labels":["31"]}' if wood else '{"label":"21"}' if "Retry the classification." in p else "no idea")
+        return answers
+
+    texts = inputs.contents(spark, folder).select("pageid", F.col("content").alias("text"))
+    rows = classify(texts, "corine_level2", "content", ["21", "31"], model, single=True)
+    return rows.select("pageid", F.col("prediction")[0].alias("prediction"), "parse_status", "attempts")
+
+
 @query("SELECT base, other FROM (VALUES " + ", ".join(f"('{b}', '{s}')" for b, s in vocab.SHUFFLED_OF.items()) + ") v(base, other)")
 def f27_source_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(vocab.SHUFFLED_OF.items()), "base string, other string")

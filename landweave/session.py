@@ -31,12 +31,25 @@ def local_session(name: str = "landweave", cpus: int | None = None, **conf: str)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only a session without that
-    setting and without a folder (tests, one machine) gets a temporary one.
+    The folder is the one that ``spark.checkpoint.dir`` names; only a session of one process
+    (``local``, as in tests) without that setting and without a folder gets a temporary one.
+    Any other session without a folder is refused: its executors could not share one.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors see; the checkpoint folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not one_process(context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landweave-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def one_process(master: str) -> bool:
+    """``local`` and ``local[n]``, but not ``local-cluster[...]``, whose executors are processes of their own."""
+    return master == "local" or master.startswith("local[")

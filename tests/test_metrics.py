@@ -74,7 +74,13 @@ def test_confusion_matrix_and_agreement(spark):
     df = spark.createDataFrame([(1, "21", "21", "ok"), (2, "21", "31", "ok"), (3, "31", "99", "ok")], SINGLE)
     rows = {r.target: (r.pred_21, r.pred_31) for r in metrics.confusion_matrix(metrics.confusion_counts(df, []), [], ["21", "31"]).collect()}
     assert rows == {"21": (1, 1), "31": (0, 0)}
-    both = spark.createDataFrame([(1, "a", "21", "21"), (1, "b", "21", "21"), (2, "a", "31", "21"), (2, "b", "31", "21"), (3, "a", "31", "31")], "pageid long, model string, target string, prediction string")
+    rows = [(1, "a", "21", "21"), (1, "b", "21", "21"), (2, "a", "31", "21"), (2, "b", "31", "21"), (3, "a", "31", "31")]
+    rows = [(*r, "ok", 1) for r in rows] + [
+        (1, "a", "21", "99", "ok", 2),  # not the first
+        (2, "b", "31", "99", "error", 0),  # not ok
+        (4, "a", None, "21", "ok", 1), (5, "b", "21", None, "ok", 1), (6, "c", "21", "21", "ok", 1),
+    ]
+    both = spark.createDataFrame(rows, "pageid long, model string, target string, prediction string, parse_status string, row_idx int")
     row = metrics.model_agreement(both, [], ("a", "b")).first()
     assert (row.n, row.n_agree, row.agreed_precision) == (3, 2, 0.5) and row.agreement_rate == pytest.approx(2 / 3)
 

@@ -172,6 +172,24 @@ def test_classify_with_retry(spark):
     rows = {r.pageid: r for r in classify.classify(texts, "corine_level2", "content", ["21", "31"], model, single=True).collect()}
     assert (rows["1"].prediction, rows["1"].attempts) == (["31"], 1) and (rows["2"].prediction, rows["2"].attempts) == (["31"], 2) and len(rows) == 3
 
+    def moody(prompts):
+        import random
+
+        return [random.choice(['{"labels":["31"]}', "no idea", None, '{"labels":["21","31"]}']) for _ in prompts]
+
+    many = spark.range(200).select(F.col("id").cast("string").alias("pageid"), F.lit("x").alias("text")).repartition(7)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(prompts):
+        asked.add(len(prompts))
+        return moody(prompts)
+
+    result = classify.classify(many, "corine_level2", "content", ["21", "31"], counted, single=True)
+    once, again = (sorted((r.pageid, r.parse_status, r.attempts) for r in result.collect()) for _ in range(2))
+    assert once == again and len({r[0] for r in once}) == len(once) == 200
+    assert asked.value == 200 + sum(r[2] == 2 for r in once)
+    assert classify.classify(many.limit(0), "osm", "content", ["wood"], counted, single=False).count() == 0
+
     def broken(prompts):
         raise RuntimeError("down")
 
