@@ -12,12 +12,13 @@ HEAVY = 1000
 def heavy_join(rows: DataFrame, side: DataFrame, on: str, count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``side``, which has one row per ``on`` with its number of ``rows``.
 
-    ``total`` is the sum of those counts. Heavy keys, of which there are at most ``HEAVY``, are
-    broadcast and their rows stay where they are; the rest meets in a shuffle in which no key
-    has more than one row in ``HEAVY``.
+    ``total`` is the sum of those counts: then there are fewer than ``HEAVY`` heavy keys, as each
+    has more than its share of it. They are broadcast and their rows stay where they are; the
+    rest meets in a shuffle in which no key has more than one row in ``HEAVY``. A smaller total
+    costs time, never rows.
     """
     heavy = F.col(count) * HEAVY > total
-    few = F.broadcast(side.where(heavy).limit(HEAVY).withColumn("_heavy", F.lit(True)))
+    few = F.broadcast(side.where(heavy).withColumn("_heavy", F.lit(True)))
     tagged = rows.join(few, on, "left")
     here = tagged.where(F.col("_heavy")).drop("_heavy")
     rest = rows.join(few.select(on), on, "left_anti").join(side.where(~heavy), on)
