@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy if it has more than one row in HEAVY of the total; at most HEAVY keys are.
+#: A key is heavy if it has more than one row in HEAVY of the total; at most HEAVY keys are ...
 HEAVY = 1000
+#: ... and if it has more rows than this: fewer are no burden for a task.
+LIGHT = 100_000
 
 
-def heavy_join(rows: DataFrame, side: DataFrame, on: str, count: str, total: int) -> DataFrame:
+def heavy_join(rows: DataFrame, side: DataFrame, on: str, count: str, total: int, light: int = LIGHT) -> DataFrame:
     """Inner join of ``rows`` with ``side``, which has one row per ``on`` with its number of ``rows``.
 
     ``total`` is the sum of those counts: then there are fewer than ``HEAVY`` heavy keys, as each
     has more than its share of it. They are broadcast and their rows stay where they are; the
     rest meets in a shuffle in which no key has more than one row in ``HEAVY``. A smaller total
-    costs time, never rows.
+    costs time, never rows. Where all rows together are ``light``, the plain join is the plan.
     """
-    heavy = F.col(count) * HEAVY > total
+    if total <= light:
+        return rows.join(side, on)
+    heavy = (F.col(count) * HEAVY > total) & (F.col(count) > light)
     few = F.broadcast(side.where(heavy).withColumn("_heavy", F.lit(True)))
     tagged = rows.join(few, on, "left")
     here = tagged.where(F.col("_heavy")).drop("_heavy")
