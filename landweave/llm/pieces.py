@@ -1,11 +1,12 @@
 """Splitting oversized texts at natural boundaries, range by range.
 
-A text is cut into ranges that different workers take. A range begins at the first visible
-character at or after its nominal start and reads on, past its nominal end, to where the next
-one begins; so neither a line break pair nor the white space after a full stop is ever torn,
-and a worker knows the boundaries in its range without the rest of the text. Each range gives a
-short boundary table. The tables of a text are stitched, lengths are summed up to offsets, cuts
-are chosen on offsets alone, and the pieces are put together from the ranges that they touch.
+A text is cut into ranges of fixed size where it is read, and a worker finds the boundaries in
+its range without the rest of the text. What a range cannot know by itself goes with its table:
+its first and last character, the white space that it begins with, and whether it ends in a
+full stop and white space. The tables of a text are stitched with these, lengths are summed up
+to offsets, cuts are chosen on offsets alone, and every piece is emitted from the one range that
+it begins in, which is read with a halo of a piece's length. No text is put together again, and
+boundaries do not depend on where ranges begin.
 
 Lengths and offsets count code points. A paragraph is text between line breaks; a sentence
 ends, within a paragraph, at ``.``, ``!``, ``?`` or ``…`` before white space; a word is a run
@@ -19,34 +20,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Nominal range size in characters.
-RANGE = 16_384
+#: Size of a range in characters; the halo of a piece's length is small beside it.
+RANGE = 1 << 18
+#: Ranges that are cut from a common slab, so that a long text is not run through once for every range.
+SLAB = 64
 KINDS = ("paragraph", "sentence", "word", "none")
 
-_BREAK = re.compile(r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
-_SENTENCE = re.compile(r"(?<=[.!?…])[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+")
+_BREAKS = "\n\r\v\f\x1c-\x1e\x85\u2028\u2029"
+_BREAK = re.compile(f"\r\n|[{_BREAKS}]")
+_SENTENCE = re.compile(rf"(?<=[.!?…])[^\S{_BREAKS}]+")
 _SPACE = re.compile(r"\s+")
-_VISIBLE = re.compile(r"\S")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not _BREAK.match(c))
+_STOPS = ".!?…"
 
+Spans = list[tuple[int, int]]
 
-def _starts(text: str, size: int) -> list[int]:
-    """Where ranges begin: at 0 and at the first visible character from every multiple of ``size``."""
-    starts = [0]
-    nominal = size
-    while nominal < len(text):
-        found = _VISIBLE.search(text, nominal)
-        if not found:
-            break
-        if found.start() > starts[-1]:
-            starts.append(found.start())
-        nominal = max(nominal + size, (found.start() // size + 1) * size)
-    return starts
 
+# ---- one range ---------------------------------------------------------------------------------
 
-def _summary(spans: list[tuple[int, int]], n: int) -> tuple[int, int, int]:
+
+def _summary(spans: Spans, n: int) -> tuple[int, int, int]:
     """Length before the first separator, longest between two, after the last; (n, -1, n) if there is none."""
     if not spans:
         return n, -1, n
@@ -54,151 +50,83 @@ def _summary(spans: list[tuple[int, int]], n: int) -> tuple[int, int, int]:
     return spans[0][0], inner, n - spans[-1][1]
 
 
+def _merged(spans: Spans) -> Spans:
+    """Sorted spans, those that touch made one."""
+    marks: Spans = []
+    for a, b in sorted(spans):
+        if marks and a <= marks[-1][1]:
+            marks[-1] = (marks[-1][0], max(b, marks[-1][1]))
+        else:
+            marks.append((a, b))
+    return marks
+
+
 def sparse_stretch(limit: int, overlap: int) -> int:
     """The longest stretch without a coarser boundary in which no cut at a word end is looked for: the shorter half of the room."""
     return limit // 2 - overlap
 
 
 def range_boundaries(text: str, sparse: int = 0) -> dict:
-    """The boundary table of one range.
+    """The boundary table of one range, as if white space before it followed no full stop.
 
     Word ends are tabled in stretches without a coarser boundary that are longer than ``sparse``.
-    The first and the last stretch may go on in other ranges, so theirs are always tabled; the
-    end of the range is a word end if white space is before it.
+    The first and the last stretch may go on in other ranges, so theirs are always tabled.
+    ``lead`` is the length of the blanks (white space that breaks no line) that the range begins
+    with, ``stop`` tells whether it ends in a full stop and blanks (1), consists of blanks (2) or
+    neither (0); ``sentence_led`` is the summary if a full stop is before the range.
     """
+    n = len(text)
     breaks = [m.span() for m in _BREAK.finditer(text)]
     ends = [m.span() for m in _SENTENCE.finditer(text)]
-    # a gap between sentences may hold line breaks; separators are merged where they touch
-    marks: list[tuple[int, int]] = []
-    for a, b in sorted(breaks + ends):
-        if marks and a <= marks[-1][1]:
-            marks[-1] = (marks[-1][0], max(b, marks[-1][1]))
-        else:
-            marks.append((a, b))
+    lead = n - len(text.lstrip(_BLANKS))
+    inner = len(text.rstrip(_BLANKS))
+    marks = _merged(breaks + ends)
     gaps = [m.span() for m in _SPACE.finditer(text)]
-    paragraph_ends = sorted({b for _, b in breaks})
-    sentence_ends = sorted({b for _, b in ends})
+    paragraph_ends = [b for _, b in breaks]
+    sentence_ends = [b for _, b in ends]
     ends_inside = {*paragraph_ends, *sentence_ends}
-    coarse = np.array(sorted({0, *ends_inside, len(text)}), dtype=np.int64)
     word_ends: list[int] = []
     if gaps:
+        coarse = np.array(sorted({0, *ends_inside, n}), dtype=np.int64)
         bare = np.diff(coarse) > sparse
         bare[[0, -1]] = True
         stops = np.array([b for _, b in gaps], dtype=np.int64)
         stops = stops[bare[np.searchsorted(coarse, stops) - 1]]
         word_ends = [b for b in stops.tolist() if b not in ends_inside]
     return {
-        "n": len(text),
-        "paragraph": _summary(breaks, len(text)),
-        "sentence": _summary(marks, len(text)),
-        "word": _summary(gaps, len(text)),
+        "n": n,
+        "first": text[:1],
+        "last": text[-1:],
+        "lead": lead,
+        "stop": 2 if lead == n else int(text[inner - 1] in _STOPS),
+        "paragraph": _summary(breaks, n),
+        "sentence": _summary(marks, n),
+        "sentence_led": _summary(_merged([(0, lead), *marks]), n) if lead else _summary(marks, n),
+        "word": _summary(gaps, n),
         "paragraph_ends": paragraph_ends,
         "sentence_ends": sentence_ends,
         "word_ends": word_ends,
     }
 
 
-_TABLE = (
-    "key string, range long, n long, paragraph array<long>, sentence array<long>, word array<long>, "
-    "paragraph_ends array<long>, sentence_ends array<long>, word_ends array<long>"
-)
+# ---- stitching the tables of a text ------------------------------------------------------------
 
 
-def oversized(texts: DataFrame, key: str, text: str, stamp: str, limit: int) -> DataFrame:
-    """``key, text`` of the current rows with more than ``limit`` code points.
-
-    Only keys, stamps and lengths of all rows are shuffled; the text of a row travels only if
-    it is too long itself. A null text has no length; null keys are left out.
-    """
-    length = F.char_length(text)
-    rows = texts.where(F.col(key).isNotNull())
-    newest = rows.groupBy(key).agg(F.max(F.struct(F.col(stamp).alias("stamp"), F.coalesce(length, F.lit(-1)).alias("length"))).alias("newest"))
-    wanted = newest.where(F.col("newest.length") > limit).select(F.col(key).cast("string").alias("key"), "newest.stamp", "newest.length")
-    big = rows.where(length > limit).select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("stamp"), F.col(text).alias("text"))
-    same = (big["key"] == wanted["key"]) & big["stamp"].eqNullSafe(wanted["stamp"]) & (F.char_length(big["text"]) == wanted["length"])
-    return big.join(wanted, same, "left_semi").groupBy("key").agg(F.max("text").alias("text"))
-
+def _led(tables: pd.DataFrame) -> list[bool]:
+    """Of every range in order: do its first blanks follow a full stop?"""
+    found, state = [], False
+    for n, stop in zip(tables["n"], tables["stop"]):
+        found.append(state)
+        if n and stop != 2:
+            state = bool(stop)
+    return found
 
-def text_ranges(texts: DataFrame, size: int = RANGE) -> DataFrame:
-    """``key, range, text`` of the ranges of ``key, text``, spread over the cluster."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, text in batch[["key", "text"]].itertuples(index=False):
-                starts = _starts(text, size)
-                parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
-                yield pd.DataFrame({"key": key, "range": range(len(parts)), "text": parts})
-
-    ranges = texts.where(F.col("text").isNotNull()).select("key", "text").mapInPandas(cut, "key string, range long, text string")
-    return ranges.repartition("key", "range")
-
-
-def file_ranges(paths: DataFrame, size: int = 1 << 20) -> DataFrame:
-    """``key, range, text`` of UTF-8 files by byte ranges; no file is read as a whole.
-
-    ``paths`` has ``key, path`` (null paths are left out); every worker must see the files. A
-    worker seeks to its nominal range, skips to the first visible character from there, and
-    reads on beyond the end to the same point of the next range. Damaged bytes become U+FFFD.
-    An empty file gives one empty range.
-    """
-    import os
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, path in batch[["key", "path"]].itertuples(index=False):
-                n = max(1, -(-os.path.getsize(path) // size))
-                yield pd.DataFrame({"key": key, "path": path, "range": range(n)})
-
-    def visible(handle, at: int) -> int:
-        """First byte from ``at`` on that begins a visible character; the end of the file otherwise."""
-        if at == 0:
-            return 0
-        handle.seek(at)
-        held, base = b"", at
-        while True:
-            held += handle.read(4096)
-            skip = next((i for i, b in enumerate(held[:4]) if b & 0xC0 != 0x80), 0)
-            text = held[skip:].decode("utf-8", "ignore")
-            found = _VISIBLE.search(text)
-            if found:
-                return base + skip + len(text[: found.start()].encode())
-            if handle.tell() - base - len(held) or len(held) < 4096:
-                return base + len(held)
-            base, held = base + len(held) - 3, held[-3:]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, path, number in batch[["key", "path", "range"]].itertuples(index=False):
-                with open(path, "rb") as handle:
-                    begin, end = visible(handle, number * size), visible(handle, (number + 1) * size)
-                    handle.seek(begin)
-                    text = handle.read(max(0, end - begin)).decode("utf-8", "replace")
-                if text or number == 0:
-                    yield pd.DataFrame({"key": [key], "range": [number], "text": [text]})
-
-    planned = paths.where(F.col("path").isNotNull()).select(F.col("key").cast("string").alias("key"), "path")
-    planned = planned.mapInPandas(plan, "key string, path string, range long").repartition("key", "range")
-    return planned.mapInPandas(read, "key string, range long, text string")
-
-
-def boundary_tables(ranges: DataFrame, sparse: int = 0) -> DataFrame:
-    """The boundary table of every range; ``sparse_stretch`` gives what a limit allows, 0 serves every limit."""
-
-    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tables = pd.DataFrame([range_boundaries(t, sparse) for t in batch["text"]])
-            tables.insert(0, "range", batch["range"].to_numpy())
-            tables.insert(0, "key", batch["key"].to_numpy())
-            if len(tables):
-                yield tables
-
-    return ranges.mapInPandas(detect, _TABLE)
-
-
-def longest_segments(table: pd.DataFrame, kind: str) -> int:
+def longest_segment(tables: pd.DataFrame, kind: str) -> int:
     """Longest text between separators of a kind, over the ranges of a text in order."""
+    rows = tables[kind] if kind != "sentence" else [b if led else a for a, b, led in zip(tables["sentence"], tables["sentence_led"], _led(tables))]
     longest, run = 0, 0
-    for n, (head, inner, tail) in zip(table["n"], table[kind]):
+    for n, (head, inner, tail) in zip(tables["n"], rows):
         if inner < 0 and head == n == tail:
             run += n
             continue
@@ -206,16 +134,29 @@ def longest_segments(table: pd.DataFrame, kind: str) -> int:
     return max(longest, run)
 
 
-def coarsest_boundary(tables: DataFrame, limit: int) -> DataFrame:
-    """``key, boundary``: the coarsest kind of boundary at which every part has at most ``limit``."""
-
-    def stitch(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("range")
-        found = next((k for k in KINDS[:3] if longest_segments(table, k) <= limit), "none")
-        return pd.DataFrame({"key": [table["key"].iloc[0]], "boundary": [found]})
-
-    rows = tables.select("key", "range", "n", "paragraph", "sentence", "word")
-    return rows.groupBy("key").applyInPandas(stitch, "key string, boundary string")
+def stitched_ends(tables: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where the ranges of a text begin (and where it ends), and the ends of each kind, as offsets in the text."""
+    first = np.r_[0, np.cumsum(tables["n"].to_numpy(dtype=np.int64))]
+    ends: dict[str, list[np.ndarray]] = {k: [] for k in KINDS[:3]}
+    led = _led(tables)
+    following, after = [], ""
+    for c in reversed(tables["first"].tolist()):
+        following.append(after)
+        after = c or after
+    following.reverse()
+    for i, row in enumerate(tables[["n", "last", "lead", *[f"{k}_ends" for k in KINDS[:3]]]].itertuples(index=False)):
+        n, last, lead = row[:3]
+        after = following[i]
+        for kind, values in zip(KINDS[:3], row[3:]):
+            own = np.asarray(values, dtype=np.int64)
+            if kind == "sentence" and led[i] and lead:
+                own = np.r_[lead, own]
+            # what ends with the range goes on if the next one begins with more of it
+            goes_on = last == "\r" and after == "\n" if kind == "paragraph" else after in _BLANKS if kind == "sentence" else after.isspace()
+            if len(own) and own[-1] == n and after and goes_on:
+                own = own[:-1]
+            ends[kind].append(own + first[i])
+    return first, {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in ends.items()}
 
 
 def choose_cuts(n: int, ends: dict[str, np.ndarray], limit: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -241,38 +182,210 @@ def choose_cuts(n: int, ends: dict[str, np.ndarray], limit: int, overlap: int) -
     return pieces
 
 
+# ---- the ranges of texts in a table ------------------------------------------------------------
+
+
+def _version(stamp: str, text: str) -> dict[str, Column]:
+    """What tells versions of a text apart: the stamp, the length and a 64-bit digest."""
+    return {"stamp": F.col(stamp), "length": F.coalesce(F.char_length(text), F.lit(-1)), "digest": F.xxhash64(text)}
+
+
+VERSION = ("key", "stamp", "length", "digest")
+
+
+def oversized(texts: DataFrame, key: str, text: str, stamp: str, limit: int) -> DataFrame:
+    """``key, stamp, length, digest`` of the current rows with more than ``limit`` code points, one per key.
+
+    The current row has the greatest stamp; of rows that tie the longest. Only keys, stamps,
+    lengths and digests are shuffled, counted down within each task first. A null text has no
+    length; null keys are left out.
+    """
+    parts = _version(stamp, text)
+    rows = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.struct(*[c.alias(n) for n, c in parts.items()]).alias("version"))
+    newest = rows.groupBy("key").agg(F.max("version").alias("v"))
+    return newest.where(F.col("v.length") > limit).select("key", *[F.col(f"v.{n}").alias(n) for n in parts])
+
+
+def text_ranges(texts: DataFrame, key: str, text: str, stamp: str, limit: int, *, size: int = RANGE, ahead: int = 0) -> DataFrame:
+    """``key, stamp, length, digest, range, text`` of all texts longer than ``limit``, cut where they are read.
+
+    A range has ``size`` characters and ``ahead`` more, as far as the text has them.
+    """
+    slab = size * SLAB
+    rows = texts.where(F.col(key).isNotNull() & (F.char_length(text) > limit))
+    named = rows.select(F.col(key).cast("string").alias("key"), *[c.alias(n) for n, c in _version(stamp, text).items()], F.col(text).alias("text"))
+    piece = lambda at, n: F.substring("text", (at * n + 1).cast("int"), F.lit(n + ahead))
+    count = lambda length, n: F.sequence(F.lit(0), F.greatest(F.ceil(length / n).cast("int") - 1, F.lit(0)))
+    slabs = named.select(*VERSION, "text", F.explode(count(F.col("length"), slab)).alias("slab")).select(*VERSION, "slab", piece(F.col("slab"), slab).alias("text"))
+    inside = F.least(F.col("length") - F.col("slab") * slab, F.lit(slab))
+    ranges = slabs.select(*VERSION, "slab", "text", F.explode(count(inside, size)).alias("at"))
+    return ranges.select(*VERSION, (F.col("slab") * SLAB + F.col("at")).cast("long").alias("range"), piece(F.col("at"), size).alias("text"))
+
+
+_TABLE = (
+    "n long, first string, last string, lead long, stop int, paragraph array<long>, sentence array<long>, sentence_led array<long>, word array<long>, "
+    "paragraph_ends array<long>, sentence_ends array<long>, word_ends array<long>"
+)
+
+
+def boundary_tables(ranges: DataFrame, sparse: int = 0) -> DataFrame:
+    """The boundary table of every range, with all other columns of the range kept.
+
+    ``sparse_stretch`` gives what a limit allows, 0 serves every limit.
+    """
+    kept = [c for c in ranges.columns if c != "text"]
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                tables = pd.DataFrame([range_boundaries(t, sparse) for t in batch["text"]])
+                yield pd.concat([batch[kept].reset_index(drop=True), tables], axis=1)
+
+    kinds = dict(ranges.dtypes)
+    return ranges.mapInPandas(detect, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", " + _TABLE)
+
+
+def current_tables(tables: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, range`` and the table of the wanted versions; repeated rows give one table.
+
+    Repeats are brought down to one within each task before anything is shuffled.
+    """
+    columns = [c for c in tables.columns if c not in (*VERSION, "range")]
+    once = tables.groupBy(*VERSION, "range").agg(F.any_value(F.struct(*columns)).alias("t"))
+    w = wanted.select(*[F.col(c).alias(f"w_{c}") for c in VERSION])
+    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) if c == "stamp" else F.col(c) == F.col(f"w_{c}") for c in VERSION]
+    return once.join(w, same, "left_semi").select(*VERSION, "range", "t.*")
+
+
+def coarsest_boundary(tables: DataFrame, limit: int) -> DataFrame:
+    """``key, boundary``: the coarsest kind of boundary at which every part has at most ``limit``.
+
+    ``tables`` has one version of every key.
+    """
+
+    def stitch(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("range")
+        found = next((k for k in KINDS[:3] if longest_segment(table, k) <= limit), "none")
+        return pd.DataFrame({"key": [table["key"].iloc[0]], "boundary": [found]})
+
+    rows = tables.select("key", "range", "n", "stop", "paragraph", "sentence", "sentence_led", "word")
+    return rows.groupBy("key").applyInPandas(stitch, "key string, boundary string")
+
+
 def piece_offsets(tables: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """``key, piece, start, end, boundary, parts``; a part is a stretch of one range."""
+    """``key, piece, start, end, boundary, range, begin`` and what else tells versions apart.
+
+    ``range`` is the one that the piece begins in and ``begin`` the place there. The tables of a
+    text meet in one task: about a hundredth of the text.
+    """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
+    kinds = dict(tables.dtypes)
+    version = [c for c in VERSION if c in kinds]
 
     def stitch(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("range")
-        first = np.r_[0, np.cumsum(table["n"].to_numpy())]
-        ends = {
-            k: np.concatenate([np.asarray(e, dtype=np.int64) + f for e, f in zip(table[f"{k}_ends"], first)]) for k in KINDS[:3]
-        }
+        first, ends = stitched_ends(table)
         pieces = choose_cuts(int(first[-1]), ends, limit, overlap)
-        ranges = table["range"].to_numpy()
-        parts = []
-        for a, b, _ in pieces:
-            i, j = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, b, side="left")
-            parts.append([{"range": int(ranges[k]), "begin": int(max(a - first[k], 0)), "n": int(min(b, first[k + 1]) - max(a, first[k]))} for k in range(min(i, len(ranges) - 1), j)])
+        start = np.array([p[0] for p in pieces], dtype=np.int64)
+        # of ranges that begin at one place the last has characters
+        at = np.minimum(np.searchsorted(first, start, side="right") - 1, len(table) - 1)
         return pd.DataFrame({
-            "key": table["key"].iloc[0], "piece": range(len(pieces)), "start": [p[0] for p in pieces],
-            "end": [p[1] for p in pieces], "boundary": [p[2] for p in pieces], "parts": parts,
+            **{c: [table[c].iloc[0]] * len(pieces) for c in version}, "piece": range(len(pieces)), "start": start,
+            "end": [p[1] for p in pieces], "boundary": [p[2] for p in pieces], "range": table["range"].to_numpy()[at], "begin": start - first[at],
         })
 
-    schema = "key string, piece long, start long, end long, boundary string, parts array<struct<range:long,begin:long,n:long>>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in version) + ", piece long, start long, end long, boundary string, range long, begin long"
     return tables.groupBy("key").applyInPandas(stitch, schema)
 
 
 def emit_pieces(offsets: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``key, piece, start, end, boundary, text``: the pieces put together from the ranges that they touch."""
-    parts = offsets.select("key", "piece", "start", "end", "boundary", F.explode("parts").alias("part"))
-    located = parts.withColumn("range", F.col("part.range"))
-    stretch = F.substring("text", F.col("part.begin").cast("int") + 1, F.col("part.n").cast("int"))
-    joined = located.join(ranges, ["key", "range"]).select("key", "piece", "start", "end", "boundary", "range", stretch.alias("text"))
-    # a piece touches few ranges: limit / RANGE + 2
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "text"))), lambda p: p["text"]), "")
-    return joined.groupBy("key", "piece", "start", "end", "boundary").agg(whole.alias("text"))
+    """``key, piece, start, end, boundary, text``: each piece out of the range that it begins in.
+
+    The ranges were read with a halo of at least a piece's length. They are shuffled once; of
+    repeated rows one is kept in the same exchange.
+    """
+    keys = [c for c in (*VERSION, "range") if c in ranges.columns]
+    once = ranges.groupBy(*keys).agg(F.any_value("text").alias("text"))
+    named = offsets.select(*[F.col(c).alias(f"o_{c}") for c in keys], "piece", "start", "end", "boundary", "begin")
+    same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) if c == "stamp" else F.col(c) == F.col(f"o_{c}") for c in keys]
+    stretch = F.substring("text", F.col("begin").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    return once.join(named, same).select("key", "piece", "start", "end", "boundary", stretch.alias("text"))
+
+
+# ---- the ranges of files -----------------------------------------------------------------------
+
+
+def _open(path: str):  # noqa: ANN202
+    """A file that can be read at any place: of any file system by URI, or a local path."""
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inside)
+
+
+def _character(handle, at: int, size: int) -> int:  # noqa: ANN001
+    """The first byte from ``at`` on that begins a character; of damaged bytes at most three are passed over."""
+    if at <= 0 or at >= size:
+        return max(0, min(at, size))
+    near = handle.read_at(min(4, size - at), at)
+    return at + next((i for i, b in enumerate(near[:3]) if b & 0xC0 != 0x80), min(3, len(near)))
+
+
+def file_ranges(paths: DataFrame, size: int = 1 << 20, ahead: int = 0) -> DataFrame:
+    """``key, range, text`` of UTF-8 files by byte ranges; no file is read as a whole.
+
+    ``paths`` has ``key, path`` (null paths are left out); paths are URIs, or local to every
+    worker. A worker reads its range, from the first character that begins in it, and ``ahead``
+    characters more. Damaged bytes become U+FFFD. An empty file gives one empty range.
+    """
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, path in batch[["key", "path"]].itertuples(index=False):
+                with _open(path) as handle:
+                    n = max(1, -(-handle.size() // size))
+                yield pd.DataFrame({"key": key, "path": path, "range": range(n)})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, path, number in batch[["key", "path", "range"]].itertuples(index=False):
+                with _open(path) as handle:
+                    whole = handle.size()
+                    begin, end = (_character(handle, k * size, whole) for k in (number, number + 1))
+                    text = handle.read_at(end - begin, begin).decode("utf-8", "replace")
+                    if ahead:
+                        text += handle.read_at(min(4 * ahead, whole - end), end).decode("utf-8", "replace")[:ahead]
+                yield pd.DataFrame({"key": [key], "range": [number], "text": [text]})
+
+    planned = paths.where(F.col("path").isNotNull()).select(F.col("key").cast("string").alias("key"), "path")
+    planned = planned.mapInPandas(plan, "key string, path string, range long").repartition("key", "range")
+    return planned.mapInPandas(read, "key string, range long, text string")
+
+
+def write_files(texts: DataFrame, folder: str) -> DataFrame:
+    """``key, path``: every text of ``key, text`` as a file of its own in a folder that all workers share.
+
+    A file is written beside its name and renamed, so a task that is run again does no harm.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import uuid
+
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(inside, recursive=True)
+        for batch in batches:
+            paths = []
+            for key, text in batch[["key", "text"]].itertuples(index=False):
+                name = hashlib.md5(key.encode()).hexdigest() + ".txt"
+                beside = f"{inside}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(beside) as out:
+                    out.write(text.encode("utf-8", "replace"))
+                system.move(beside, f"{inside}/{name}")
+                paths.append(f"{folder}/{name}")
+            yield pd.DataFrame({"key": batch["key"], "path": paths})
+
+    return texts.mapInPandas(write, "key string, path string")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.llm.leaks import leaked_items, leaked_spans, remove_leaks
-from landweave.llm.pieces import boundary_tables, coarsest_boundary, emit_pieces, oversized, piece_offsets, sparse_stretch, text_ranges
+from landweave.llm.pieces import boundary_tables, coarsest_boundary, current_tables, emit_pieces, file_ranges, oversized, piece_offsets, sparse_stretch, text_ranges, write_files
 from landweave.llm.prose import STATISTICS, text_statistics, text_types
 from landweave.llm.skeleton import same_looking, skeleton_udf, with_skeletons
 from landweave.llm.tokens import token_ids, token_texts, vocabulary
+from landweave.session import cut_lineage, shared_folder
 from landweave.sources.tables import current_rows, table
 
 
@@ -47,23 +50,65 @@ def p4_uniform(spark: SparkSession, folder: str) -> DataFrame:
 PIECE_CHARS, OVERLAP_CHARS = 24_000, 200
 
 
-def _oversized_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    return text_ranges(oversized(table(spark, folder, "article_contents"), "pageid", "content", "fetched_at", PIECE_CHARS))
+_CONTENTS = ("pageid", "content", "fetched_at", PIECE_CHARS)
+
+
+def _oversized_tables(spark: SparkSession, folder: str, *without: str) -> DataFrame:
+    """Boundary tables of the oversized current contents; no text is shuffled."""
+    rows = table(spark, folder, "article_contents")
+    tables = boundary_tables(text_ranges(rows, *_CONTENTS), sparse_stretch(PIECE_CHARS, OVERLAP_CHARS)).drop(*without)
+    return current_tables(tables, oversized(rows, *_CONTENTS))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with an oversized current content, and the coarsest boundary that suffices."""
-    tables = boundary_tables(_oversized_ranges(spark, folder), sparse_stretch(PIECE_CHARS, OVERLAP_CHARS))
+    tables = _oversized_tables(spark, folder, "paragraph_ends", "sentence_ends", "word_ends")
     return coarsest_boundary(tables, PIECE_CHARS).select(F.col("key").alias("pageid"), "boundary")
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of oversized contents with their offsets."""
-    ranges = _oversized_ranges(spark, folder)
-    offsets = piece_offsets(boundary_tables(ranges, sparse_stretch(PIECE_CHARS, OVERLAP_CHARS)), PIECE_CHARS, OVERLAP_CHARS)
+    offsets = piece_offsets(_oversized_tables(spark, folder), PIECE_CHARS, OVERLAP_CHARS)
+    ranges = text_ranges(table(spark, folder, "article_contents"), *_CONTENTS, ahead=PIECE_CHARS)
     return emit_pieces(offsets, ranges).withColumnRenamed("key", "pageid")
 
 
+def _checked(pieces: DataFrame, texts: DataFrame) -> DataFrame:
+    """Per page: what must hold of its pieces, checked against the whole text.
+
+    ``torn_words`` counts cuts inside a word although white space lies in the room before them.
+    """
+    cut = F.struct("piece", "start", "end", "boundary", F.char_length("text").alias("n"), F.md5("text").alias("digest"))
+    lists = pieces.groupBy("pageid").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+    rows = texts.join(lists, "pageid")
+    last = F.element_at("cuts", -1)
+    following = F.slice("cuts", 2, F.greatest(F.size("cuts") - 1, F.lit(0)))
+    part = lambda c: F.substring("content", c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int"))
+    room = lambda c: F.substring("content", c["start"].cast("int") + OVERLAP_CHARS + 1, F.lit(PIECE_CHARS - OVERLAP_CHARS - 1))
+    return rows.select(
+        "pageid",
+        ((F.col("cuts")[0]["start"] == 0) & (last["end"] == F.char_length("content"))).alias("whole"),
+        F.forall("cuts", lambda c: (c["n"] <= PIECE_CHARS) & (c["n"] == c["end"] - c["start"]) & (c["digest"] == F.md5(part(c)))).alias("exact"),
+        F.forall(F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), following, lambda a, b: b["start"] == a["end"] - OVERLAP_CHARS), lambda x: x).alias("overlapping"),
+        F.size(F.filter("cuts", lambda c: (c["boundary"] == "none") & room(c).rlike(r"[\s\p{Z}\x1c-\x1f\x85]"))).cast("long").alias("torn_words"),
+    )
+
+
+def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Do the pieces of every oversized content cover it, obey the limit, overlap, and tear no word without need?"""
+    return _checked(p5_pieces(spark, folder), current_rows(table(spark, folder, "article_contents"), "pageid", "fetched_at", ["content"]))
+
+
+def p5_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pieces of oversized contents that lie in files, each read by byte ranges: their number and last end per page."""
+    rows = current_rows(table(spark, folder, "article_contents"), "pageid", "fetched_at", ["content"])
+    texts = rows.where(F.char_length("content") > PIECE_CHARS).select(F.col("pageid").alias("key"), F.col("content").alias("text"))
+    paths = cut_lineage(write_files(texts, f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"))
+    tables = boundary_tables(file_ranges(paths), sparse_stretch(PIECE_CHARS, OVERLAP_CHARS))
+    pieces = emit_pieces(piece_offsets(tables, PIECE_CHARS, OVERLAP_CHARS), file_ranges(paths, ahead=PIECE_CHARS))
+    return _checked(pieces.withColumnRenamed("key", "pageid"), rows)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, folder, "documents"), "doc_id", "text", vocabulary())
@@ -113,7 +158,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_groups": p4_groups, "p4_uniform": p4_uniform, "p5_found": p5_found, "p5_pieces": p5_pieces,
+    "p4_found": p4_found, "p4_groups": p4_groups, "p4_uniform": p4_uniform, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_checks": p5_checks, "p5_files": p5_files,
     "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_clean": p7_clean, "p7_items": p7_items,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
@@ -129,7 +174,16 @@ windows AS (
   SELECT doc_id, unnest(list_transform(range(0, len(w) - n + 1), lambda i: list_slice(w, i + 1, i + n))) AS g
   FROM texts CROSS JOIN (SELECT DISTINCT len(g) AS n FROM passages) WHERE len(w) >= n),
 found AS (SELECT DISTINCT doc_id, item_id FROM windows JOIN passages USING (g))"""
+_CURRENT = "(SELECT pageid, content FROM (SELECT pageid, content, row_number() OVER (PARTITION BY pageid ORDER BY fetched_at DESC, length(content) DESC) AS rn FROM article_contents WHERE pageid IS NOT NULL) WHERE rn = 1 AND length(content) > 24000)"
+_SPACES, _LINES = r"\s\p{Z}\x1c-\x1f\x{85}", r"\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}"
+_LONGEST = "list_max(list_transform(string_split_regex({0}, '{1}'), lambda x: length(x)))"
+_CHECKED = f"SELECT pageid, true AS whole, true AS exact, true AS overlapping, 0 AS torn_words FROM {_CURRENT}"
 ORACLE: dict[str, str] = {
+    "p5_found": f"""SELECT pageid, CASE WHEN {_LONGEST.format("content", f"[{_LINES}]")} <= 24000 THEN 'paragraph'
+      WHEN {_LONGEST.format(f"regexp_replace(content, '([.!?…])[{_SPACES}]+', '\\1' || chr(10), 'g')", f"[{_LINES}]")} <= 24000 THEN 'sentence'
+      WHEN {_LONGEST.format("content", f"[{_SPACES}]+")} <= 24000 THEN 'word' ELSE 'none' END AS boundary FROM {_CURRENT}""",
+    "p5_checks": _CHECKED,
+    "p5_files": _CHECKED,
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",
     "p7_items": f"""WITH {_LEAKS} SELECT i.item_id, count(f.doc_id) AS n_documents
       FROM eval_items i LEFT JOIN found f USING (item_id) GROUP BY i.item_id""",
