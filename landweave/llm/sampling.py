@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.hashrank import smallest_by_hash
+from landweave.operators.ranks import smallest_by_digest
+
 
 #: Counts are compared with ``share * size`` up to this much rounding error.
 EPS = 1e-6
@@ -97,7 +98,7 @@ def proportional_sample(available: DataFrame, report: DataFrame, key: str, seed:
     is part of a larger one; a key that is available for several categories may come out for each.
     """
     most = report.groupBy("field", "category").agg(F.max("quota").alias("most"))
-    ranked = smallest_by_hash(available.join(most, ["field", "category"]), ["field", "category"], [key], "most", seed)
+    ranked = smallest_by_digest(available.join(most, ["field", "category"]), ["field", "category"], [key], "most", seed)
     wanted = report.select("plan_id", "field", "category", "quota")
     return ranked.join(wanted, ["field", "category"]).where(F.col("rank") <= F.col("quota")).select("plan_id", "field", "category", key)
 
