@@ -1,9 +1,10 @@
 """Evaluation passages inside a training corpus.
 
 Every item gives its runs of ``n`` consecutive words (all its words if it has fewer). Their
-hashes go to the workers as a sorted table; a worker turns the texts of a batch into one array
+hashes go to the workers as sorted arrays; a worker turns the texts of a batch into one array
 of word numbers, hashes all windows at once, looks them up, and verifies every hit word by
 word. Words that occur in no item have no number, so a window that holds one is never hashed.
+The same pass cuts the passages out, so a text is read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 #: Words of a passage.
 PASSAGE = 12
-#: Characters of item texts that one pass sends to the workers; more items take more passes.
-BLOCK_CHARS = 16_000_000
+#: Characters of item texts that one pass sends to the workers, about 16 bytes a word; more items take more passes.
+BLOCK_CHARS = 64_000_000
+#: Items of fewer words are found and reported, but nothing is cut out for them: "the" would be cut out of every text.
+CUT_WORDS = 5
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -68,52 +71,72 @@ def words_with_places(text: str) -> list[tuple[str, int, int]]:
 
 
 class PassageIndex:
-    """Hash tables of the passages of items, by length."""
+    """Passages of items as arrays, by length: hashes in order, and where the words of each lie in one array of all words."""
 
     def __init__(self, items: list[tuple[str, str]], n: int = PASSAGE):
         self.number: dict[str, int] = {}
-        grams: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            numbers = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            size = min(n, len(numbers))
-            for i in range(len(numbers) - size + 1 if size else 0):
-                grams[tuple(numbers[i : i + size])].add(item)
+        self.items = [item for item, _ in items]
+        flat = array("i")
+        starts = [0]
+        for _, text in items:
+            flat.extend(self.number.setdefault(w, len(self.number) + 1) for w in words(text))
+            starts.append(len(flat))
+        self.words = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, dtype=np.int32)
         rng = np.random.default_rng(12)
-        self.code = rng.integers(1, 2**63, len(self.number) + 1, dtype=np.uint64)
+        self.code = rng.integers(1, 2**63, (2, len(self.number) + 1), dtype=np.uint64)
         self.odd = rng.integers(0, 2**62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.tables = {}
-        by_size: dict[int, list] = defaultdict(list)
-        for gram, owners in grams.items():
-            by_size[len(gram)].append((gram, sorted(owners)))
-        for size, entries in sorted(by_size.items()):
-            matrix = np.array([g for g, _ in entries], dtype=np.int64)
-            hashes = self._hash(matrix)
-            order = np.argsort(hashes, kind="stable")
-            self.tables[size] = (hashes[order], matrix[order], [entries[i][1] for i in order])
-
-    def _hash(self, windows: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(windows), dtype=np.uint64)
-        for k in range(windows.shape[1]):
-            total += self.code[windows[:, k]] * self.odd[k]
+        first, length = np.array(starts[:-1], dtype=np.int64), np.diff(starts)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({int(min(n, k)) for k in length if k}):
+            own = np.flatnonzero((length == size) if size < n else (length >= n))
+            count = length[own] - size + 1
+            at = np.repeat(first[own] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            owner = np.repeat(own, count).astype(np.int32)
+            one, two = (self._hash(self.words, at, size, k) for k in (0, 1))
+            order = np.lexsort((owner, two, one))
+            # a passage that an item repeats counts once for it
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0) | (np.diff(owner[order]) != 0)
+            order = order[fresh]
+            self.tables[size] = (one[order], at[order].astype(np.int32 if len(flat) < 2**31 else np.int64), owner[order])
+
+    def _hash(self, numbers: np.ndarray, at: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+        """Hashes of the windows of ``size`` numbers that begin at ``at``."""
+        total = np.zeros(len(at), dtype=np.uint64)
+        for k in range(size):
+            total += self.code[which][numbers[at + k]] * self.odd[k]
         return total
 
     def hits(self, numbers: np.ndarray) -> Iterator[tuple[int, int, str]]:
         """``(first word, words, item)`` of every passage in an array of word numbers (0: no item's word)."""
         zeros = np.r_[0, np.cumsum(numbers == 0)]
-        for size, (hashes, matrix, owners) in self.tables.items():
+        for size, (hashes, starts, owners) in self.tables.items():
             if len(numbers) < size:
                 continue
             at = np.flatnonzero(zeros[size:] == zeros[:-size])
             if not len(at):
                 continue
-            windows = numbers[at[:, None] + np.arange(size)]
-            found = self._hash(windows)
+            found = self._hash(numbers, at, size)
             lo, hi = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
             for j in np.flatnonzero(hi > lo):
+                window = numbers[at[j] : at[j] + size]
                 for k in range(lo[j], hi[j]):
-                    if (matrix[k] == windows[j]).all():
-                        for item in owners[k]:
-                            yield int(at[j]), size, item
+                    if (self.words[starts[k] : starts[k] + size] == window).all():
+                        yield int(at[j]), size, self.items[owners[k]]
+
+    def scan(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """The hits of every text of a batch."""
+        get, numbers, starts = self.number.get, [], []
+        for value in texts:
+            starts.append(len(numbers))
+            numbers += [get(w, 0) for w in words(value)]
+            numbers.append(0)  # no passage spans two texts
+        found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        begins = np.array(starts, dtype=np.int64)
+        for at, size, item in self.hits(np.array(numbers, dtype=np.int64)):
+            row = int(np.searchsorted(begins, at, side="right")) - 1
+            found[row].append((at - starts[row], size, item))
+        return found
 
 
 def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
@@ -142,22 +165,14 @@ def leaked_spans(
         sent = documents.sparkSession.sparkContext.broadcast(PassageIndex(block, n))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index: PassageIndex = sent.value
-            get = index.number.get
             for batch in batches:
-                numbers: list[int] = []
-                starts = []
-                for value in batch["text"]:
-                    starts.append(len(numbers))
-                    numbers += [get(w, 0) for w in words(value)]
-                    numbers.append(0)  # no passage spans two documents
-                found = list(index.hits(np.array(numbers, dtype=np.int64)))
-                if found:
-                    first = np.array([f[0] for f in found])
-                    row = np.searchsorted(np.array(starts), first, side="right") - 1
+                found = sent.value.scan(batch["text"].tolist())
+                sizes = [len(f) for f in found]
+                if sum(sizes):
+                    hits = [h for f in found for h in f]
                     yield pd.DataFrame({
-                        "key": batch["key"].to_numpy()[row], "item_id": [f[2] for f in found],
-                        "first_word": first - np.array(starts)[row], "n_words": [f[1] for f in found],
+                        "key": batch["key"].to_numpy().repeat(sizes), "item_id": [h[2] for h in hits],
+                        "first_word": [h[0] for h in hits], "n_words": [h[1] for h in hits],
                     })
 
         parts.append(rows.mapInPandas(scan, schema))
@@ -172,37 +187,69 @@ def leaked_items(spans: DataFrame, key: str) -> DataFrame:
     return spans.select(key, "item_id").distinct()
 
 
-def remove_leaks(documents: DataFrame, key: str, text: str, spans: DataFrame, most_share: float = 0.5) -> DataFrame:
-    """``key, n_words, leaked_words, action, text`` of every document that holds a passage.
+def _cut(value: str, marks: list[tuple[int, int]], most_share: float) -> tuple[int, int, str, str | None]:
+    """``n_words, leaked_words, action, text`` of a text with marked runs of words."""
+    placed = words_with_places(value)
+    leaked = np.zeros(len(placed) + 1, dtype=bool)
+    for first, size in marks:
+        leaked[first : first + size] = True
+    n = int(leaked.sum())
+    if n > most_share * len(placed):
+        return len(placed), n, "drop", None
+    kept, at = [], 0
+    for i, (_, begin, end) in enumerate(placed):
+        if leaked[i]:
+            if not (i and leaked[i - 1]):
+                kept.append(value[at:begin])
+            at = end
+    return len(placed), n, "cut", "".join([*kept, value[at:]])
+
+
+def clean_documents(
+    documents: DataFrame, key: str, text: str, items: DataFrame, item: str = "item_id", item_text: str = "item_text",
+    n: int = PASSAGE, most_share: float = 0.5, cut_words: int = CUT_WORDS,
+) -> DataFrame:
+    """``key, n_words, leaked_words, action, text`` of every document: the corpus without the items.
 
     Words of passages are cut out together with what stands between them (``action`` is
     ``cut``); if more than ``most_share`` of the words leaked, the document is to be left out
-    (``drop``, null text). ``key`` must be unique in ``documents``.
+    (``drop``, null text); any other is kept as it is (``keep``; null stays null). For items of
+    fewer than ``cut_words`` words nothing is cut. One pass that finds and cuts, without a
+    shuffle; items beyond BLOCK_CHARS are found pass by pass, and then the marks meet the texts
+    in a join on ``key``, which must be unique.
     """
     kind = documents.schema[key].dataType.simpleString()
-    stretches = spans.groupBy(F.col(key).alias("key")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("stretches"))
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(stretches, "key")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"key {kind}, n_words long, leaked_words long, action string, text string"
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    blocks = list(_blocks(items, item, item_text))
+    sent = documents.sparkSession.sparkContext.broadcast(PassageIndex(blocks[0], n)) if len(blocks) == 1 else None
+    if sent is None:
+        spans = leaked_spans(documents, key, text, items, item, item_text, n)
+        marks = spans.where(F.col("n_words") >= cut_words).groupBy(F.col(key).alias("of")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("marks"))
+        rows = rows.join(marks, F.col("key").eqNullSafe(F.col("of")), "left").drop("of")
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key_, value, marks in batch[["key", "text", "stretches"]].itertuples(index=False):
-                placed = words_with_places(value)
-                leaked = np.zeros(len(placed) + 1, dtype=bool)
-                for mark in marks:
-                    leaked[mark["first_word"] : mark["first_word"] + mark["n_words"]] = True
-                n = int(leaked.sum())
-                if n > most_share * len(placed):
-                    out.append((key_, len(placed), n, "drop", None))
-                    continue
-                kept, at = [], 0
-                for i, (_, begin, end) in enumerate(placed):
-                    if leaked[i]:
-                        if not (i and leaked[i - 1]):
-                            kept.append(value[at:begin])
-                        at = end
-                out.append((key_, len(placed), n, "cut", "".join([*kept, value[at:]])))
+            texts = batch["text"].tolist()
+            if sent is None:
+                marked = [[(m["first_word"], m["n_words"]) for m in own] if own is not None else [] for own in batch["marks"]]
+            else:
+                marked = [[(a, k) for a, k, _ in own if k >= cut_words] for own in sent.value.scan([t or "" for t in texts])]
+            out = [
+                (k, *(_cut(t, marks, most_share) if marks else (len(words(t or "")), 0, "keep", t)))
+                for k, t, marks in zip(batch["key"].tolist(), texts, marked)
+            ]
             yield pd.DataFrame(out, columns=["key", "n_words", "leaked_words", "action", "text"])
 
-    schema = f"key {kind}, n_words long, leaked_words long, action string, text string"
-    return rows.mapInPandas(cut, schema).withColumnRenamed("key", key)
+    return rows.mapInPandas(clean, schema).withColumnRenamed("key", key)
+
+
+def item_sizes(items: DataFrame, item: str = "item_id", item_text: str = "item_text") -> DataFrame:
+    """``item_id, n_words, cuts``: the words of every item, and whether they are enough to be cut out where they occur."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(words(t or ""))).astype("int64")
+
+    sized = items.select(F.col(item).alias("item_id"), count(item_text).alias("n_words"))
+    return sized.withColumn("cuts", F.col("n_words") >= CUT_WORDS)

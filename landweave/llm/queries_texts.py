@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.llm.leaks import leaked_items, leaked_spans, remove_leaks
+from landweave.llm.leaks import clean_documents, item_sizes, leaked_items, leaked_spans
 from landweave.llm.pieces import boundary_tables, coarsest_boundary, current_tables, emit_pieces, file_ranges, oversized, piece_offsets, sparse_stretch, text_ranges, write_files
 from landweave.llm.prose import STATISTICS, text_statistics, text_types
-from landweave.llm.skeleton import same_looking, skeleton_udf, with_skeletons
+from landweave.llm.skeleton import look_classes, same_looking, skeleton_udf
 from landweave.llm.tokens import token_ids, token_texts, vocabulary
 from landweave.session import cut_lineage, shared_folder
 from landweave.sources.tables import current_rows, table
@@ -35,16 +35,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page and field: the digest of its skeleton, which names its group."""
-    texts = _current_texts(spark, folder).where(F.col("text").isNotNull())
-    looks = with_skeletons(texts).select("field", "text", F.md5("skeleton").alias("group_id"))
-    return texts.join(looks, ["field", "text"]).select("field", F.col("key").alias("pageid"), "group_id")
+    """One row per page and field: the digest of its skeleton, which names its group, and to how many pages it is linked."""
+    return look_classes(_current_texts(spark, folder)).withColumnRenamed("key", "pageid")
 
 
 def p4_uniform(spark: SparkSession, folder: str) -> DataFrame:
     """Current titles and summaries in the one consistent form."""
     texts = _current_texts(spark, folder).where(F.col("text").isNotNull())
-    return texts.select("field", F.col("key").alias("pageid"), skeleton_udf("text").alias("text"))
+    return texts.select("field", F.col("key").alias("pageid"), skeleton_udf(spark)("text").alias("text"))
 
 
 PIECE_CHARS, OVERLAP_CHARS = 24_000, 200
@@ -134,15 +132,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with a passage: what is done with them, and the text without it."""
-    return remove_leaks(table(spark, folder, "documents"), "doc_id", "text", _spans(spark, folder))
+    """Every document: what is done with it, and its text without passages of items."""
+    return clean_documents(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"))
+
+
+def p7_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """What is done with every document, and how many of its words are cut out."""
+    return p7_clean(spark, folder).select("doc_id", "leaked_words", "action")
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Every evaluation item and the number of documents into which it leaked."""
+    """Every evaluation item, its words, whether they are cut out, and the number of documents into which it leaked."""
     counts = p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n"))
-    items = table(spark, folder, "eval_items").select("item_id")
-    return items.join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
+    items = item_sizes(table(spark, folder, "eval_items"))
+    return items.join(counts, "item_id", "left").select("item_id", "n_words", "cuts", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +162,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_groups": p4_groups, "p4_uniform": p4_uniform, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_checks": p5_checks, "p5_files": p5_files,
-    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_clean": p7_clean, "p7_items": p7_items,
+    "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_clean": p7_clean, "p7_marks": p7_marks, "p7_items": p7_items,
     "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
 
@@ -185,6 +188,13 @@ ORACLE: dict[str, str] = {
     "p5_checks": _CHECKED,
     "p5_files": _CHECKED,
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",
-    "p7_items": f"""WITH {_LEAKS} SELECT i.item_id, count(f.doc_id) AS n_documents
-      FROM eval_items i LEFT JOIN found f USING (item_id) GROUP BY i.item_id""",
+    "p7_items": f"""WITH {_LEAKS} SELECT i.item_id, any_value(coalesce(len(w.w), 0)) AS n_words, any_value(coalesce(len(w.w), 0) >= 5) AS cuts, count(f.doc_id) AS n_documents
+      FROM eval_items i LEFT JOIN items w USING (item_id) LEFT JOIN found f USING (item_id) GROUP BY i.item_id""",
+    "p7_marks": f"""WITH {_LEAKS}, long AS (SELECT DISTINCT g FROM passages WHERE len(g) >= 5),
+      placed AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS i, w FROM texts CROSS JOIN (SELECT DISTINCT len(g) AS n FROM long) WHERE len(w) >= n),
+      hit AS (SELECT doc_id, i, n FROM placed JOIN long ON g = list_slice(w, i + 1, i + n)),
+      marks AS (SELECT doc_id, count(DISTINCT p) AS leaked FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id)
+      SELECT d.doc_id, coalesce(m.leaked, 0) AS leaked_words,
+        CASE WHEN m.leaked IS NULL THEN 'keep' WHEN m.leaked > 0.5 * len(t.w) THEN 'drop' ELSE 'cut' END AS action
+      FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN marks m USING (doc_id)""",
 }

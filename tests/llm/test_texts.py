@@ -44,6 +44,37 @@ def test_same_looking(spark):
     assert skeleton.same_looking(df.limit(0)).count() == 0 and same
 
 
+def test_look_alikes_of_every_script(spark):
+    table = skeleton._Table(skeleton.look_alikes(spark))
+    same = lambda a, b: skeleton.skeleton(a, table) == skeleton.skeleton(b, table)
+    alike = ["ГΓ", "ПΠ", "ФΦ", "ΛЛ", "ΟО", "ՕO", "ՍU", "ᏟC", "ᎪA", "ꓐB", "ѕs", "ԛq", "٠۰", "١1", "৪8", "־-", "֊-", "՚'"]
+    assert [p for p in alike if not same(p[0], p[-1])] == []
+    apart = ["I1", "Il", "l1", "l|", "O0", "Օ0", "०o", "ЬЪ", "ыь", "Γг", "єе", "0o", "Ꭺa", "σς", "٠٥", "бв", "ПЛ"]
+    assert [p for p in apart if same(p[0], p[-1])] == []
+    assert same("ЁЙ", "Е\u0308И\u0306") and not same("Ё", "E") and same("Ё", "Ë")
+    latin = [c for c in map(chr, range(0x20, 0x250)) if c.isalnum() and not unicodedata.decomposition(c).startswith("<")]
+    forms = [skeleton.skeleton(c, table) for c in latin if c not in "ÆæŒœŉ"]
+    assert len(set(forms)) == len(forms)  # no Latin letter or digit is taken for another
+    for c in table.alike:
+        once = skeleton.skeleton(c, table)
+        assert skeleton.skeleton(once, table) == once
+
+
+def test_skeletons_of_a_batch(spark):
+    texts = ["a\u0301", "\u0301b", "", " x  y ", "\U0010ffff", "ＡΟ", "\u0315\u0300"]
+    table = skeleton._Table(skeleton.look_alikes(spark))
+    for part in (texts, [t for t in texts if t != "\U0010ffff"], []):
+        assert skeleton.skeletons(part, table) == [skeleton.skeleton(t, table) for t in part]
+
+
+def test_look_classes(spark):
+    rows = [("t", 1, "Pont"), ("t", 2, "Ｐｏｎｔ"), ("t", 3, "Pont"), ("t", 4, "Pont "), ("s", 5, "Pont "), ("t", 6, None), ("t", None, "Pоnt"), ("t", 7, ""), ("t", 8, " "), ("t", 9, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "field string, key long, text string").withColumn("n", F.lit("clash"))
+    found = {(r.field, r.key): (r.group_id, r.n_links) for r in skeleton.look_classes(df).collect()}
+    assert {k: n for k, (_, n) in found.items()} == {("t", 1): 2, ("t", 2): 3, ("t", 3): 2, ("t", 4): 3, ("s", 5): 0, ("t", 7): 1, ("t", 8): 1, ("t", 9): 0}
+    assert found["t", 1][0] == found["t", 2][0] == found["s", 5][0] != found["t", 7][0] and skeleton.look_classes(df.limit(0)).count() == 0
+
+
 # ---- problem 5 ----
 
 BREAKS = "[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]"
@@ -262,14 +293,26 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert leaks.leaked_spans(docs, "doc_id", "text", tests.limit(0)).count() == 0
 
 
-def test_removal(spark):
+def test_removal(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     text = "Before this. " + item.title().replace(" ", ", ") + "! And after that, quite a lot of other words that stay as they are in the text."
-    docs = spark.createDataFrame([(1, text), (2, item), (3, "nothing")], "doc_id long, text string")
-    spans = leaks.leaked_spans(docs, "doc_id", "text", spark.createDataFrame([("a", item)], "item_id string, item_text string"))
-    rows = {r.doc_id: r for r in leaks.remove_leaks(docs, "doc_id", "text", spans).collect()}
-    assert set(rows) == {1, 2} and rows[2].action == "drop" and rows[2].text is None and rows[1].leaked_words == 13
-    assert rows[1].text == "Before this. ! And after that, quite a lot of other words that stay as they are in the text."
+    docs = spark.createDataFrame([(1, text), (2, item), (3, "nothing"), (4, None), (5, ""), (None, text)], "doc_id long, text string").withColumn("marks", F.lit("clash"))
+    items = spark.createDataFrame([("a", item), ("b", item), ("short", "that")], "item_id string, item_text string")
+    for block in (leaks.BLOCK_CHARS, 70):
+        monkeypatch.setattr(leaks, "BLOCK_CHARS", block)
+        rows = {r.doc_id: r for r in leaks.clean_documents(docs, "doc_id", "text", items).collect()}
+        assert {k: r.action for k, r in rows.items()} == {1: "cut", 2: "drop", 3: "keep", 4: "keep", 5: "keep", None: "cut"}
+        assert rows[2].text is None and rows[1].leaked_words == 13 and rows[4].text is None and rows[5].text == "" and rows[3].n_words == 1
+        assert rows[1].text == rows[None].text == "Before this. ! And after that, quite a lot of other words that stay as they are in the text."
+        assert leaks.clean_documents(docs.limit(0), "doc_id", "text", items).count() == 0
+    assert {r.item_id: (r.n_words, r.cuts) for r in leaks.item_sizes(items).collect()} == {"a": (13, True), "b": (13, True), "short": (1, False)}
+
+
+def test_an_item_that_repeats_itself(spark):
+    index = leaks.PassageIndex([("a", "la " * 50_000), ("b", "la " * 20 + "fin")])
+    assert sum(len(t[0]) for t in index.tables.values()) == 3
+    found = index.scan(["la " * 300, "", "fin " * 5])
+    assert {i for _, _, i in found[0]} == {"a", "b"} and len(found[0]) == 2 * 289 and found[1] == found[2] == []
 
 
 # ---- problem 8 ----
