@@ -11,7 +11,7 @@ from landweave.llm.leaks import clean_documents, item_sizes, leaked_items, leake
 from landweave.llm.pieces import boundary_tables, coarsest_boundary, current_tables, emit_pieces, file_ranges, oversized, piece_offsets, sparse_stretch, text_ranges, write_files
 from landweave.llm.prose import STATISTICS, text_statistics, text_types
 from landweave.llm.skeleton import look_classes, same_looking, skeleton_udf
-from landweave.llm.tokens import token_ids, token_texts, vocabulary
+from landweave.llm.tokens import round_trips, token_ids, vocabulary
 from landweave.session import cut_lineage, shared_folder
 from landweave.sources.tables import current_rows, table
 
@@ -113,13 +113,8 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: number of ids, and whether they decode to the text again."""
-    data = vocabulary()
-    documents = table(spark, folder, "documents")
-    texts = token_texts(p6_ids(spark, folder), "doc_id", data).withColumnRenamed("text", "decoded")
-    counts = p6_ids(spark, folder).select("doc_id", F.size("ids").alias("n_ids"))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", "text").join(texts, "doc_id").join(counts, "doc_id").select("doc_id", "n_ids", same.alias("same"))
+    """One row per document: the bytes that its ids stand for, and whether they decode to the text again."""
+    return round_trips(table(spark, folder, "documents"), "doc_id", "text", vocabulary()).drop("n_ids")
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,6 +180,7 @@ ORACLE: dict[str, str] = {
     "p5_found": f"""SELECT pageid, CASE WHEN {_LONGEST.format("content", f"[{_LINES}]")} <= 24000 THEN 'paragraph'
       WHEN {_LONGEST.format(f"regexp_replace(content, '([.!?…])[{_SPACES}]+', '\\1' || chr(10), 'g')", f"[{_LINES}]")} <= 24000 THEN 'sentence'
       WHEN {_LONGEST.format("content", f"[{_SPACES}]+")} <= 24000 THEN 'word' ELSE 'none' END AS boundary FROM {_CURRENT}""",
+    "p6_roundtrip": "SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, true AS same FROM documents",
     "p5_checks": _CHECKED,
     "p5_files": _CHECKED,
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",

@@ -145,8 +145,9 @@ class Merges:
 class WordStream:
     """Tokens of one word whose bytes come bit by bit."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, agree: bool = True):
         self.merges = merges
+        self.agree = agree  # emit also what recent prefixes agree on; else by the lookahead alone
         self.held = bytearray()  # bytes after the last emitted token
         self.last: list[int] = []  # last token of each prefix of them
         self.every = 2 * merges.longest
@@ -185,14 +186,23 @@ class WordStream:
         return tokens[::-1]
 
     def _stable(self) -> list[int]:
-        """Emit up to the last border that every recent prefix has."""
+        """Emit up to the last border that every recent prefix has, or that the lookahead puts out of reach.
+
+        Prefixes mostly agree within a few tokens. Where they do not, tokens that end the
+        lookahead before the end cannot change any more, so no more than that is held.
+        """
         n, sizes = len(self.held), self.merges.bytes_of
-        front = set(range(max(0, n - self.merges.longest + 1), n + 1))
+        front = set(range(max(0, n - self.merges.longest + 1), n + 1)) if self.agree else {0}
+        far = n - self.merges.lookahead
         while len(front) > 1:
             end = max(front)
             front.discard(end)
             front.add(end - len(sizes[self.last[end - 1]]))
         border = front.pop()
+        if border < far:
+            border = n
+            while border > far:
+                border -= len(sizes[self.last[border - 1]])
         out = self._path(border)
         del self.held[:border], self.last[:border]
         return out
@@ -353,6 +363,32 @@ def token_ids(documents: DataFrame, key: str, text: str, data: bytes) -> DataFra
     return rows.withColumnRenamed("key", key)
 
 
+def round_trips(documents: DataFrame, key: str, text: str, data: bytes) -> DataFrame:
+    """``key, n_ids, n_bytes, same``: the ids of every text, the bytes they stand for, and whether they decode to it again.
+
+    One pass in which a text meets its own ids; null and empty texts have no ids and are the same.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, memo = loaded(sent.value)
+        stream = TextStream(merges, memo)
+        for batch in batches:
+            n_ids, n_bytes, same = [], [], []
+            for value in batch.column("text"):
+                plain = value.as_py() or ""
+                ids = stream.encode(plain) if plain else []
+                n_ids.append(len(ids))
+                n_bytes.append(sum(len(merges.bytes_of[i]) for i in ids))
+                same.append(IdStream(merges).feed(ids, True) == plain)
+            columns = [batch.column("key"), pa.array(n_ids, pa.int32()), pa.array(n_bytes, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_ids", "n_bytes", "same"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, n_ids int, n_bytes long, same boolean").withColumnRenamed("key", key)
+
+
 def token_texts(encoded: DataFrame, key: str, data: bytes) -> DataFrame:
     """``key, text`` of ``key, ids``; null ids give a null text."""
     sent = encoded.sparkSession.sparkContext.broadcast(data)

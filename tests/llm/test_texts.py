@@ -244,7 +244,62 @@ def test_long_words_in_bounded_memory(machine, monkeypatch):
     for _ in range(300):
         out += stream.feed(bytes(random.choice(b"abcdefgh") for _ in range(100)))
         most = max(most, len(stream.held))
-    assert most < 4 * merges.lookahead and len(out) > 5000
+    assert most <= merges.lookahead + stream.every + merges.longest and len(out) > 5000
+
+
+def adversarial(rng, letters, count):
+    """A vocabulary of random merges over few letters, in which changes at the end reach far left."""
+    import json
+
+    names = {b: c for c, b in tokens._byte_names().items()}
+    vocab = {names[b]: b for b in range(256)}
+    alphabet = [names[ord(c)] for c in letters]
+    known, merges = list(alphabet), []
+    while len(merges) < count:
+        a, b = rng.choice(known), rng.choice(known)
+        if [a, b] not in merges and len(a + b) < 12 and a + b not in vocab:
+            merges.append([a, b])
+            vocab[a + b] = len(vocab)
+            known.append(a + b)
+    return tokens.Merges(json.dumps({"model": {"vocab": vocab, "merges": merges}}).encode())
+
+
+def by_merging(merges, data):
+    ids = [merges.id_of[bytes([b])] for b in data]
+    while True:
+        best = min(((merges.pairs[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges.pairs), default=None)
+        if best is None:
+            return ids
+        whole = next(t for t, parts in merges.parts.items() if parts == (ids[best[1]], ids[best[1] + 1]))
+        ids[best[1] : best[1] + 2] = [whole]
+
+
+@pytest.mark.parametrize("agree", [True, False])
+def test_the_lookahead_decides_what_is_held(agree):
+    rng = random.Random(9)
+    for round_ in range(40):
+        merges = adversarial(rng, "ab" if round_ % 2 else "abc", rng.randint(1, 14))
+        for _ in range(6):
+            data = bytes(rng.choice(b"ab" if round_ % 2 else b"abc") for _ in range(rng.randint(1, 160)))
+            if rng.random() < 0.5:
+                data = data[: rng.randint(1, 5)] * 40
+            stream, out, at = tokens.WordStream(merges, agree), [], 0
+            while at < len(data):
+                step = rng.randint(1, 9)
+                out += stream.feed(data[at : at + step])
+                at += step
+                assert len(stream.held) <= merges.lookahead + stream.every + merges.longest
+            assert out + stream.finish() == by_merging(merges, data)
+
+
+@needs_files
+def test_the_lookahead_of_the_vocabulary(machine):
+    merges, _, known = machine
+    rng = random.Random(3)
+    for kind in ("ab", "abcdefgh", "thequickbrown", "e", "-=", "xo", "éa"):
+        text = "".join(rng.choice(kind) for _ in range(3000))
+        stream = tokens.WordStream(merges, agree=False)
+        assert stream.feed(text.encode()) + stream.finish() == known(text)
 
 
 @needs_files
