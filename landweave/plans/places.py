@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.functions.geo import usable_place
-from landweave.operators.nearby import near_counts, near_pairs
+from landweave.operators.nearby import near_groups, near_links, near_pairs
 from landweave.operators.regions import locate, prepared_regions
+from landweave.plans.inputs import with_sql
 from landweave.sources.tables import current_rows, table
 
 #: The distance that ``point_label_share_250m`` looks at.
@@ -27,19 +28,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per placed page: how many others lie within 250 m, and the nearest of them."""
-    counts = near_counts(current_places(spark, folder), "pageid", RADIUS_M)
+    counts = near_groups(current_places(spark, folder), "pageid", RADIUS_M)
     return counts.select("pageid", "n_near", F.round("nearest_m", 3).alias("nearest_m"))
 
 
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per placed page: the smallest page on the same coordinate, and how many others lie within 250 m."""
+    return near_groups(current_places(spark, folder), "pageid", RADIUS_M).drop("nearest_m")
+
+
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of coordinates at most 250 m apart, each named by its smallest page."""
+    links = near_links(current_places(spark, folder), "pageid", RADIUS_M)
+    return links.select(F.col("key_a").alias("page_a"), F.col("key_b").alias("page_b"), F.round("metres", 3).alias("metres"))
+
+
 def p3_region(spark: SparkSession, folder: str) -> DataFrame:
     """One row per placed page: the polygon around it (smallest id on a shared edge) or null."""
     places = current_places(spark, folder)
     polygons = prepared_regions(table(spark, folder, "landcover_polygons"), "id", "geometry", ["code_18"])
-    hits = locate(places, "lon", "lat", polygons).groupBy("pageid").agg(F.min(F.struct("id", "code_18")).alias("hit"))
+    hits = locate(places, "lon", "lat", polygons).groupBy("pageid").agg(F.min(F.struct("id", F.col("code_18").isNull(), "code_18")).alias("hit"))
     return places.select("pageid").join(hits, "pageid", "left").select("pageid", F.col("hit.id").alias("polygon_id"), F.col("hit.code_18").alias("code_18"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_region": p3_region}
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_groups": p3_groups, "p3_links": p3_links, "p3_region": p3_region}
 
 _PLACES = """
 placed AS (
@@ -58,4 +70,11 @@ ORACLE = {
     "p3_counts": f"""WITH {_PLACES}
       SELECT pageid, count(a) AS n_near, round(min(m), 3) AS nearest_m
       FROM placed LEFT JOIN near ON a = pageid AND m <= 250 GROUP BY pageid""",
+    "p3_groups": f"""WITH {_PLACES}, n AS (SELECT pageid, count(a) AS n_near FROM placed LEFT JOIN near ON a = pageid AND m <= 250 GROUP BY pageid)
+      SELECT pageid, min(pageid) OVER (PARTITION BY lat, lon) AS place_key, n_near FROM placed JOIN n USING (pageid)""",
+    "p3_links": f"""WITH {_PLACES}, firsts AS (SELECT min(pageid) AS p FROM placed GROUP BY lat, lon)
+      SELECT a AS page_a, b AS page_b, round(m, 3) AS metres FROM near WHERE m <= 250 AND a < b AND a IN (SELECT p FROM firsts) AND b IN (SELECT p FROM firsts)""",
+    "p3_region": with_sql("articles", "corners", "hits").rstrip() + """, best AS (SELECT pageid, min(id) AS id FROM hits GROUP BY pageid)
+      SELECT CAST(a.pageid AS BIGINT) AS pageid, b.id AS polygon_id, max(h.code_18) FILTER (WHERE h.id = b.id) AS code_18
+      FROM articles a LEFT JOIN best b USING (pageid) LEFT JOIN hits h USING (pageid) GROUP BY a.pageid, b.id""",
 }

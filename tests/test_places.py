@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landweave.functions import geo
-from landweave.operators.nearby import near_counts, near_pairs
+from landweave.operators.nearby import near_groups, near_links, near_pairs
 from landweave.operators.regions import locate, prepared_regions
 from landweave.operators.scale import heavy_join
 
@@ -39,8 +39,10 @@ def test_near_pairs_everywhere(spark, lat, lon, radius):
         points.append((i, (la, (lo + 180) % 360 - 180)))
     found = near_pairs(frame(spark, points), "id", radius, cell_rows=7)
     assert {(r.key_a, r.key_b) for r in found.collect()} == brute(points, radius)
-    counts = {r.id: r.n_near for r in near_counts(frame(spark, points), "id", radius, cell_rows=7).collect()}
+    counts = {r.id: r.n_near for r in near_groups(frame(spark, points), "id", radius, cell_rows=7).collect()}
     pairs = brute(points, radius)
+    links = {(r.key_a, r.key_b): r.metres for r in near_links(frame(spark, points), "id", radius, cell_rows=7).collect()}
+    assert set(links) == pairs and all(m == pytest.approx(metres(points[a][1], points[b][1]), abs=1e-6) for (a, b), m in links.items())
     assert counts == {i: sum(i in p for p in pairs) for i, _ in points}
 
 
@@ -49,11 +51,24 @@ def test_near_pairs_of_dirty_places(spark):
     found = near_pairs(frame(spark, points), "id", 250.0).collect()
     assert {(r.key_a, r.key_b) for r in found} == {(1, 2), (1, 3), (2, 3)} and len(found) == 3
     assert near_pairs(frame(spark, []), "id", 250.0).count() == 0
-    assert near_counts(frame(spark, []), "id", 250.0).count() == 0
+    assert near_groups(frame(spark, []), "id", 250.0).count() == 0
     with pytest.raises(ValueError):
         near_pairs(frame(spark, points), "id", 0.0)
 
 
+def test_a_place_with_a_third_of_all_rows(spark, monkeypatch):
+    # sixty pages on the placeholder, neighbours of it, and others far away
+    points = [(i, (48.0, 7.0)) for i in range(60)] + [(i, (48.0 + (i - 60) * 1e-5, 7.0)) for i in range(61, 80)] + [(i, (i - 100.0, 7.0)) for i in range(80, 130)] + [(200, (48.000155, 7.0)), (201, (48.000155, 7.0))]
+    for broadcast in (100_000, 0):
+        monkeypatch.setattr("landweave.operators.nearby.BROADCAST", broadcast)
+        found = near_pairs(frame(spark, points), "id", 250.0, cell_rows=10).collect()
+        assert {(r.key_a, r.key_b) for r in found} == brute(points, 250.0) and len(found) == len(brute(points, 250.0))
+    groups = {r.id: (r.place_key, r.n_near) for r in near_groups(frame(spark, points), "id", 250.0, cell_rows=10).collect()}
+    assert groups[5] == (0, 80) and groups[201][0] == 200 and groups[90] == (90, 0)
+    links = {(r.key_a, r.key_b) for r in near_links(frame(spark, points), "id", 250.0, cell_rows=10).collect()}
+    assert (0, 200) in links and not any(0 < a < 60 or b < 60 for a, b in links) and len(links) == 21 * 20 // 2
+
+
 def in_ring(x, y, ring):
     inside = False
     for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
@@ -78,6 +93,41 @@ def test_locate_against_brute_force(spark):
     assert sorted(found) == sorted((p, i) for p, x, y in points for i, r in shapes if in_ring(x, y, r))
 
 
+def test_a_region_of_many_corners(spark):
+    # a ring of 3,000 corners is entered in fine cells that hold a part of its edges each
+    ring = [(10 * math.cos(t) * (1 + 0.2 * math.sin(40 * t)), 10 * math.sin(t) * (1 + 0.2 * math.sin(40 * t))) for t in [k * math.tau / 3000 for k in range(3000)]]
+    wkt = "POLYGON ((" + ", ".join(f"{x!r} {y!r}" for x, y in [*ring, ring[0]]) + "))"
+    regions = prepared_regions(spark.createDataFrame([(1, wkt), (2, "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))")], "id int, wkt string"), "id", "wkt", [])
+    from landweave.operators.regions import _cells
+
+    cells = _cells(regions.where("id = 1"), 360.0).selectExpr("size(edges) as n").collect()
+    assert len(cells) > 30 and max(c.n for c in cells) < 1000
+    random.seed(2)
+    points = [(i, random.uniform(-13, 13), random.uniform(-13, 13)) for i in range(800)]
+    found = {r.p for r in locate(spark.createDataFrame(points, "p int, x double, y double"), "x", "y", regions).where("id = 1").collect()}
+    assert found == {p for p, x, y in points if in_ring(x, y, ring)}
+
+
+def test_a_cell_with_most_points_is_split(spark):
+    # a third of the points in one cell: with thresholds for so few rows the adaptive planner splits it
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        shapes = spark.createDataFrame([(i, f"POLYGON (({i} 0, {i + 1} 0, {i + 1} 1, {i} 1, {i} 0))") for i in range(40)], "id int, wkt string")
+        points = spark.range(60_000).repartition(8).select("id", F.when(F.col("id") % 3 == 0, 5.5).otherwise(F.col("id") % 40 + 0.3).alias("x"), F.lit(0.5).alias("y"))
+        found = locate(points.withColumnRenamed("id", "p"), "x", "y", prepared_regions(shapes, "id", "wkt", []))
+        assert {(r.id, r.n) for r in found.groupBy("id").agg(F.count("*").alias("n")).where("id = 5").collect()} == {(5, 21_000)}
+        rows = found.select("p", "id")
+        assert rows.count() == 60_000
+        executed = rows.collect() and rows._jdf.queryExecution().executedPlan().toString()
+        assert "skewed" in executed or "skew=true" in executed
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_holes_parts_and_edges(spark):
     rows = [(1, "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"), (2, "MULTIPOLYGON (((20 0, 21 0, 21 1, 20 1, 20 0)), ((30 0, 31 0, 31 1, 30 1, 30 0)))")]
     regions = prepared_regions(spark.createDataFrame(rows, "id int, wkt string"), "id", "wkt", [])
