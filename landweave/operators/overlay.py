@@ -9,15 +9,16 @@ parts. A ring that crosses itself is first split into simple lobes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from landweave.functions.geo import lcc_forward, polygon_rings
+from landweave.operators.regions import box_level, grid_index
 from landweave.operators.scale import evaluated
 
 #: Corners of the polygon that stands for a circle.
@@ -126,29 +127,84 @@ def region_area(a: list[Ring], b: list[Ring]) -> float:
     return max(0.0, sum(s * t * clip_area(x, y) for s, x in parts_a for t, y in parts_b))
 
 
-def disc_area(rings: list[Ring], radius: float) -> float:
-    """Area of a region inside the polygon that stands for the circle around the origin."""
-    outside = True
-    if len(rings) == 1 and len(rings[0]) < 64:
-        # nothing to clip if no edge comes near the circle
-        ring, r2 = rings[0], radius * radius
-        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-            dx, dy = bx - ax, by - ay
-            length = dx * dx + dy * dy
-            t = max(0.0, min(1.0, -(ax * dx + ay * dy) / length)) if length else 0.0
-            if (ax + t * dx) ** 2 + (ay + t * dy) ** 2 < r2:
-                outside = False
-                break
-        if outside:
-            odd = False
-            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-                if (ay > 0) != (by > 0) and 0 < (bx - ax) * -ay / (by - ay) + ax:
-                    odd = not odd
-            return CORNERS / 2 * math.sin(2 * math.pi / CORNERS) * radius * radius if odd else 0.0
-    disc = circle(0.0, 0.0, radius)
+def convex_parts(rings: list[Ring]) -> list[tuple[int, Ring]]:
+    """Convex rings whose signed sum is the region: the only ring itself if it is convex, else triangles."""
     one = convex_ring(rings)
-    parts = [(1, one)] if one else signed_triangles(rings)
-    return max(0.0, sum(s * clip_area(disc, t) for s, t in parts))
+    return [(1, one)] if one else signed_triangles(rings)
+
+
+def disc_areas(shapes: list[list[Ring]], radii: list[float]) -> np.ndarray:
+    """Areas of regions inside the polygons that stand for circles around the origin, one row per region, one column per radius.
+
+    Where no edge comes near a circle there is nothing to clip; what remains is clipped for all
+    regions of a batch at once, edge by edge.
+    """
+    out = np.zeros((len(shapes), len(radii)))
+    if not shapes:
+        return out
+    corners = [[p for r in rings for p in r] for rings in shapes]
+    follow = [[p for r in rings for p in [*r[1:], r[0]]] for rings in shapes]
+    a, b = (np.array([p for c in side for p in c], dtype=float).reshape(-1, 2) for side in (corners, follow))
+    starts = np.r_[0, np.cumsum([len(c) for c in corners])]
+    d = b - a
+    length = (d * d).sum(1)
+    t = np.clip(np.divide(-(a * d).sum(1), length, out=np.zeros(len(a)), where=length > 0), 0, 1)
+    nearest2 = ((a + t[:, None] * d) ** 2).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = 0 < d[:, 0] * -a[:, 1] / d[:, 1] + a[:, 0]
+    crossing = ((a[:, 1] > 0) != (b[:, 1] > 0)) & right
+    nearest2, odd = np.minimum.reduceat(nearest2, starts[:-1]), np.add.reduceat(crossing.astype(int), starts[:-1]) % 2 == 1
+    whole = CORNERS / 2 * math.sin(2 * math.pi / CORNERS)
+    for k, radius in enumerate(radii):
+        far = nearest2 >= radius * radius
+        out[far & odd, k] = whole * radius * radius
+        near = np.flatnonzero(~far)
+        if len(near):
+            parts = [(i, sign, ring) for i in near for sign, ring in convex_parts(shapes[i])]
+            clipped = _clip_discs([ring for _, _, ring in parts], radius)
+            out[:, k] += np.bincount([i for i, _, _ in parts], weights=clipped * [sign for _, sign, _ in parts], minlength=len(shapes))
+    return np.maximum(out, 0.0)
+
+
+def _clip_discs(convex: list[Ring], radius: float) -> np.ndarray:
+    """Areas of the circle's polygon inside counter-clockwise convex rings, all at once.
+
+    A half-plane cuts a convex polygon in at most two places, so a polygon gains at most one
+    corner by it. Polygons are rows of corners of equal width; unused places repeat the last
+    corner, which changes no area.
+    """
+    if not convex:
+        return np.zeros(0)
+    points = np.repeat(np.array(circle(0.0, 0.0, radius))[None], len(convex), 0)
+    size = np.array([len(r) for r in convex])
+    width = int(size.max())
+    rings = np.array([[*r, *[r[-1]] * (width - len(r))] for r in convex], dtype=float)
+    rows = np.arange(len(convex))
+    for e in range(width):
+        last = e >= size - 1
+        at, to = np.where(e >= size, size - 1, e), np.where(last, 0, e + 1)
+        p, q = rings[rows, at], rings[rows, to]
+        d = q - p
+        side = d[:, None, 0] * (points[:, :, 1] - p[:, None, 1]) - d[:, None, 1] * (points[:, :, 0] - p[:, None, 0])
+        side[e >= size] = 1.0  # this ring has no further edge
+        before, before_side = np.roll(points, 1, axis=1), np.roll(side, 1, axis=1)
+        cuts = (side >= 0) != (before_side >= 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(cuts, before_side / (before_side - side), 0.0)
+        met = before + t[:, :, None] * (points - before)
+        n = points.shape[1]
+        both = np.empty((len(convex), 2 * n, 2))
+        both[:, ::2], both[:, 1::2] = met, points
+        keep = np.empty((len(convex), 2 * n), dtype=bool)
+        keep[:, ::2], keep[:, 1::2] = cuts, side >= 0
+        count = keep.sum(1)
+        most = max(1, int(count.max()))
+        order = np.argsort(~keep, axis=1, kind="stable")[:, :most]
+        order = np.where(np.arange(most)[None] < count[:, None], order, order[rows, np.maximum(count - 1, 0)][:, None])
+        points = both[rows[:, None], order]
+        points[count == 0] = 0.0
+    following = np.roll(points, -1, axis=1)
+    return np.abs((points[:, :, 0] * following[:, :, 1] - following[:, :, 0] * points[:, :, 1]).sum(1)) / 2
 
 
 def circle(x: float, y: float, radius: float) -> Ring:
@@ -171,27 +227,46 @@ def planar(regions: DataFrame, key: str, wkt: str, keep: list[str], *, project:
     return evaluated(read, box).where(F.col("minx").isNotNull())
 
 
-def _cells(df: DataFrame, size: float) -> DataFrame:
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long"))
-    return df.withColumn("_i", F.explode(span("minx", "maxx"))).withColumn("_j", F.explode(span("miny", "maxy")))
+#: Width of the plane that the grid divides; coordinates are within it on both sides of 0.
+SPAN = 2.0**26
+#: Finest resolution of that grid; far below a metre, so that shapes in degrees have theirs as well.
+FINEST = 44
+
+
+def _entered(df: DataFrame, used: list[int], prefix: str) -> DataFrame:
+    """Every row once for each cell that its box touches, at its own resolution (``own``) and all coarser ones in use.
+
+    At none of them it touches more than four.
+    """
+    levels = F.filter(F.array(*[F.lit(n) for n in used]).cast("array<int>"), lambda n: n <= F.col("_level"))
+    rows = df.withColumn("_at", F.explode(levels))
+    span = lambda a, b: F.sequence(grid_index(F.col(a), F.col("_at"), SPAN), grid_index(F.col(b), F.col("_at"), SPAN))
+    placed = rows.withColumn("_i", F.explode(span("minx", "maxx"))).withColumn("_j", F.explode(span("miny", "maxy")))
+    named = placed.withColumn("_own", F.col("_at") == F.col("_level")).drop("_level")
+    return named.select("_at", "_i", "_j", *[F.col(c).alias(f"{prefix}{c}") for c in named.columns if c not in ("_at", "_i", "_j")])
 
 
-def box_candidates(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+def box_candidates(left: DataFrame, right: DataFrame, *, extent: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes meet, each once; the columns of ``right`` get the prefix ``r_``.
 
-    Both sides are entered in all cells that their box touches; a pair is kept in the cell of
-    the lower left corner of the common box only, so nothing has to be made distinct.
+    Both sides are entered in a grid of several resolutions, and a pair meets at the coarser of
+    its two own ones, in the cell of the lower left corner of the common box; so neither a huge
+    box nor a tiny one multiplies rows, and nothing has to be made distinct. A cell with much
+    more than its share is split by the adaptive planner. ``extent`` is the width of all boxes
+    of ``left`` if it is one; then their resolution is known without looking at them.
     """
-    renamed = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    cells = renamed.withColumnsRenamed({"r_minx": "minx", "r_maxx": "maxx", "r_miny": "miny", "r_maxy": "maxy"})
-    cells = _cells(cells, size).withColumnsRenamed({"minx": "r_minx", "maxx": "r_maxx", "miny": "r_miny", "maxy": "r_maxy"})
-    corner = lambda a, b: F.floor(F.greatest(F.col(a), F.col(b)) / size).cast("long")
+    sides = [df.withColumn("_level", box_level(SPAN, FINEST)) for df in (left, right)]
+    if extent is not None:
+        # one coarser than fits, so that rounding of a box's corners does no harm
+        known = min(FINEST, max(0, math.floor(math.log2(SPAN / extent)) - 1))
+        sides[0] = left.withColumn("_level", F.lit(known))
+    used = {r[0] for df in (sides[1:] if extent is not None else sides) for r in df.select("_level").distinct().collect()}
+    used = sorted(used | ({known} if extent is not None else set()))
+    l, r = _entered(sides[0], used, ""), _entered(sides[1], used, "r_")
+    corner = lambda a, b: grid_index(F.greatest(F.col(a), F.col(b)), F.col("_at"), SPAN)
     meets = (F.col("minx") <= F.col("r_maxx")) & (F.col("r_minx") <= F.col("maxx")) & (F.col("miny") <= F.col("r_maxy")) & (F.col("r_miny") <= F.col("maxy"))
-    return (
-        _cells(left, size).join(cells, ["_i", "_j"])
-        .where(meets & (F.col("_i") == corner("minx", "r_minx")) & (F.col("_j") == corner("miny", "r_miny")))
-        .drop("_i", "_j")
-    )
+    first = (F.col("_i") == corner("minx", "r_minx")) & (F.col("_j") == corner("miny", "r_miny"))
+    return l.join(r, ["_at", "_i", "_j"]).where((F.col("_own") | F.col("r__own")) & meets & first).drop("_at", "_i", "_j", "_own", "r__own")
 
 
 def _flat(rings: Column) -> Column:
@@ -212,39 +287,50 @@ def _intersection(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([region_area(_read(x), _read(y)) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf(DoubleType())
-def _in_circle(rings: pd.Series, x: pd.Series, y: pd.Series, radius: pd.Series) -> pd.Series:
-    return pd.Series([disc_area(_read(shape, cx, cy), r) for shape, cx, cy, r in zip(rings, x, y, radius)], dtype=float)
+def _in_circles(radii: list[float]) -> Callable[..., Column]:
+    """Areas of a region inside the circles of all radii around a point."""
 
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def areas(rings: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        found = disc_areas([_read(shape, cx, cy) for shape, cx, cy in zip(rings, x, y)], radii)
+        return pd.Series(list(found), dtype=object)
 
-def overlay_shares(left: DataFrame, right: DataFrame, key: str, label: str, *, cell: float = 5000.0) -> DataFrame:
+    return areas
+
+
+def overlay_shares(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFrame:
     """``key, label, area, share``: area of each label inside each region, and its share of what is covered.
 
     Both sides come from ``planar``. The share is of the intersected area, not of the region.
     """
-    pairs = box_candidates(left.select(key, "rings", "minx", "miny", "maxx", "maxy"), right.select(label, "rings", "minx", "miny", "maxx", "maxy"), cell)
+    pairs = box_candidates(left.select(key, "rings", "minx", "miny", "maxx", "maxy"), right.select(label, "rings", "minx", "miny", "maxx", "maxy"))
     areas = pairs.withColumn("area", _intersection(_flat(F.col("rings")), _flat(F.col("r_rings")))).where(F.col("area") > 0)
     sums = areas.groupBy(key, F.col(f"r_{label}").alias(label)).agg(F.sum("area").alias("area"))
     totals = sums.groupBy(key).agg(F.sum("area").alias("_total"))
     return sums.join(totals, key).select(key, label, "area", (F.col("area") / F.col("_total")).alias("share"))
 
 
-def buffer_shares(points: DataFrame, regions: DataFrame, label: str, radii: list[float], *, cell: float = 2000.0) -> DataFrame:
+def overlapping(regions: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """``key`` of the regions that share area with any of the others; touching is not enough. Both sides come from ``planar``."""
+    box = ["rings", "minx", "miny", "maxx", "maxy"]
+    pairs = box_candidates(regions.select(key, *box), others.select(*box))
+    return pairs.where(_intersection(_flat(F.col("rings")), _flat(F.col("r_rings"))) > 0).select(key).distinct()
+
+
+def buffer_shares(points: DataFrame, regions: DataFrame, label: str, radii: list[float]) -> DataFrame:
     """``point columns, radius, label, share``: share of the buffer around a point that each label covers.
 
     ``points`` has plane coordinates ``x, y``; shares are of the buffer polygon's own area. A
-    buffer that meets nothing gives no row.
+    buffer that meets nothing gives no row. A region meets a point once, for all radii.
     """
-    spread = points.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
-    boxes = spread.withColumns({
-        "minx": F.col("x") - F.col("radius"), "maxx": F.col("x") + F.col("radius"),
-        "miny": F.col("y") - F.col("radius"), "maxy": F.col("y") + F.col("radius"),
-    })
-    pairs = box_candidates(boxes, regions.select(label, "rings", "minx", "miny", "maxx", "maxy"), cell)
+    most = max(float(r) for r in radii)
+    boxes = points.withColumns({"minx": F.col("x") - most, "maxx": F.col("x") + most, "miny": F.col("y") - most, "maxy": F.col("y") + most})
+    pairs = box_candidates(boxes, regions.select(label, "rings", "minx", "miny", "maxx", "maxy"), extent=2 * most)
     whole = CORNERS / 2 * math.sin(2 * math.pi / CORNERS)
-    covered = _in_circle(_flat(F.col("r_rings")), "x", "y", "radius") / (whole * F.col("radius") * F.col("radius"))
-    shares = pairs.withColumn("share", covered).where(F.col("share") > 0)
-    return shares.groupBy(*points.columns, "radius", F.col(f"r_{label}").alias("label")).agg(F.sum("share").alias("share"))
+    covered = pairs.withColumn("_areas", _in_circles([float(r) for r in radii])(_flat(F.col("r_rings")), "x", "y"))
+    each = F.array(*[F.struct(F.lit(float(r)).alias("radius"), (F.get("_areas", F.lit(i)) / (whole * r * r)).alias("share")) for i, r in enumerate(radii)])
+    shares = covered.select(*points.columns, F.col(f"r_{label}").alias("label"), F.inline(each)).where(F.col("share") > 0)
+    return shares.groupBy(*points.columns, "radius", "label").agg(F.sum("share").alias("share"))
 
 
 def entropy(shares: Column) -> Column:

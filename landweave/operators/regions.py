@@ -1,8 +1,11 @@
 """The region around a point: a grid of several resolutions, then the exact even-odd test.
 
-Every region is entered at the resolution at which its bounding box touches at most four
-cells; a point asks one cell of each resolution that is in use. Neither a huge region nor a
-tiny one multiplies rows, and both sides meet in an equi-join.
+Every region is entered at a resolution at which its bounding box touches few cells: at most
+four, and more if it has many corners. A cell holds only those edges of the region that a ray
+from a point in the cell to the right can meet, so neither a huge region nor one of very many
+corners brings its whole outline to every point. A point asks one cell of each resolution that
+is in use, and both sides meet in an equi-join, which the adaptive planner (on by default)
+splits where one cell has much more than its share of the points.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from landweave.operators.scale import evaluated
 
 #: Finest resolution: cells of world / 2**LEVELS.
 LEVELS = 24
+#: A region of more edges than this is entered in finer cells, at most FINER resolutions finer.
+EDGES, FINER = 16, 5
 
 
 def prepared_regions(regions: DataFrame, key: str, wkt: str, keep: list[str]) -> DataFrame:
@@ -26,31 +31,45 @@ def prepared_regions(regions: DataFrame, key: str, wkt: str, keep: list[str]) ->
     return evaluated(edges.where(F.size("edges") >= 3), box)
 
 
-def _index(value: Column, level: Column, span: float) -> Column:
+def box_level(span: float, finest: int = LEVELS) -> Column:
+    """The finest resolution at which the bounding box is no larger than a cell, so that it touches four at most."""
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(span / 2**finest))
+    return F.least(F.lit(finest), F.greatest(F.lit(0), F.floor(F.log2(span / extent)))).cast("int")
+
+
+def grid_index(value: Column, level: Column, span: float) -> Column:
     return F.floor(value * F.pow(F.lit(2.0), level) / span).cast("long")
 
 
-def locate(
-    points: DataFrame, x: str, y: str, regions: DataFrame, *, span: float = 360.0, boundary: bool = True
-) -> DataFrame:
+def _cells(regions: DataFrame, span: float) -> DataFrame:
+    """Every region once for each cell of its resolution that its box touches, with the edges that count there."""
+    finer = F.least(F.lit(FINER), F.greatest(F.lit(0), F.floor(F.log2(F.size("edges") / EDGES) / 2))).cast("int")
+    leveled = regions.withColumn("_level", F.least(F.lit(LEVELS), box_level(span) + finer))
+    across = F.sequence(grid_index(F.col("minx"), F.col("_level"), span), grid_index(F.col("maxx"), F.col("_level"), span))
+    down = F.sequence(grid_index(F.col("miny"), F.col("_level"), span), grid_index(F.col("maxy"), F.col("_level"), span))
+    placed = leveled.withColumn("_i", F.explode(across)).withColumn("_j", F.explode(down))
+    size = F.lit(span) / F.pow(F.lit(2.0), F.col("_level"))
+    slack = span * 1e-12
+    left, low, high = F.col("_i") * size - slack, F.col("_j") * size - slack, (F.col("_j") + 1) * size + slack
+    near = F.filter("edges", lambda e: (F.greatest(e["ax"], e["bx"]) >= left) & (F.greatest(e["ay"], e["by"]) >= low) & (F.least(e["ay"], e["by"]) <= high))
+    # a region of a few edges is not worth looking through
+    return placed.withColumn("edges", F.when(F.size("edges") > EDGES, near).otherwise(F.col("edges")))
+
+
+def locate(points: DataFrame, x: str, y: str, regions: DataFrame, *, span: float = 360.0, boundary: bool = True) -> DataFrame:
     """Inner join of ``points`` with the prepared ``regions`` that contain them.
 
-    ``boundary`` tells whether points on an edge count. All columns of both sides come out, so
-    their names must differ; a point with a null coordinate or in no region gives no row.
+    ``boundary`` tells whether points on an edge count. All columns of both sides come out but
+    the regions' edges and boxes, so their names must differ; a point with a null coordinate or
+    in no region gives no row.
     """
-    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(span / 2**LEVELS))
-    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(F.log2(span / extent)))).cast("int")
-    leveled = regions.withColumn("_level", level)
-    levels = F.sequence(_index(F.col("minx"), F.col("_level"), span), _index(F.col("maxx"), F.col("_level"), span))
-    rows = F.sequence(_index(F.col("miny"), F.col("_level"), span), _index(F.col("maxy"), F.col("_level"), span))
-    cells = leveled.withColumn("_i", F.explode(levels)).withColumn("_j", F.explode(rows))
-
+    cells = _cells(regions, span)
     # which resolutions are in use: at most LEVELS + 1 numbers
-    used = sorted(r[0] for r in leveled.select("_level").distinct().collect())
+    used = sorted(r[0] for r in cells.select("_level").distinct().collect())
     asked = (
         points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>")))
-        .withColumns({"_i": _index(F.col(x), F.col("_level"), span), "_j": _index(F.col(y), F.col("_level"), span)})
+        .withColumns({"_i": grid_index(F.col(x), F.col("_level"), span), "_j": grid_index(F.col(y), F.col("_level"), span)})
     )
     inside = inside_rings(F.col("edges"), F.col(x), F.col(y))
     edge = on_boundary(F.col("edges"), F.col(x), F.col(y))
@@ -59,5 +78,5 @@ def locate(
         asked.join(cells, ["_level", "_i", "_j"])
         .where(F.col(x).between(F.col("minx"), F.col("maxx")) & F.col(y).between(F.col("miny"), F.col("maxy")))
         .where(exact)
-        .drop("_level", "_i", "_j")
+        .drop("_level", "_i", "_j", "edges", "minx", "maxx", "miny", "maxy")
     )

@@ -75,7 +75,7 @@ _OVERLAY = """, boxes AS (SELECT id, code_18, list_min(x) AS minx, list_max(x) A
 @query(with_sql("articles", "corners").rstrip() + _OVERLAY + " SELECT pageid, code_18, round(area * 1e6, 4) AS area, round(area / sum(area) OVER (PARTITION BY pageid), 6) AS share FROM sums")
 def d5_overlay_share(spark: SparkSession, folder: str) -> DataFrame:
     left, right = _boxes(spark, folder)
-    shares = overlay_shares(left, right, "pageid", "code_18", cell=0.05)
+    shares = overlay_shares(left, right, "pageid", "code_18")
     return shares.select("pageid", "code_18", F.round(F.col("area") * 1e6, 4).alias("area"), F.round("share", 6).alias("share"))
 
 
@@ -83,7 +83,7 @@ def d5_overlay_share(spark: SparkSession, folder: str) -> DataFrame:
   SELECT pageid, count(*) AS n_labels, round(-sum(p * ln(p)) + 0, 5) AS entropy, round(CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END, 5) AS normalized_entropy FROM shares GROUP BY pageid""")
 def e14_entropy(spark: SparkSession, folder: str) -> DataFrame:
     left, right = _boxes(spark, folder)
-    lists = overlay_shares(left, right, "pageid", "code_18", cell=0.05).groupBy("pageid").agg(F.collect_list("share").alias("p"))
+    lists = overlay_shares(left, right, "pageid", "code_18").groupBy("pageid").agg(F.collect_list("share").alias("p"))
     return lists.select("pageid", F.size("p").cast("long").alias("n_labels"), F.round(entropy(F.col("p")) + 0.0, 5).alias("entropy"), F.round(normalized_entropy(F.col("p")) + 0.0, 5).alias("normalized_entropy"))
 
 

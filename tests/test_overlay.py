@@ -49,10 +49,10 @@ def test_multi_label_truth_and_either(spark):
 def test_overlay(spark):
     left = overlay.planar(spark.createDataFrame([("o", box(0, 0, 10, 10))], "osm_id string, geometry string"), "osm_id", "geometry", [], project=False)
     right = overlay.planar(polygons(spark, ("311", box(0, 0, 4, 10)), ("112", box(4, 0, 10, 10))), "id", "geometry", ["code_18"], project=False)
-    rows = {r.code_18: (round(r.area, 9), round(r.share, 9)) for r in overlay.overlay_shares(left, right, "osm_id", "code_18", cell=3.0).collect()}
+    rows = {r.code_18: (round(r.area, 9), round(r.share, 9)) for r in overlay.overlay_shares(left, right, "osm_id", "code_18").collect()}
     assert rows == {"311": (40.0, 0.4), "112": (60.0, 0.6)}
     half = overlay.planar(polygons(spark, ("311", box(0, 0, 5, 5)), ("311", box(0, 5, 5, 10))), "id", "geometry", ["code_18"], project=False)
-    assert [(r.area, r.share) for r in overlay.overlay_shares(left, half, "osm_id", "code_18", cell=3.0).collect()] == [(50.0, 1.0)]
+    assert [(r.area, r.share) for r in overlay.overlay_shares(left, half, "osm_id", "code_18").collect()] == [(50.0, 1.0)]
     assert overlay.overlay_shares(left, half.limit(0), "osm_id", "code_18").count() == 0
 
 
@@ -75,10 +75,28 @@ def test_region_area_against_sampling():
         assert overlay.region_area([a, hole], [other]) == pytest.approx(36 * hits / n, rel=0.03)
     assert overlay.region_area([[(0, 0), (2, 2), (2, 0), (0, 2)]], [[(0, 0), (2, 0), (2, 2), (0, 2)]]) == pytest.approx(2.0)
     assert overlay.convex_ring([other]) is None and overlay.convex_ring([hole[::-1]]) is not None
-    disc = overlay.circle(0, 0, 1.0)
-    for shift in (0.0, 0.7, 1.5, 3.0):
-        moved = [(x + shift, y) for x, y in star]
-        assert overlay.disc_area([moved], 1.0) == pytest.approx(overlay.region_area([moved], [disc]), abs=1e-9)
+    shapes = [[[(x + shift, y) for x, y in ring] for ring in rings] for shift in (0.0, 0.3, 0.7, 1.5, 3.0, 9.0) for rings in ([star], [star, hole], [hole], [[(0, 0), (2, 2), (2, 0), (0, 2)]], [[(-9, -9), (9, -9), (9, 9), (-9, 9)]], [hole[::-1]], [other], [hole[:3]])]
+    found = overlay.disc_areas(shapes, [1.0, 2.5, 0.01])
+    for row, shape in zip(found, shapes):
+        assert row == pytest.approx([overlay.region_area(shape, [overlay.circle(0, 0, r)]) for r in (1.0, 2.5, 0.01)], abs=1e-9)
+    assert overlay.disc_areas([], [1.0]).shape == (0, 1)
+
+
+def test_box_candidates_against_brute_force(spark):
+    random.seed(6)
+    boxes = [(i, *(c := (random.uniform(-50, 50), random.uniform(-50, 50))), c[0] + random.choice([0.0, 1e-4, 0.1, 3.0, 80.0]), c[1] + random.choice([0.0, 1e-4, 0.1, 3.0, 80.0])) for i in range(160)]
+    df = spark.createDataFrame(boxes, "id int, minx double, miny double, maxx double, maxy double")
+    left, right = df.where("id < 80"), df.where("id >= 80")
+    found = [(r.id, r.r_id) for r in overlay.box_candidates(left, right).collect()]
+    meets = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    assert sorted(found) == sorted((a[0], b[0]) for a in boxes[:80] for b in boxes[80:] if meets(a, b))
+    assert overlay.box_candidates(left, right.limit(0)).count() == 0
+
+
+def test_overlapping_is_more_than_touching(spark):
+    tags = overlay.planar(polygons(spark, ("a", box(0, 0, 1, 1)), ("b", box(2, 0, 3, 1)), ("c", box(7, 7, 8, 8)), ("d", box(0, 0, 20, 20))), "id", "geometry", [], project=False)
+    cover = overlay.planar(polygons(spark, ("311", box(1, 0, 2.5, 1)), ("211", box(30, 30, 31, 31))), "id", "geometry", [], project=False)
+    assert {r.id for r in overlay.overlapping(tags, cover, "id").collect()} == {1, 3}
 
 
 def confidence(spark, rows, label="31"):
