@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import partial
 
 from pyspark.sql import Column
@@ -241,38 +241,60 @@ def article_types(categories: Column) -> Column:
 _PARTS = r"[,;/|\n\s]+"
 
 
+# What a result says of a response that it cannot be read from.
+NOT_STRINGS, UNKNOWN, NOTHING = "JSON list fields must contain only strings", "Unknown labels in JSON: ", "No valid allowed labels found"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_response(raw: Column, allowed: Iterable[str]) -> Column:
     """STRUCT of ``labels`` (allowed ones, in the given order) and ``error`` of a raw response.
 
     A JSON object gives its ``labels`` list or the parts of its ``label``; other JSON gives
-    nothing; only text that is no JSON is scanned for allowed labels as words.
+    nothing; only text that is no JSON is scanned for allowed labels as words. The text is
+    parsed once.
     """
     allowed = list(allowed)
-    parsed = F.try_parse_json(raw)
-    is_json = parsed.isNotNull() & surely(F.length(F.trim(raw)) > 0)
-    is_object = is_json & F.schema_of_variant(parsed).startswith("OBJECT")
-    listed = F.get_json_object(raw, "$.labels")
-    is_list = surely(is_object & F.try_variant_get(parsed, "$.labels", "variant").isNotNull() & F.schema_of_variant(F.try_variant_get(parsed, "$.labels", "variant")).startswith("ARRAY"))
-    members = F.from_json(listed, "array<string>")
-    # members of a JSON list as written, to tell strings from others
-    written = F.transform(F.try_variant_get(parsed, "$.labels", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
-    strings = F.filter(F.arrays_zip(members.alias("m"), written.alias("w")), lambda z: surely(z["w"]))
-    single = F.try_variant_get(parsed, "$.label", "variant")
-    is_single = surely(is_object & ~is_list & (F.schema_of_variant(single) == "STRING"))
-    parts = F.filter(F.split(F.get_json_object(raw, "$.label"), _PARTS), lambda p: p != "")
+    none, order = F.array().cast("array<string>"), F.array(*[F.lit(a) for a in allowed])
+
+    def read(v: Column) -> Column:
+        """``json``, ``names``, ``mixed`` of the parsed response."""
+        items = F.try_variant_get(v, "$.labels", "array<variant>")
+        texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+        single = F.try_variant_get(v, "$.label", "variant")
+        parts = F.filter(F.split(F.try_variant_get(single, "$", "string"), _PARTS), lambda p: p != "")
+        alone = F.when(surely(F.schema_of_variant(single) == "STRING"), parts)
+        return F.struct(
+            v.isNotNull().alias("json"), F.coalesce(F.array_compact(texts), alone, none).alias("names"),
+            surely(F.exists(texts, lambda t: t.isNull())).alias("mixed"),
+        )
+
+    def judge(r: Column) -> Column:
+        labels = F.when(r["json"], F.filter(order, lambda a: F.array_contains(r["names"], a))).otherwise(_named_words(raw, allowed))
+        unknown = F.array_sort(F.array_distinct(F.filter(F.array_except(r["names"], order), lambda u: u != "")))
+        error = F.when(r["mixed"], NOT_STRINGS).when(F.size(unknown) > 0, F.concat(F.lit(UNKNOWN), F.array_join(unknown, ", ")))
+        return F.struct(labels.alias("labels"), error.alias("error"))
+
+    def settle(j: Column) -> Column:
+        return F.struct(j["labels"].alias("labels"), F.coalesce(j["error"], F.when(F.size(j["labels"]) == 0, NOTHING)).alias("error"))
+
+    parsed = F.when(F.trim(raw) != "", F.try_parse_json(raw))
+    return bound(parsed, lambda v: bound(read(v), lambda r: bound(judge(r), settle)))
+
+
+def _named_words(raw: Column, allowed: list[str]) -> Column:
+    """The allowed labels that the text has as words, in any letter case."""
     none = F.array().cast("array<string>")
-    named_ = F.when(is_list, F.transform(strings, lambda z: z["m"])).when(is_single, parts).otherwise(none)
-    scanned = F.array_compact(F.array(*[F.when(raw.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){_quote(a)}(?![\p{{L}}\p{{N}}_])"), F.lit(a)) for a in allowed]))
-    order = F.array(*[F.lit(a) for a in allowed])
-    labels = F.when(is_json, F.filter(order, lambda a: F.array_contains(named_, a))).otherwise(F.coalesce(scanned, none))
-    mixed = surely(is_list & ~F.forall(written, lambda w: surely(w)))
-    unknown = F.array_sort(F.array_distinct(F.filter(F.array_except(named_, order), lambda u: u != "")))
-    error = (
-        F.when(mixed, "JSON list fields must contain only strings")
-        .when(is_json & (F.size(unknown) > 0), F.concat(F.lit("Unknown labels in JSON: "), F.array_join(unknown, ", ")))
-        .when(F.size(labels) == 0, "No valid allowed labels found")
-    )
-    return F.struct(labels.alias("labels"), error.alias("error"))
+    border = r"[\p{L}\p{N}_]"
+    if all(c.isalnum() or c == "_" for a in allowed for c in a) and len({a.lower() for a in allowed}) == len(allowed):
+        # labels that are words cannot overlap: one search finds all
+        found = F.regexp_extract_all(raw, F.lit(rf"(?iu)(?<!{border})({'|'.join(allowed)})(?!{border})"), F.lit(1))
+        return F.coalesce(bound(F.transform(found, F.lower), lambda f: F.filter(F.array(*[F.lit(a) for a in allowed]), lambda a: F.array_contains(f, F.lower(a)))), none)
+    hits = [F.when(raw.rlike(rf"(?iu)(?<!{border}){_quote(a)}(?!{border})"), F.lit(a)) for a in allowed]
+    return F.array_compact(F.array(*hits))
 
 
 def _quote(text: str) -> str:
@@ -291,7 +313,7 @@ def single_label_result(parsed: Column) -> Column:
 def multi_label_result(parsed: Column, *, tolerate_unknown: bool = True) -> Column:
     """STRUCT of prediction, status and error for a task with several labels; unknown ones may be tolerated."""
     labels, error = parsed["labels"], parsed["error"]
-    fatal = error.isNotNull() & ~(F.lit(tolerate_unknown) & surely(error.startswith("Unknown labels in JSON:")))
+    fatal = error.isNotNull() & ~(F.lit(tolerate_unknown) & surely(error.startswith(UNKNOWN.strip())))
     status = F.when(fatal, "error").otherwise("ok")
     return F.struct(F.when(~fatal, labels).alias("prediction"), status.alias("parse_status"), F.when(fatal, error).alias("error"))
 

@@ -164,31 +164,31 @@ def f20_article_types(spark: SparkSession, folder: str) -> DataFrame:
 
 def _responses(spark: SparkSession, folder: str) -> DataFrame:
     """Raw model responses of many shapes, from predictions."""
-    rows = inputs.records(spark, folder).where("model = 'model_q'")
+    rows = inputs.records(spark, folder)
     p, kind = F.col("prediction"), F.pmod(F.col("row_idx"), F.lit(8))
     raw = (
         F.when(p.isNull(), "no idea").when(kind == 0, F.concat(F.lit('{"labels":["'), p, F.lit('"]}'))).when(kind == 1, F.concat(F.lit('{"label": "'), p, F.lit(', 99"}')))
         .when(kind == 2, F.concat(F.lit("I predict "), p, F.lit("."))).when(kind == 3, F.concat(F.lit('{"labels":["'), p, F.lit('", 32]}'))).when(kind == 4, F.concat(F.lit('["'), p, F.lit('"]')))
         .when(kind == 5, F.concat(F.lit('{"labels":["'), p, F.lit('", "51"]}'))).when(kind == 6, F.concat(F.lit("1"), p)).otherwise(F.concat(F.lit('{"label": "'), p, F.lit('"}')))
     )
-    return rows.select("pageid", "text_source", raw.alias("raw"))
+    return rows.select("pageid", "model", "text_source", raw.alias("raw"))
 
 
-_RAW_SQL = with_sql("records").rstrip() + """, raws AS (SELECT pageid, text_source, row_idx % 8 AS kind, prediction AS p, CASE WHEN prediction IS NULL THEN 'no idea' END AS bad FROM records WHERE model = 'model_q'),
-  parsed AS (SELECT pageid, text_source, CASE WHEN bad IS NOT NULL THEN [] WHEN kind IN (4, 6) THEN [] WHEN kind = 5 THEN list_sort(list_distinct([p, '51'])) ELSE [p] END AS labels,
+_RAW_SQL = with_sql("records").rstrip() + """, raws AS (SELECT pageid, model, text_source, row_idx % 8 AS kind, prediction AS p, CASE WHEN prediction IS NULL THEN 'no idea' END AS bad FROM records),
+  parsed AS (SELECT pageid, model, text_source, CASE WHEN bad IS NOT NULL THEN [] WHEN kind IN (4, 6) THEN [] WHEN kind = 5 THEN list_sort(list_distinct([p, '51'])) ELSE [p] END AS labels,
     CASE WHEN bad IS NOT NULL OR kind IN (4, 6) THEN 'No valid allowed labels found' WHEN kind = 1 THEN 'Unknown labels in JSON: 99' WHEN kind = 3 THEN 'JSON list fields must contain only strings' END AS error FROM raws)"""
 
 
-@query(_RAW_SQL + " SELECT pageid, text_source, array_to_string(labels, ',') AS labels, error FROM parsed")
+@query(_RAW_SQL + " SELECT pageid, model, text_source, array_to_string(labels, ',') AS labels, error FROM parsed")
 def f22_parse_response(spark: SparkSession, folder: str) -> DataFrame:
     rows = evaluated(_responses(spark, folder), {"parsed": C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS)})
-    return rows.select("pageid", "text_source", F.array_join("parsed.labels", ",").alias("labels"), F.col("parsed.error").alias("error"))
+    return rows.select("pageid", "model", "text_source", F.array_join("parsed.labels", ",").alias("labels"), F.col("parsed.error").alias("error"))
 
 
-@query(_RAW_SQL + " SELECT pageid, text_source, CASE WHEN error IS NULL AND len(labels) = 1 THEN labels[1] END AS prediction, CASE WHEN error IS NOT NULL THEN 'error' WHEN len(labels) > 1 THEN 'ambiguous' ELSE 'ok' END AS parse_status FROM parsed")
+@query(_RAW_SQL + " SELECT pageid, model, text_source, CASE WHEN error IS NULL AND len(labels) = 1 THEN labels[1] END AS prediction, CASE WHEN error IS NOT NULL THEN 'error' WHEN len(labels) > 1 THEN 'ambiguous' ELSE 'ok' END AS parse_status FROM parsed")
 def f23_single_label_result(spark: SparkSession, folder: str) -> DataFrame:
     result = C.single_label_result(F.col("parsed"))
-    return evaluated(_responses(spark, folder), {"parsed": C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS)}).select("pageid", "text_source", result["prediction"].alias("prediction"), result["parse_status"].alias("parse_status"))
+    return evaluated(_responses(spark, folder), {"parsed": C.parse_response(F.col("raw"), vocab.LEVEL2_LABELS)}).select("pageid", "model", "text_source", result["prediction"].alias("prediction"), result["parse_status"].alias("parse_status"))
 
 
 @query(with_sql("records") + "SELECT pageid, model, text_source, CASE WHEN parse_status = 'ok' AND prediction NOT IN ('21','22','23','24','31','32') THEN 'unknown prediction labels: ' || prediction END AS problem FROM records")
