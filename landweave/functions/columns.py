@@ -339,3 +339,8 @@ def stable_seed(*parts: Column) -> Column:
     """Unsigned 64-bit number of the first half of a SHA-256 digest, as DECIMAL(20, 0)."""
     digest = F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256)
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def source_pixels(window_m: Column, pixel_m: int = 10) -> Column:
+    """Pixels of a source image that a window of so many metres touches at least."""
+    return F.ceil(window_m / pixel_m)

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landweave.functions.columns import jaccard, safe_div, surely
+from landweave.operators.ranks import digest_key, smallest_by_digest
+
 
 def seed_of(*parts: object) -> int:
     """64-bit seed of a SHA-256 digest of the parts."""
@@ -29,8 +32,60 @@ def rotated(rows: DataFrame, order: str, value: str) -> DataFrame:
     return wanted.join(following, "_rank").drop("_rank", "_n", "rank")
 
 
-def global_rank(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """``rows`` with their ``rank`` from 1 in ``order`` (unique); ranges are ranked apart and shifted."""
+def shuffled_among(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``rows`` with ``shuffled_from``: another row's key, each once, by a random cycle.
+
+    Rows in the order of their digests of seed and key hand their key to the one before, so no
+    row gets its own, at any size, without a permutation on the driver; a single row keeps its
+    own. ``key`` must be unique; null keys are left out.
+    """
+    placed = rows.where(F.col(key).isNotNull()).withColumn("_order", F.struct(digest_key([key], seed).alias("digest"), F.col(key).cast("string").alias("key")))
+    ranked = global_rank(placed, "_order.digest", tie="_order.key")
+    total = ranked.agg(F.count("*").alias("_n"))
+    following = ranked.select(F.col("rank").alias("_rank"), F.col(key).alias("shuffled_from"))
+    wanted = ranked.join(F.broadcast(total), F.lit(True)).withColumn("_rank", F.col("rank") % F.col("_n") + 1)
+    return wanted.join(following, "_rank").drop("_rank", "_n", "rank", "_order")
+
+
+def same_size_sample(universe: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows of ``universe`` by smallest digests of seed and key; none at all if there are fewer."""
+    rows = universe.where(F.col(key).isNotNull()).withColumns({"_all": F.lit(0), "_n": F.lit(n)})
+    drawn = smallest_by_digest(rows, ["_all"], [key], "_n", seed).drop("_all", "_n", "rank")
+    enough = drawn.agg((F.count("*") >= n).alias("_enough"))
+    return drawn.join(F.broadcast(enough), F.lit(True)).where("_enough").drop("_enough")
+
+
+def same_targets_sample(universe: DataFrame, observed: DataFrame, key: str, target: str, seed: int) -> DataFrame:
+    """Rows of ``universe`` with as many of each target as ``observed`` has; none at all if any target has too few.
+
+    Targets that are sets should be given as text (``label_set_key``). Null targets are left out.
+    """
+    wanted = observed.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("_n"))
+    rows = universe.where(F.col(key).isNotNull()).join(F.broadcast(wanted), F.col(target) == F.col("_t")).drop("_t")
+    drawn = smallest_by_digest(rows, [target], [key], "_n", seed).drop("rank", "_n")
+    enough = wanted.agg(F.sum("_n").alias("_wanted")).join(drawn.agg(F.count("*").alias("_drawn")), F.lit(True))
+    return drawn.join(F.broadcast(enough), F.lit(True)).where(F.col("_wanted") == F.col("_drawn")).drop("_wanted", "_drawn")
+
+
+def selection_scores(records: DataFrame, members: DataFrame, groups: Sequence[str], labels: Sequence[str] | None, key: str = "pageid") -> DataFrame:
+    """``groups, n, score`` of selected records: mean Jaccard of label sets, or with ``labels`` balanced accuracy.
+
+    ``members`` has ``groups`` and ``key``. A record that is not ok has an empty set, or counts
+    for no label. Labels that no selected record has count as 0.
+    """
+    rows = records.join(members, key)
+    ok = surely(F.col("parse_status") == "ok")
+    if labels is None:
+        none = F.array().cast("array<string>")
+        likeness = jaccard(F.coalesce("target", none), F.when(ok, F.coalesce("prediction", none)).otherwise(none))
+        return rows.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(likeness).alias("score"))
+    seen = ok & F.col("prediction").isNotNull()
+    recalls = [safe_div(F.count_if(seen & (F.col("target") == x) & (F.col("prediction") == x)), F.count_if(seen & (F.col("target") == x))) for x in labels]
+    return rows.groupBy(*groups).agg(F.count("*").alias("n"), (sum(recalls[1:], recalls[0]) / len(labels)).alias("score"))
+
+
+def global_rank(rows: DataFrame, order: str, parts: int = 64, tie: str | None = None) -> DataFrame:
+    """``rows`` with their ``rank`` from 1 in ``order`` (unique, or with ``tie`` among equals); ranges are ranked apart and shifted."""
     cuts = rows.select(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0] or []
     bucket = F.lit(0)
     for c in dict.fromkeys(cuts):
@@ -39,7 +94,7 @@ def global_rank(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(order, *([tie] if tie else [])))
     return placed.withColumn("_own", own).join(F.broadcast(offsets), "_bucket").withColumn("rank", F.col("_own") + F.col("_offset")).drop("_bucket", "_own", "_offset")
 
 

@@ -57,3 +57,52 @@ def conclusion(same_n: Column, matched: Column) -> Column:
     """Reading of two percentiles: above the random subsets of the same size, and of the same targets."""
     high, higher = same_n >= 95, matched >= 95
     return F.when(same_n.isNull() | matched.isNull(), "not_available").when(high & higher, "above_both_controls").when(higher, "above_target_matched_only").when(high, "above_same_n_only").otherwise("not_above_controls")
+
+
+# ---- cells of reports --------------------------------------------------------------------------
+
+
+def beats(value: Column, baseline: Column) -> Column:
+    """``yes`` or ``no``; ``n/a`` if either is no number."""
+    return F.when(value.isNull() | baseline.isNull(), "n/a").when(value > baseline, "yes").otherwise("no")
+
+
+def rounded_cell(value: Column) -> Column:
+    """A number with four decimals; nothing for null."""
+    return F.when(value.isNotNull(), F.format_string("%.4f", value)).otherwise("")
+
+
+def interval_text(low: Column, high: Column) -> Column:
+    """``[low, high]`` with four decimals; nothing unless both are there."""
+    return F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit("["), F.format_string("%.4f", low), F.lit(", "), F.format_string("%.4f", high), F.lit("]"))).otherwise("")
+
+
+def model_key(name: Column) -> Column:
+    """Short key of a model's name: its family, else letters and digits with underscores."""
+    low = F.lower(name)
+    plain = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(F.contains(low, F.lit("qwen")), "qwen").when(F.contains(low, F.lit("gemma")), "gemma").when(plain != "", plain).otherwise("unknown_model")
+
+
+# The sources, subsets and metrics of the headline table.
+HEADLINE_SOURCES = ("content", "summary_no_place", "landuse_evidence_summary")
+HEADLINE_SUBSETS = (
+    "relevance_medium_high", "point_label_share_250m_ge_0.8", "relevance_medium_high_and_spatial_250m_ge_0.8", "quality_high_or_very_high_and_spatial_250m_ge_0.8",
+    "recommended_use_training", "recommended_use_evaluation_only",
+)
+
+
+def headline(summary: DataFrame, groups: Sequence[str] = ("model", "text_source", "subset")) -> DataFrame:
+    """One row per headline subset and source: the observed score with both controls' mean, interval and percentile, and their reading.
+
+    ``summary`` has a row per ``groups`` and ``control`` (``draw_summary``); a control may be missing.
+    """
+    kept = summary.where(F.col("text_source").isin(*HEADLINE_SOURCES) & F.col("subset").isin(*HEADLINE_SUBSETS))
+    pick = lambda control, c: F.max(F.when(F.col("control") == control, F.col(c)))
+    parts = {f"{control}_{c}": pick(control, c) for control in ("same_n", "same_targets") for c in ("mean", "q025", "q975", "percentile")}
+    rows = kept.groupBy(*groups).agg(F.max("observed").alias("observed"), *[c.alias(n) for n, c in parts.items()])
+    return rows.select(
+        *groups, "observed", *[x for control in ("same_n", "same_targets") for x in (
+            F.col(f"{control}_mean"), interval_text(F.col(f"{control}_q025"), F.col(f"{control}_q975")).alias(f"{control}_interval"), F.col(f"{control}_percentile"))],
+        conclusion(F.col("same_n_percentile"), F.col("same_targets_percentile")).alias("conclusion"),
+    )
