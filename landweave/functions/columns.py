@@ -344,3 +344,10 @@ def stable_seed(*parts: Column) -> Column:
 def source_pixels(window_m: Column, pixel_m: int = 10) -> Column:
     """Pixels of a source image that a window of so many metres touches at least."""
     return F.ceil(window_m / pixel_m)
+
+
+def payload_categories(payload: Column) -> Column:
+    """``categories`` of a JSON payload: texts, and titles of objects; other items are left out, without a list there are none."""
+    items = F.try_variant_get(F.try_parse_json(payload), "$.categories", "array<variant>")
+    title = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.when(F.schema_of_variant(F.try_variant_get(x, "$.title", "variant")) == "STRING", F.try_variant_get(x, "$.title", "string")))
+    return F.coalesce(F.array_compact(F.transform(items, title)), F.array().cast("array<string>"))

@@ -257,3 +257,24 @@ def first_two_models(metrics: DataFrame, keys: Sequence[str], values: Sequence[s
     a = placed.where(F.col("_at") == 1).select(*keys, F.col("model").alias("model_a"), *[F.col(v).alias(f"a_{v}") for v in values])
     b = placed.where(F.col("_at") == 2).select(*keys, F.col("model").alias("model_b"), *[F.col(v).alias(f"b_{v}") for v in values])
     return a.join(b, list(keys)).select(*keys, "model_a", "model_b", *[(F.col(f"a_{v}") - F.col(f"b_{v}")).alias(f"delta_{v}") for v in values])
+
+
+def ok_records(records: DataFrame, *, lenient: bool = False) -> DataFrame:
+    """Records of status ok that have a prediction; ``lenient`` takes a missing status for ok and keeps missing predictions."""
+    status = F.col("parse_status")
+    return records.where(F.coalesce(status, F.lit("ok")) == "ok") if lenient else records.where(surely(status == "ok") & F.col("prediction").isNotNull())
+
+
+#: Labels that a universe may have; more are no labels.
+MOST_LABELS = 10_000
+
+
+def observed_labels(confusion: DataFrame, *, predicted: bool = True) -> list[str]:
+    """Labels that occur as target, and with ``predicted`` as counted prediction, in order; from counts, not from records."""
+    both = confusion.select(F.col("target").alias("label"))
+    if predicted:
+        both = both.unionByName(confusion.where("ok").select(F.col("prediction").alias("label")))
+    rows = both.where(F.col("label").isNotNull()).distinct().limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    return sorted(r["label"] for r in rows)

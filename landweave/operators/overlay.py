@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from landweave.functions.geo import lcc_forward, polygon_rings
+from landweave.functions.columns import natural_class
+from landweave.functions.geo import lcc_forward, lcc_inverse, polygon_rings
+from landweave.operators.ranks import smallest_by_digest
 from landweave.operators.regions import box_level, grid_index
 from landweave.operators.scale import evaluated
+from landweave.session import cut_lineage
 
 #: Corners of the polygon that stands for a circle.
 CORNERS = 64
@@ -373,3 +376,55 @@ def spatial_confidence_wide(long: DataFrame, key: str, point_label: str, radii:
     names = [c for c in long.columns if c not in (key, point_label, "radius")]
     picks = [F.any_value(F.when(F.col("radius") == r, F.col(n)), True).alias(f"{n}_{r}m") for r in radii for n in names]
     return long.groupBy(key, point_label).agg(*picks)
+
+
+# ---- polygons by themselves --------------------------------------------------------------------
+
+#: Square metres that a polygon must have to be shown on a map.
+LEAST_MAP_AREA = 15_000.0
+
+
+def _moments(rings: Column) -> Column:
+    """STRUCT of signed area and first moments of the rings around their first point; holes must run against their outer ring."""
+    origin = rings[0][0]
+
+    def edge(a: Column, b: Column) -> Column:
+        ax, ay, bx, by = a["x"] - origin["x"], a["y"] - origin["y"], b["x"] - origin["x"], b["y"] - origin["y"]
+        cross = ax * by - bx * ay
+        return F.struct((cross / 2).alias("a"), ((ax + bx) * cross / 6).alias("x"), ((ay + by) * cross / 6).alias("y"))
+
+    def edges(r: Column) -> Column:
+        return F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)), edge)
+
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return F.aggregate(F.flatten(F.transform(rings, edges)), zero, lambda s, e: F.struct((s["a"] + e["a"]).alias("a"), (s["x"] + e["x"]).alias("x"), (s["y"] + e["y"]).alias("y")))
+
+
+def planar_areas(regions: DataFrame) -> DataFrame:
+    """``regions`` of ``planar`` with ``area`` and the centre ``x, y``; rings and boxes are left out.
+
+    A polygon without area has the first point for its centre.
+    """
+    rows = evaluated(regions, {"_m": _moments(F.col("rings"))})
+    flat = F.col("_m")["a"] == 0
+    at = lambda axis: F.col("rings")[0][0][axis] + F.when(flat, 0.0).otherwise(F.col("_m")[axis] / F.col("_m")["a"])
+    measured = rows.withColumns({"area": F.abs(F.col("_m")["a"]), "x": at("x"), "y": at("y")})
+    return measured.drop("_m", "rings", "minx", "miny", "maxx", "maxy")
+
+
+def sample_polygons(polygons: DataFrame, n: int, *, level: int = 2, seed: int = 42, exclude_artificial: bool = False) -> DataFrame:
+    """``id, code_18, class_label, geometry, x, y, lon, lat`` of ``n`` polygons by digest, with their centres on the plane and in degrees.
+
+    ``class_label`` are the first ``level`` characters of the code. More polygons than there are
+    is an error, as is one asked for among none.
+    """
+    rows = polygons.where(natural_class(F.col("code_18"))) if exclude_artificial else polygons
+    # one rank over all: by digest buckets, so the polygons are never gathered
+    drawn = smallest_by_digest(rows.withColumns({"_all": F.lit(0), "_n": F.lit(n)}), ["_all"], ["id"], "_n", seed).select("id", "code_18", "geometry")
+    drawn = cut_lineage(drawn)
+    if (have := drawn.count()) < n:
+        raise ValueError(f"cannot sample {n} polygons of {have}{' that are not artificial' if exclude_artificial else ''}")
+    centres = planar_areas(planar(drawn, "id", "geometry", [])).select("id", "x", "y")
+    lon, lat = lcc_inverse(F.col("x"), F.col("y"))
+    label = F.substring("code_18", 1, level)
+    return drawn.join(F.broadcast(centres), "id").select("id", "code_18", label.alias("class_label"), "geometry", "x", "y", lon.alias("lon"), lat.alias("lat"))

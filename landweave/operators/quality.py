@@ -165,3 +165,14 @@ def training_policies() -> dict[str, tuple[str, Column]]:
         "all_quality_weighted": ("all", F.col("weight_raw")), "all_quality_weighted_class_balanced": ("all", F.col("weight_class_balanced")),
         "spatial_soft_weighted": ("all", F.col("spatial_component")), "text_agreement_soft_weighted": ("all", soft),
     }
+
+
+# Columns that weights consist of.
+WEIGHT_COLUMNS = ("relevance_component", "uncertainty_component", "spatial_component", "agreement_component", "weight_raw", "weight_class_balanced")
+
+
+def attach_weights(rows: DataFrame, weights: DataFrame, key: str = "pageid") -> DataFrame:
+    """``rows`` with the weight columns: as they are if all are there, else those of ``weights``, one row per key, in their place."""
+    if set(WEIGHT_COLUMNS) <= set(rows.columns):
+        return rows
+    return rows.drop(*WEIGHT_COLUMNS).join(weights.select(key, *[c for c in WEIGHT_COLUMNS if c in weights.columns]), key, "left")

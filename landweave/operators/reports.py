@@ -106,3 +106,33 @@ def headline(summary: DataFrame, groups: Sequence[str] = ("model", "text_source"
             F.col(f"{control}_mean"), interval_text(F.col(f"{control}_q025"), F.col(f"{control}_q975")).alias(f"{control}_interval"), F.col(f"{control}_percentile"))],
         conclusion(F.col("same_n_percentile"), F.col("same_targets_percentile")).alias("conclusion"),
     )
+
+
+# ---- choices -----------------------------------------------------------------------------------
+
+
+def all_keys(tables: Sequence[DataFrame], key: str) -> DataFrame:
+    """``key`` of any of the tables, each once; nulls are left out."""
+    found = None
+    for rows in tables:
+        own = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key)).distinct()
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
+
+
+def least(df: DataFrame, groups: Sequence[str], value: str, key: str) -> DataFrame:
+    """Per group the ``key`` with the smallest ``value``, the first by key of equal ones; null values do not count."""
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*groups).agg(F.min(F.struct(value, key))[key].alias(key))
+
+
+def contact_sheet(rows: DataFrame, n: int, *, label: str = "label", key: str = "pageid") -> DataFrame:
+    """``key`` of ``n`` rows for a sheet: the first key of every label, in order of label, then the first ones of all.
+
+    Rows without a label only fill up; fewer rows than ``n`` all come.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    firsts = known.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias(key))
+    own = firsts.groupBy(key).agg(F.min(label).alias("_label")).select(key, F.lit(0).alias("_late"), F.col("_label"))
+    others = known.select(key).distinct().join(own.select(key), key, "left_anti").select(key, F.lit(1).alias("_late"), F.lit("").alias("_label"))
+    return own.unionByName(others).orderBy("_late", "_label", key).limit(n).select(key)

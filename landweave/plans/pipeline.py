@@ -66,8 +66,19 @@ def e37_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(pages, {"contents": texts}, inputs.articles(spark, folder))
 
 
-@query(with_sql("records") + "SELECT pageid, array_to_string(list_sort(list(DISTINCT prediction)), ',') AS targets FROM records WHERE prediction IS NOT NULL GROUP BY pageid HAVING count(DISTINCT prediction) > 1")
+@query(with_sql("quality", "spatial") + """SELECT pageid, array_to_string(list_sort(list(DISTINCT t)), ',') AS targets FROM (SELECT pageid, corine_label AS t FROM quality UNION ALL SELECT pageid, point_label FROM spatial UNION ALL SELECT pageid, dominant_label_250m FROM spatial)
+  WHERE t IS NOT NULL GROUP BY pageid HAVING count(DISTINCT t) > 1""")
 def a23_inconsistent_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose targets differ between three runs: the scores', the point's and the dominant label."""
+    s = inputs.spatial(spark, folder)
+    rows = inputs.quality(spark, folder).select("pageid", F.col("corine_label").alias("target"))
+    rows = rows.unionByName(s.select("pageid", F.col("point_label").alias("target"))).unionByName(s.select("pageid", F.col("dominant_label_250m").alias("target")))
+    return audit.consistent_targets(rows).select("pageid", F.array_join("targets", ",").alias("targets"))
+
+
+@query(with_sql("records") + "SELECT pageid, array_to_string(list_sort(list(DISTINCT prediction)), ',') AS targets FROM records WHERE prediction IS NOT NULL GROUP BY pageid HAVING count(DISTINCT prediction) > 1")
+def a23_inconsistent_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of predictions, which do differ."""
     rows = inputs.records(spark, folder).select("pageid", F.col("prediction").alias("target"))
     return audit.consistent_targets(rows).select("pageid", F.array_join("targets", ",").alias("targets"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from landweave.functions.columns import boolish, clean_list, count_or_zero, parse_list, present
 from landweave.operators.reports import last_wins
+from landweave.sources.files import exists
 
 ARTICLE = "pageid string, title string, lat double, lon double, url string"
 CONTENT = "pageid string, title string, content string, url string"
@@ -22,10 +23,6 @@ PREDICTION = "pageid string, title string, target string, prediction string, pre
 PREDICTION_FILE = r"^(corine_level2|osm)_(.*)_predictions\.json$"
 
 
-def exists(path: str) -> bool:
-    return "://" in path or os.path.exists(path)
-
-
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of a JSON list in order, with their place in it as ``row_idx``; other JSON has none."""
     text = spark.read.text(path, wholetext=True)

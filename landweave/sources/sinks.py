@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landweave.sources.files import read_bytes
+
 
 def write_text(path: str | Path, text: str) -> None:
     """A small file, whole or not at all: written beside, flushed, renamed."""
@@ -96,6 +98,6 @@ def file_digests(df_spark, folder: str) -> DataFrame:  # noqa: ANN001
 
 
 def write_manifest(path: str, parts: Mapping[str, str], **facts: object) -> None:
-    """Facts of a run with the SHA-256 of small artifacts."""
-    digests = {n: hashlib.sha256(Path(p).read_bytes()).hexdigest() for n, p in parts.items()}
+    """Facts of a run with the SHA-256 of small artifacts, on any file system."""
+    digests = {n: hashlib.sha256(read_bytes(p)).hexdigest() for n, p in parts.items()}
     write_json(path, {**facts, "sha256": digests})

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +63,24 @@ def cascade(tables: dict[str, DataFrame], kept: DataFrame, *, key: str = "pageid
     if not dry_run:
         return pruned
     return {n: t.agg(F.count("*").alias("before")).join(pruned[n].agg(F.count("*").alias("after")), F.lit(True)) for n, t in tables.items()}
+
+
+def cascade_counts(steps: Mapping[str, tuple[DataFrame, DataFrame]], kept: DataFrame, tables: Mapping[str, DataFrame], *, key: str = "pageid") -> DataFrame:
+    """Dry run of the whole cascade: ``name, before, after`` of each step (rows, rows that stay) and then of the tables.
+
+    Every table is brought down to the keys that stayed in the one before it, the first one to ``kept``.
+    """
+    def counts(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
+        both = before.agg(F.count("*").alias("before")).join(after.agg(F.count("*").alias("after")), F.lit(True))
+        return both.select(F.lit(name).alias("name"), "before", "after")
+
+    parts = [counts(name, before, after) for name, (before, after) in steps.items()]
+    keys = kept.select(key).distinct()
+    for name, rows in tables.items():
+        pruned = rows.join(keys, key, "left_semi")
+        parts.append(counts(name, rows, pruned))
+        keys = pruned.select(key).distinct()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
