@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.functions.columns import boolish, clean_list, count_or_zero, parse_list, present
+from landweave.operators.metrics import ok_records
 from landweave.operators.reports import last_wins
 from landweave.sources.files import exists
 
@@ -134,11 +135,13 @@ def geojson_to_wkt(geometry: Column) -> Column:
 def predictions(spark: SparkSession, folder: str, sources: Sequence[str] | None = None) -> DataFrame:
     """Prediction records of a folder; task and text source come from the file names, which also prune files.
 
-    ``target`` and ``prediction`` are arrays, ``row_idx`` is the order in the file. The model is
-    the first of what the metadata name, else what the folder's name tells.
+    ``target`` and ``prediction`` are arrays, ``row_idx`` is the order in the file, ``run`` is the
+    folder's name. The model is the first that a record's metadata name, in the order of a
+    file, and holds for all records of the file; without any the folder's name tells it. A
+    file may be a folder of parts.
     """
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = spark.read.text(f"{folder}/*_predictions.json", wholetext=True).select("value", F.url_decode(name).alias("file"))
+    name = F.regexp_extract(F.url_decode("_metadata.file_path"), r"([^/]*_predictions\.json)(?:/|$)", 1)
+    rows = spark.read.option("recursiveFileLookup", True).text(f"{folder}/*_predictions.json", wholetext=True).select("value", name.alias("file"))
     rows = rows.select("value", F.regexp_extract("file", PREDICTION_FILE, 1).alias("task"), F.regexp_extract("file", PREDICTION_FILE, 2).alias("text_source")).where(F.col("task") != "")
     if sources is not None:
         rows = rows.where(F.col("text_source").isin(*sources))
@@ -146,6 +149,23 @@ def predictions(spark: SparkSession, folder: str, sources: Sequence[str] | None
     read = items.select("task", "text_source", "row_idx", "key", F.from_json("text", PREDICTION).alias("r")).select("task", "text_source", "row_idx", "key", "r.*")
     labels = lambda c: F.when(F.col(c).startswith("["), F.from_json(c, "array<string>")).when(F.col(c).isNotNull(), F.array(c))
     stated = F.coalesce(present(F.get_json_object("metadata", "$.model")), present(F.get_json_object("metadata", "$.model_repo_id")))
-    base = os.path.basename(folder.rstrip("/")).lower()
-    guess = "gemma" if "gemma" in base else "qwen" if "qwen" in base else base
-    return read.withColumns({"pageid": F.coalesce(present(F.col("pageid")), F.col("key")), "target": labels("target"), "prediction": labels("prediction"), "model": F.coalesce(stated, F.lit(guess))}).drop("key")
+    base = os.path.basename(folder.rstrip("/"))
+    guess = "gemma" if "gemma" in base.lower() else "qwen" if "qwen" in base.lower() else base.lower()
+    page = F.coalesce(present(F.col("pageid")), F.col("key"))
+    read = read.withColumns({"pageid": page, "target": labels("target"), "prediction": labels("prediction"), "_stated": stated})
+    # one row per file: the first record that states a model
+    models = read.where("_stated IS NOT NULL").groupBy("task", "text_source").agg(F.min(F.struct("row_idx", "pageid", "_stated"))["_stated"].alias("_model"))
+    named = read.join(F.broadcast(models), ["task", "text_source"], "left")
+    return named.withColumns({"model": F.coalesce("_model", F.lit(guess)), "run": F.lit(base)}).drop("key", "_stated", "_model")
+
+
+def ok_predictions(spark: SparkSession, folder: str, sources: Sequence[str] | None = None, *, lenient: bool = False) -> DataFrame:
+    """Prediction records that are ok; ``lenient`` takes a missing status for ok and keeps missing predictions."""
+    return ok_records(predictions(spark, folder, sources), lenient=lenient)
+
+
+def quality_scores(spark: SparkSession, path: str) -> DataFrame:
+    """``pageid, quality_score, quality_bin, recommended_use`` of a table of scores; a missing file is empty."""
+    rows = table_by_suffix(spark, path, "pageid string, quality_score string, quality_bin string, recommended_use string")
+    number = F.col("quality_score").cast("string").try_cast("double")
+    return rows.select(F.col("pageid").cast("string").alias("pageid"), number.alias("quality_score"), "quality_bin", "recommended_use")

@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.sources.files import read_bytes
@@ -44,7 +44,7 @@ def flat(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, *, one_file: bool = False) -> None:
     """CSV with a header; ``one_file`` is for small reports only."""
     rows = flat(df)
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_parquet(df: DataFrame, path: str, *, by: Sequence[str] = ()) -> None:
@@ -81,14 +81,14 @@ def write_report(df: DataFrame, folder: str, name: str, columns: Sequence[str],
     write_text(f"{folder}/{name}.md", f"# {title}\n\n{markdown_table(df, columns)}")
 
 
-def geojson_features(df: DataFrame, geometry: str, properties: Sequence[str]) -> DataFrame:
+def geojson_features(df: DataFrame, geometry: str, properties: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One GeoJSON feature per row from WKT polygons, as text; ``write.text`` keeps it distributed."""
     body = F.regexp_replace(F.col(geometry), r"^\s*(MULTI)?POLYGON\s*", "")
     pairs = F.regexp_replace(body, r"(-?[\d.eE+-]+)\s+(-?[\d.eE+-]+)", "[$1, $2]")
     nested = F.translate(pairs, "()", "[]")
     kind = F.when(F.col(geometry).startswith("MULTI"), "MultiPolygon").otherwise("Polygon")
     props = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
-    return df.select(F.concat(F.lit('{"type": "Feature", "properties": '), props, F.lit(', "geometry": {"type": "'), kind, F.lit('", "coordinates": '), nested, F.lit("}}")).alias("value"))
+    return df.select(*keep, F.concat(F.lit('{"type": "Feature", "properties": '), props, F.lit(', "geometry": {"type": "'), kind, F.lit('", "coordinates": '), nested, F.lit("}}")).alias("value"))
 
 
 def file_digests(df_spark, folder: str) -> DataFrame:  # noqa: ANN001
@@ -101,3 +101,41 @@ def write_manifest(path: str, parts: Mapping[str, str], **facts: object) -> None
     """Facts of a run with the SHA-256 of small artifacts, on any file system."""
     digests = {n: hashlib.sha256(read_bytes(p)).hexdigest() for n, p in parts.items()}
     write_json(path, {**facts, "sha256": digests})
+
+
+# ---- JSON as folders of parts ------------------------------------------------------------------
+
+
+def _parts(df: DataFrame, key: str, item: Column, path: str, frame: tuple[str, str], rows: int) -> None:
+    n = df.count()
+    buckets = max(1, -(-n // rows))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    # a bucket has about so many rows at any size of the table
+    held = df.select(bucket, F.struct(F.col(key).alias("key"), item.alias("item")).alias("e")).groupBy("bucket").agg(F.array_sort(F.collect_list("e")).alias("items"))
+    text = F.concat(F.lit(frame[0]), F.array_join(F.transform("items", lambda e: e["item"]), ",\n"), F.lit(frame[1]))
+    held.select("bucket", text.alias("value")).write.mode("overwrite").partitionBy("bucket").text(path)
+
+
+def _object(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns))
+
+
+def write_json_map(df: DataFrame, key: str, path: str, *, columns: Sequence[str] = (), rows: int = 10_000) -> None:
+    """``{"key": {...}, ...}`` in parts: a folder of JSON objects of about ``rows`` members each, which readers take for one.
+
+    Null keys are left out, null fields as well.
+    """
+    known = df.where(F.col(key).isNotNull())
+    name = F.regexp_replace(F.to_json(F.array(F.col(key).cast("string"))), r"^\[|\]$", "")
+    _parts(known, key, F.concat(name, F.lit(": "), _object(known.select(*(columns or known.columns)))), path, ("{", "}"), rows)
+
+
+def write_json_list(df: DataFrame, key: str, path: str, *, rows: int = 10_000) -> None:
+    """``[{...}, ...]`` in parts, in the order of ``key`` within a part."""
+    _parts(df, key, _object(df), path, ("[", "]"), rows)
+
+
+def write_geojson(df: DataFrame, key: str, geometry: str, properties: Sequence[str], path: str, *, rows: int = 10_000) -> None:
+    """Feature collections in parts."""
+    features = geojson_features(df, geometry, properties, keep=[key])
+    _parts(features, key, F.col("value"), path, ('{"type": "FeatureCollection", "features": [', "]}"), rows)
