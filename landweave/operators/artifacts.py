@@ -67,7 +67,7 @@ def retrieved_windows(articles: DataFrame, *, seed: int = 42, radius: int = 1) -
     ``articles`` has ``pageid, title, content, evidence_sentences_no_place, evidence_types``.
     Sentences that match evidence are taken with their neighbours; without a match those with a
     keyword of the evidence types; without any the first. The random variant takes as many
-    sentences, those with the smallest hashes of seed, page and position. A null content is empty.
+    sentences, those with the smallest digests of seed, page and position. A null content is empty.
     """
     none = F.array().cast("array<string>")
     rows = articles.select(
@@ -81,7 +81,7 @@ def retrieved_windows(articles: DataFrame, *, seed: int = 42, radius: int = 1) -
     rows = rows.withColumn("around", F.when(F.size("matches") > 0, around).when(F.col("n") > 0, F.array(F.lit(0))).otherwise(empty))
     only = F.when(F.size("matches") > 0, F.col("matches")).otherwise(F.slice("around", 1, 1))
     everywhere = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(empty)
-    drawn = F.array_sort(F.transform(everywhere, lambda i: F.struct(F.xxhash64(F.lit(seed), "pageid", i).alias("h"), i.alias("i"))))
+    drawn = F.array_sort(F.transform(everywhere, lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(seed), "pageid", i)).alias("h"), i.alias("i"))))
     random = F.array_sort(F.transform(F.slice(drawn, 1, F.greatest(F.size("around"), F.lit(1))), lambda d: d["i"]))
     rows = rows.withColumns({"only": only, "random": F.when(F.size("around") > 0, random).otherwise(empty)})
     taken = _pick(F.col("s"), F.col("around"))

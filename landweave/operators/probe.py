@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from landweave.operators.metrics import supported
+from landweave.operators.ranks import smallest_by_digest
 from landweave.session import cut_lineage
 
 #: A training set of at most so many values is trained in one task.
@@ -301,3 +303,69 @@ def probe_grid(rows: DataFrame, members: DataFrame, policies: dict[str, tuple[st
     scored = held.join(known.select("key", "label", "embedding"), "key").select("key", "split", "label", "embedding")
     kind = scored.schema["key"].dataType.simpleString()
     return scored.mapInPandas(guess, f"policy string, split string, l2 double, key {kind}, target string, prediction string")
+
+
+def training_controls(rows: DataFrame, members: DataFrame, labels: Sequence[str], tiers: Sequence[str], *, split: str = "eval_strict", draws: int = 100, seed: int = 42, epochs: int = 600, rate: float = 0.1, l2: float = 1e-4, gather: int = GATHER) -> DataFrame:
+    """``tier, control, draw, score, observed, n``: is a probe trained on a tier's rows better than on random ones?
+
+    ``rows`` has ``key, label, embedding``; ``members`` has ``key, split, tier``. The rows of a
+    tier in ``train_for_<split>`` are matched by draws from all rows of that split, as many
+    (``same_n``) or with as many of each label (``same_targets``), by smallest digests. A control
+    for which there are too few rows has no draws. The score is the balanced accuracy, over the
+    labels that occur, on the rows of ``split``; without any of these there is no result.
+    """
+    known = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).select("key", F.col("label").cast("string").alias("label"), "embedding")
+    training = members.where(F.col("split") == f"train_for_{split}").select("key", "tier").distinct().join(known.select("key", "label"), "key")
+    training = cut_lineage(training)
+    universe = training.where("tier = 'all'").select("key", "label")
+    sizes = {(r["tier"], r["label"]): r["n"] for r in training.groupBy("tier", "label").agg(F.count("*").alias("n")).collect()}
+    have = {label: n for (tier, label), n in sizes.items() if tier == "all"}
+    sets, plan = None, []
+    for tier in tiers:
+        own = {label: n for (t, label), n in sizes.items() if t == tier}
+        if not own:
+            continue
+        found = training.where(F.col("tier") == tier).select("key", F.lit(f"{tier}|observed|0").alias("set"))
+        sets = found if sets is None else sets.unionByName(found)
+        plan.append((tier, "observed", 0))
+        for control in ("same_n", "same_targets"):
+            wanted = {None: sum(own.values())} if control == "same_n" else own
+            there = {None: sum(have.values())} if control == "same_n" else have
+            if any(n > there.get(k, 0) for k, n in wanted.items()):
+                continue
+            limit = F.lit(sum(own.values()))
+            if control == "same_targets":
+                limit = F.lit(0)
+                for label, n in own.items():
+                    limit = F.when(F.col("label") == label, n).otherwise(limit)
+            spread = universe.withColumns({"_n": limit.cast("long"), "draw": F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))})
+            spread = spread.withColumn("set", F.concat(F.lit(f"{tier}|{control}|"), "draw"))
+            drawn = smallest_by_digest(spread, ["set"] if control == "same_n" else ["set", "label"], ["key"], "_n", F.concat(F.lit(f"{seed}|"), "set"), bits=4)
+            sets = sets.unionByName(drawn.select("key", "set"))
+            plan += [(tier, control, d) for d in range(draws)]
+    schema = "tier string, control string, draw int, score double, observed double, n long"
+    spark = rows.sparkSession
+    if sets is None:
+        return spark.createDataFrame([], schema)
+    own_sets = sets.groupBy("key").agg(F.collect_list(F.struct("set", F.lit(1.0).alias("w"))).alias("sets"))
+    data = cut_lineage(known.join(own_sets, "key").select(F.col("label").alias("y"), F.col("embedding").alias("x"), "sets"))
+    names = {f"{t}|{c}|{d}": (t, c, d) for t, c, d in plan}
+    options = {"epochs": epochs, "rate": rate, "l2": l2}
+    fitted = fit_probes(data, {name: (name, options | {"seed": seed if c == "observed" else seed + d}) for name, (t, c, d) in names.items()}, gather=gather)
+    held = known.join(members.where(F.col("split") == split).select("key").distinct(), "key", "left_semi")
+    order = list(fitted)
+
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, target = np.stack(batch["embedding"].to_numpy()).astype(float), batch["label"].to_numpy()
+                for name in order:
+                    counts = pd.DataFrame({"set": name, "target": target, "prediction": fitted[name].predict(x)}).value_counts().reset_index(name="n")
+                    yield counts
+
+    counts = held.mapInPandas(guess, "set string, target string, prediction string, n long").groupBy("set", "target", "prediction").agg(F.sum("n").alias("n"), F.lit(True).alias("ok"), F.lit(0).alias("first"))
+    scores = supported(counts, ["set"], labels).select("set", F.col("balanced_accuracy_supported").alias("score"))
+    told = [(name, t, c, d, sum(n for (x, _), n in sizes.items() if x == t)) for name, (t, c, d) in names.items()]
+    rows_ = spark.createDataFrame(told, "set string, tier string, control string, draw int, n long").join(scores, "set")
+    observed = rows_.where("control = 'observed'").select("tier", F.col("score").alias("observed"))
+    return rows_.where("control <> 'observed'").join(observed, "tier").select("tier", "control", "draw", "score", "observed", "n")

@@ -100,7 +100,8 @@ def b13_flat_cells(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.flat(inputs.evidence(spark, folder).select("pageid", "evidence_types"))
 
 
-@query()
+@query(r"""SELECT '{"type": "Feature", "properties": {"id":' || CAST(id AS VARCHAR) || ',"code_18":' || coalesce('"' || code_18 || '"', 'null') || '}, "geometry": {"type": "Polygon", "coordinates": '
+  || replace(replace(regexp_replace(regexp_replace(geometry, '^ *POLYGON *', ''), '(-?[0-9.eE+-]+) +(-?[0-9.eE+-]+)', '[\1, \2]', 'g'), '(', '['), ')', ']') || '}}' AS value FROM (SELECT DISTINCT id, code_18, geometry FROM landcover_polygons)""")
 def b8_geojson(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.geojson_features(inputs.polygons(spark, folder), "geometry", ["id", "code_18"])
 

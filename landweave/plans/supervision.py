@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave import vocab
 from landweave.functions import geo
 from landweave.functions.columns import lookup
 from landweave.operators import controls, metrics, probe, quality, reports, subsets
+from landweave.operators.ranks import smallest_by_digest
 from landweave.plans import inputs
 from landweave.plans.evaluation import LABELS, _rounded
 from landweave.plans.inputs import case_sql, with_sql
@@ -132,16 +133,16 @@ def k7_linear_probe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _page_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """``pageid, embedding``: the n-th page of a class has the n-th vector of the label in the class's place.
+    """``pageid, embedding``: the n-th page of a class, by digest, has the n-th vector of the label in the class's place.
 
     The tables hold no vectors of pages; pages beyond the vectors of their class have none.
     """
     vectors = table(spark, folder, "embeddings").where("embedding IS NOT NULL")
     place = lookup(F.col("label"), {label: i for i, label in enumerate(sorted(LABELS))})
     pages = inputs.pages(spark, folder).where("label IS NOT NULL").select("pageid", place.cast("int").alias("place"))
-    n = lambda key: F.row_number().over(Window.partitionBy("place").orderBy(key)).alias("n")
-    numbered = vectors.select("vec_id", "embedding", F.col("label").cast("int").alias("place")).select("embedding", "place", n("vec_id"))
-    return pages.select("pageid", "place", n("pageid")).join(numbered, ["place", "n"]).select("pageid", "embedding")
+    ranked = lambda df, key: smallest_by_digest(df.withColumn("_all", F.lit(2**62)), ["place"], [key], "_all", 0).drop("_all")
+    numbered = ranked(vectors.select("vec_id", "embedding", F.col("label").cast("int").alias("place")), "vec_id").select("embedding", "place", "rank")
+    return ranked(pages, "pageid").join(numbered, ["place", "rank"]).select("pageid", "embedding")
 
 
 @query()
@@ -157,6 +158,17 @@ def k12_probe_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(metrics.supported(metrics.confusion_counts(guesses, by), by, LABELS))
 
 
+@query()
+def k17_training_controls(spark: SparkSession, folder: str) -> DataFrame:
+    """Where probes trained on the two hard tiers stand among 100 probes trained on random rows of their number, and of their labels."""
+    pages = _weight_input(spark, folder).where("label IS NOT NULL")
+    rows = cut_lineage(probe.stack_embeddings(pages, _page_vectors(spark, folder), "pageid", allow_missing=True))
+    places = f33_geo_groups(spark, folder).select("pageid", "geo_group_20km")
+    members = quality.probe_splits(rows.drop("embedding").join(places, "pageid"), repeats=0).select(F.col("pageid").alias("key"), "split", "tier")
+    drawn = probe.training_controls(rows.withColumn("key", F.col("pageid")), cut_lineage(members), LABELS, ("quality_spatial", "text_spatial_agreement"))
+    return _rounded(reports.draw_summary(drawn, ["tier", "control"], "score", "observed"))
+
+
 def _splits(spark: SparkSession, folder: str) -> DataFrame:
     places = f33_geo_groups(spark, folder).select("pageid", "geo_group_20km")
     return quality.probe_splits(_weight_input(spark, folder).where("label IS NOT NULL").join(places, "pageid"))

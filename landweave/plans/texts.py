@@ -112,6 +112,34 @@ def f18_window_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("pageid", *[F.col(c).cast("long").alias(c) for c in ("article_sentence_count", "matched_evidence_sentence_count", "retrieved_sentence_count")])
 
 
+_TOKENS = lambda t: f"list_filter(string_split_regex({t}, '[^\\p{{L}}\\p{{N}}]+'), lambda z: z <> '')"
+
+
+def _scrub_sql(text: str, title: str, *, always: bool) -> str:
+    """``scrub_title`` of a text and a stripped title (never null)."""
+    exact = f"CASE WHEN {title} <> '' THEN regexp_replace({text}, '(?i)' || regexp_escape({title}), 'ce lieu', 'g') ELSE {text} END"
+    loose = f"regexp_replace({exact}, '(?i)' || array_to_string(list_transform({_TOKENS(title)}, lambda z: regexp_escape(z)), '[^\\p{{L}}\\p{{N}}]+'), 'ce lieu', 'g')"
+    other = _SQUEEZE(exact) if always else exact
+    return f"CASE WHEN len({_TOKENS(title)}) > 0 THEN {_SQUEEZE(loose)} ELSE {other} END"
+
+
+_LIST_SQL = lambda head, cond, value="z": f"'{head}' || chr(10) || chr(10) || coalesce(string_agg('- ' || {value}, chr(10) ORDER BY i) FILTER (WHERE {cond}), '- Aucune phrase n''est disponible.')"
+
+
+@query(_FOLDED.replace("SELECT pageid, z[2] AS i, ", "SELECT pageid, z[1] AS z, z[2] AS i, ") + f""", h AS (SELECT pageid, z, i, n, len(list_filter(ev, lambda x: contains(m, x) OR contains(x, m))) > 0 AS e, ({_KEYWORD_SQL}) AS k FROM f),
+  g AS (SELECT *, bool_or(e) OVER (PARTITION BY pageid) AS any_e, bool_or(k) OVER (PARTITION BY pageid) AS any_k FROM h),
+  q AS (SELECT pageid, z, i, n, CASE WHEN any_e THEN e WHEN any_k THEN k ELSE i = 0 END AS hit, any_e OR any_k AS any_hit FROM g),
+  w AS (SELECT *, CASE WHEN any_hit THEN max(hit) OVER (PARTITION BY pageid ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE hit END AS near, row_number() OVER (PARTITION BY pageid ORDER BY md5('42:' || pageid || ':' || CAST(i AS VARCHAR)), i) AS rk FROM q),
+  t AS (SELECT w.*, count(*) FILTER (WHERE near) OVER (PARTITION BY pageid) AS taken, {_scrub_sql("z", "title", always=True)} AS bare FROM w JOIN (SELECT pageid, {_SQUEEZE("coalesce(title, '')")} AS title FROM contents) c USING (pageid))
+  SELECT pageid, md5({_LIST_SQL("Phrases brutes extraites de l''article.", "near")}) AS around, md5({_LIST_SQL("Phrases d''indice extraites de l''article.", "hit")}) AS only,
+    md5({_LIST_SQL("Phrases brutes aléatoires extraites du même article.", "rk <= greatest(taken, 1)")}) AS random, md5({_LIST_SQL("Phrases brutes extraites de l''article, sans nom de lieu.", "near AND bare <> ''", "bare")}) AS placeless FROM t GROUP BY pageid""")
+def f19_window_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the four texts of every article that has a sentence."""
+    rows = artifacts.retrieved_windows(_joined(spark, folder)).where("article_sentence_count > 0")
+    named = {"around": "retrieved_evidence_windows", "only": "retrieved_evidence_sentences_only", "random": "random_sentence_windows", "placeless": "retrieved_evidence_windows_no_place"}
+    return rows.select("pageid", *[F.md5(c).alias(n) for n, c in named.items()])
+
+
 @query()
 def f19_window_texts(spark: SparkSession, folder: str) -> DataFrame:
     return artifacts.retrieved_windows(_joined(spark, folder))
@@ -124,6 +152,32 @@ def _card_input(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("candidate_article_types", F.when(F.col("primary_article_type").isNotNull(), F.array("primary_article_type")))
 
 
+def _named_sql(value: str, names: dict[str, str]) -> str:
+    plain = _SQUEEZE(value)
+    return f"coalesce({case_sql(f'lower({plain})', {k: v.replace(chr(39), chr(39) * 2) for k, v in names.items()})}, nullif(replace(lower({plain}), '_', ' '), ''), 'inconnue')"
+
+
+_NUMBER_SQL = lambda c: f"coalesce(regexp_replace(printf('%.3f', {c}), '\\.?0+$', ''), 'inconnue')"
+_WORDS_SQL = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_ITEMS_SQL = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda z: {_SQUEEZE('z')}), lambda z: z IS NOT NULL AND z <> '' AND lower(z) <> 'nan')"
+
+
+@query(with_sql("contents", "evidence", "spatial", "quality").rstrip() + f""", j AS (SELECT c.pageid, {_SQUEEZE("coalesce(c.title, '')")} AS title, e.landcover_relevance AS r, e.uncertainty AS u, e.evidence_types AS ty, e.evidence_sentences_no_place AS s, e.landuse_evidence_summary AS m,
+    q.primary_article_type AS k, q.quality_score AS sc, q.quality_bin AS b, q.recommended_use AS us, p.point_label_share_250m AS a, p.point_label_share_500m AS d, p.dominant_matches_point_label_250m AS dm
+    FROM contents c LEFT JOIN evidence e USING (pageid) LEFT JOIN spatial p USING (pageid) LEFT JOIN quality q USING (pageid)),
+  l AS (SELECT *, list_filter(list_transform({_ITEMS_SQL("s")}, lambda x: {_scrub_sql("x", "title", always=False)}), lambda x: x <> '') AS lines, trim(m, ' ') AS summary FROM j)
+  SELECT pageid, md5(concat_ws(chr(10), 'Fiche d''indices d''occupation du sol, sans nom de lieu.', '', 'Pertinence: ' || {_named_sql("r", vocab.RELEVANCE_NAMES)}, 'Incertitude: ' || {_named_sql("u", vocab.UNCERTAINTY_NAMES)},
+    'Types d''indices: ' || coalesce(nullif(array_to_string(list_transform({_ITEMS_SQL("ty")}, lambda x: {_named_sql("x", vocab.EVIDENCE_TYPE_NAMES)}), ', '), ''), 'aucun'), 'Type d''article: ' || {_named_sql("k", vocab.ARTICLE_TYPE_NAMES)},
+    'Types d''article candidats: ' || CASE WHEN coalesce({_SQUEEZE("k")}, '') = '' THEN 'aucun' ELSE {_named_sql("k", vocab.ARTICLE_TYPE_NAMES)} END, 'Score de qualité: ' || coalesce(CAST(sc AS VARCHAR), 'inconnue'), 'Catégorie de qualité: ' || {_named_sql("b", vocab.QUALITY_BIN_NAMES)},
+    'Catégorie d''usage recommandée: ' || {_named_sql("us", vocab.USE_NAMES)}, '', 'Confiance spatiale CORINE:', '- part du label ponctuel à 250 m: ' || {_NUMBER_SQL("a")}, '- part du label ponctuel à 500 m: ' || {_NUMBER_SQL("d")},
+    '- le label dominant à 250 m correspond au label ponctuel: ' || CASE WHEN lower(trim(dm)) IN {_WORDS_SQL(vocab.TRUE_WORDS)} THEN 'oui' WHEN lower(trim(dm)) IN {_WORDS_SQL(vocab.FALSE_WORDS)} THEN 'non' ELSE 'inconnue' END, '', 'Indices factuels:',
+    CASE WHEN len(lines) > 0 THEN array_to_string(list_transform(lines, lambda x: '- ' || x), chr(10)) ELSE '- Aucun indice factuel explicite n''a été extrait.' END, '', 'Résumé d''indices:',
+    {_scrub_sql("coalesce(nullif(summary, ''), 'Aucun résumé d''indices n''est disponible.')", "title", always=False)})) AS digest FROM l""")
+def f12_card_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the whole cards."""
+    return artifacts.evidence_cards(_card_input(spark, folder)).select("pageid", F.md5("evidence_card").alias("digest"))
+
+
 @query()
 def f12_evidence_card(spark: SparkSession, folder: str) -> DataFrame:
     return artifacts.evidence_cards(_card_input(spark, folder))
