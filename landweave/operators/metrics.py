@@ -250,6 +250,24 @@ def paired_deltas(metrics: DataFrame, keys: Sequence[str], source: str, pairs: D
     return rows.select(*keys, "base", "other", *[(F.col(f"a_{v}") - F.col(f"b_{v}")).alias(f"delta_{v}") for v in values])
 
 
+def aligned_deltas(metrics: DataFrame, keys: Sequence[str], source: str, pairs: DataFrame, values: Sequence[str], size: str = "n") -> DataFrame:
+    """Rows of a source beside those of its shuffled control: sizes, both values and their difference; nulls give a null difference."""
+    a = metrics.select(*keys, F.col(source).alias("base"), F.col(size).alias("n_aligned"), *[F.col(v).alias(f"aligned_{v}") for v in values])
+    b = metrics.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col(source).alias("b_other"), F.col(size).alias("n_shuffled"), *[F.col(v).alias(f"shuffled_{v}") for v in values])
+    rows = a.join(pairs, "base").join(b, [*[F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys], F.col("other") == F.col("b_other")])
+    triple = lambda v: (F.col(f"aligned_{v}"), F.col(f"shuffled_{v}"), (F.col(f"aligned_{v}") - F.col(f"shuffled_{v}")).alias(f"delta_{v}"))
+    return rows.select(*keys, "base", "other", "n_aligned", "n_shuffled", *[c for v in values for c in triple(v)])
+
+
+def task_metrics(records: DataFrame, task: str, groups: Sequence[str], labels: Sequence[str], order: str = "pageid") -> DataFrame:
+    """Metrics of a task by name: of one label (``corine_level2``) or of label sets (``osm``)."""
+    if task == "corine_level2":
+        return single_label(confusion_counts(records, groups, order), groups, labels)
+    if task != "osm":
+        raise ValueError(f"unknown task: {task}")
+    return multi_label(records, groups, labels, order=order)
+
+
 def first_two_models(metrics: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Differences between the first two models by name under the same keys."""
     names = metrics.select("model").distinct().withColumn("_at", F.row_number().over(Window.orderBy("model"))).where(F.col("_at") <= 2)

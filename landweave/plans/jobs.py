@@ -17,6 +17,7 @@ from landweave.sources import sinks
 
 LABELS = list(vocab.LEVEL2_LABELS)
 DELTAS = ("accuracy", "balanced_accuracy", "macro_f1")
+SET_DELTAS = ("exact_match", "micro_f1", "jaccard")
 KEYS = ("subset", "model")
 
 
@@ -32,9 +33,12 @@ def _pairs(df: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(pairs.items()), "base string, other string")
 
 
-def subset_report(records: DataFrame, metadata: DataFrame, named: Mapping[str, Column], *, labels: Sequence[str] = LABELS, pairs: Mapping[str, str] = vocab.SHUFFLED_OF, order: str = "row_idx") -> dict[str, DataFrame]:
+def subset_report(records: DataFrame, metadata: DataFrame, named: Mapping[str, Column], *, labels: Sequence[str] = LABELS, pairs: Mapping[str, str] = vocab.SHUFFLED_OF, order: str = "row_idx", task: str = "corine_level2") -> dict[str, DataFrame]:
     """``coverage, metrics, per_class, distribution, shuffled_deltas, model_comparison`` of records by subset.
 
+    For label sets (task ``osm``) ``per_class`` is left out, and differences are of exact matches,
+    micro F1 and Jaccard.
+
     ``records`` has ``pageid, model, text_source, target, prediction, parse_status`` and ``order``;
     ``metadata`` one row per page. Subsets without a record give no rows.
     """
@@ -43,6 +47,15 @@ def subset_report(records: DataFrame, metadata: DataFrame, named: Mapping[str, C
     coverage = joined.groupBy("model", "text_source").agg(F.count("*").alias("n_records"), F.count("_there").alias("n_with_metadata"))
     groups = [*KEYS, "text_source"]
     rows = subsets.expand(joined, named)
+    if task != "corine_level2":
+        table = metrics.task_metrics(rows, task, groups, labels, order)
+        return {
+            "coverage": coverage,
+            "metrics": table,
+            "distribution": metrics.class_distribution(rows.select(*groups, F.explode("target").alias("label")), list(groups), "label", labels),
+            "shuffled_deltas": metrics.paired_deltas(table, list(KEYS), "text_source", _pairs(records, pairs), SET_DELTAS),
+            "model_comparison": metrics.first_two_models(table, ["subset", "text_source"], SET_DELTAS),
+        }
     counts = metrics.confusion_counts(rows, groups, order)
     table = metrics.single_label(counts, groups, labels)
     return {
