@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.columns import present
@@ -121,3 +121,17 @@ def require_consistent(runs: DataFrame, *, key: str = "pageid") -> DataFrame:
     if wrong:
         raise ValueError(f"targets differ for {[r[key] for r in wrong]}")
     return runs.where(F.col("target").isNotNull()).select(key, "target").distinct()
+
+
+#: Reflectance that is shown as white.
+WHITE = 3000.0
+
+
+def shown_bands(values: Column, white: float = WHITE) -> Column:
+    """Reflectances as bytes for showing: 0 to ``white`` as 0 to 255, what is beyond cut off."""
+    return F.transform(values, lambda v: F.floor(F.least(F.greatest(v.cast("double") / white, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
+
+
+def usable_patch(values: Column) -> Column:
+    """A patch that is there and not zero all over."""
+    return F.coalesce(F.exists(values, lambda v: v != 0), F.lit(False))

@@ -191,7 +191,7 @@ def d11_metadata_join(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_sql("contents", "evidence", "spatial", "quality") + """SELECT c.pageid, coalesce(nullif(trim(q.title), ''), nullif(trim(c.title), '')) AS title, e.pageid IS NOT NULL AS has_evidence, s.pageid IS NOT NULL AS has_spatial, q.pageid IS NOT NULL AS has_quality,
   round(coalesce(s.point_label_share_250m, 0), 6) AS point_label_share_250m FROM contents c LEFT JOIN evidence e USING (pageid) LEFT JOIN spatial s USING (pageid) LEFT JOIN quality q USING (pageid)""")
 def d13_four_way_join(spark: SparkSession, folder: str) -> DataFrame:
-    c = inputs.contents(spark, folder).select("pageid", F.col("title").alias("c_title"))
+    c = inputs.contents(spark, folder, ["title"]).select("pageid", F.col("title").alias("c_title"))
     e = inputs.evidence(spark, folder).select("pageid", F.lit(True).alias("e"))
     s = inputs.spatial(spark, folder).select("pageid", F.lit(True).alias("s"), "point_label_share_250m")
     q = inputs.quality(spark, folder).select("pageid", F.lit(True).alias("q"), F.col("title").alias("q_title"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from landweave.operators.regions import prepared_regions
 from landweave.plans import inputs
 from landweave.plans.inputs import with_sql
+from landweave.operators import audit
 from landweave.session import shared_folder
 from landweave.sources import readers, sinks
+from landweave.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -176,3 +178,27 @@ def a11_missing_files(spark: SparkSession, folder: str) -> DataFrame:
     one = readers.evidence(spark, f"{nowhere}.json").agg(F.count("*").alias("n_evidence"))
     two = readers.article_types(spark, f"{nowhere}.csv").agg(F.count("*").alias("n_types"))
     return one.join(two, F.lit(True)).join(readers.quality_scores(spark, f"{nowhere}.csv").agg(F.count("*").alias("n_scores")), F.lit(True))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def b11_npz(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors through ``.npz`` files."""
+    path = _new(spark, "vectors")
+    sinks.write_npz(table(spark, folder, "embeddings"), "vec_id", "embedding", path).agg(F.sum("n")).collect()
+    read = readers.npz(spark, path, key="vec_id", kind="long")
+    return read.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT count(*) AS n_shapes, 1 AS n_pages FROM (SELECT DISTINCT id, code_18, geometry FROM landcover_polygons)")
+def b15_map_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page that draws all polygons, by the shapes in it."""
+    page = sinks.map_page(inputs.polygons(spark, folder), "geometry", ["id", "code_18"], "Land cover", points=inputs.articles(spark, folder), most=500_000)
+    return spark.createDataFrame([(page.count('"type": "Feature"'), page.count("<canvas"))], "n_shapes long, n_pages long")
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(floor(least(greatest(CAST(x AS DOUBLE) * 9000 / 3000, 0), 1) * 255) AS BIGINT))) AS total, len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings WHERE embedding IS NOT NULL")
+def a39_shown_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Patches as they are shown, with vectors for reflectances."""
+    rows = table(spark, folder, "embeddings").where("embedding IS NOT NULL")
+    shown = audit.shown_bands(F.transform("embedding", lambda x: x.cast("double") * 9000))
+    return rows.select("vec_id", F.aggregate(shown, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), audit.usable_patch(F.col("embedding")).alias("usable"))

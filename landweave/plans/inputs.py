@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(usable_place(F.col("lat"), F.col("lon"))).withColumn("pageid", F.col("pageid").cast("string"))
 
 
-def contents(spark: SparkSession, folder: str) -> DataFrame:
-    return current_rows(table(spark, folder, "article_contents"), "pageid", "fetched_at", ["title", "content"])
+def contents(spark: SparkSession, folder: str, columns: Sequence[str] = ("title", "content")) -> DataFrame:
+    """Current contents; only the columns that are asked for are read and shuffled."""
+    return current_rows(table(spark, folder, "article_contents"), "pageid", "fetched_at", list(columns))
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:

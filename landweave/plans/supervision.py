@@ -110,7 +110,7 @@ def i4_set_intersection(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_sql("contents").rstrip() + """, r AS (SELECT pageid, lead(pageid) OVER (ORDER BY CAST(pageid AS BIGINT)) AS nxt, first_value(pageid) OVER (ORDER BY CAST(pageid AS BIGINT)) AS fst FROM contents)
   SELECT pageid, coalesce(nxt, fst) AS shuffled_from FROM r""")
 def k14_rotation_control(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.contents(spark, folder).select("pageid", F.col("pageid").cast("long").alias("row_idx"))
+    rows = inputs.contents(spark, folder, ()).select("pageid", F.col("pageid").cast("long").alias("row_idx"))
     return controls.rotated(rows, "row_idx", "pageid").select("pageid", F.col("control").alias("shuffled_from"))
 
 

@@ -212,7 +212,7 @@ def _type_sql(column: str) -> str:
 @query(with_sql("contents").rstrip() + f", w AS (SELECT pageid, {_PLAIN('title')} AS w FROM contents WHERE title IS NOT NULL), t AS (SELECT pageid, {_type_sql('w')} AS t FROM w) SELECT pageid, CASE WHEN len(t) = 0 THEN 'other_or_unclear' ELSE t[1] END AS primary_type, CASE WHEN len(t) = 0 THEN 'other_or_unclear' ELSE array_to_string(t, ',') END AS candidates FROM t")
 def f20_article_types(spark: SparkSession, folder: str) -> DataFrame:
     """Article types, with titles for categories."""
-    rows = inputs.contents(spark, folder).where(F.col("title").isNotNull()).select("pageid", C.article_types(F.array(F.col("title"))).alias("t"))
+    rows = inputs.contents(spark, folder, ["title"]).where(F.col("title").isNotNull()).select("pageid", C.article_types(F.array(F.col("title"))).alias("t"))
     return rows.select("pageid", F.col("t")[0].alias("primary_type"), F.array_join("t", ",").alias("candidates"))
 
 
@@ -258,7 +258,7 @@ def f25_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_sql("contents") + "SELECT pageid, CAST(CAST('0x' || left(sha256('42:' || pageid), 16) AS UBIGINT) AS VARCHAR) AS seed FROM contents")
 def f37_stable_seed(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.contents(spark, folder).select("pageid", C.stable_seed(F.lit(42), F.col("pageid")).cast("string").alias("seed"))
+    return inputs.contents(spark, folder, ()).select("pageid", C.stable_seed(F.lit(42), F.col("pageid")).cast("string").alias("seed"))
 
 
 @query(_SUMMARIES + "SELECT '[\"' || array_to_string(list_sort(evidence_types), '\", \"') || '\"]' AS key, count(*) AS n FROM evidence WHERE len(evidence_types) > 0 GROUP BY 1")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,3 +172,20 @@ def quality_scores(spark: SparkSession, path: str) -> DataFrame:
     rows = table_by_suffix(spark, path, "pageid string, quality_score string, quality_bin string, recommended_use string")
     number = F.col("quality_score").cast("string").try_cast("double")
     return rows.select(F.col("pageid").cast("string").alias("pageid"), number.alias("quality_score"), "quality_bin", "recommended_use")
+
+
+def npz(spark: SparkSession, path: str, *, key: str = "pageid", kind: str = "string", vector: str = "embedding") -> DataFrame:
+    """``key, vector`` of the arrays ``key`` and ``vector`` in all ``.npz`` files of a folder; unequal lengths are an error."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=True) as data:
+                    keys, vectors = data["key"], data["vector"]
+                if len(keys) != len(vectors):
+                    raise ValueError(f"{len(keys)} keys for {len(vectors)} vectors")
+                yield pd.DataFrame({"key": keys, "vector": list(vectors.astype(float))})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
+    rows = files.mapInPandas(read, f"key {kind}, vector array<double>")
+    return rows.withColumnsRenamed({"key": key, "vector": vector})

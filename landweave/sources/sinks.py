@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import io
 import json
 import os
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,3 +143,67 @@ def write_geojson(df: DataFrame, key: str, geometry: str, properties: Sequence[s
     """Feature collections in parts."""
     features = geojson_features(df, geometry, properties, keep=[key])
     _parts(features, key, F.col("value"), path, ('{"type": "FeatureCollection", "features": [', "]}"), rows)
+
+
+# ---- arrays and maps ---------------------------------------------------------------------------
+
+
+def write_npz(df: DataFrame, key: str, vector: str, path: str) -> DataFrame:
+    """``file, n``: keys and vectors as ``.npz`` files of arrays ``key`` and ``vector``, one per batch of rows, named by their keys.
+
+    A batch that is written again has the same name and content. Null keys and vectors are left out.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(inside, recursive=True)
+        for batch in batches:
+            if len(batch):
+                held = io.BytesIO()
+                np.savez_compressed(held, key=batch["key"].to_numpy(), vector=np.stack(batch["vector"].to_numpy()))
+                name = hashlib.md5("\n".join(map(str, batch["key"])).encode()).hexdigest() + ".npz"
+                with system.open_output_stream(f"{inside}/{name}") as out:
+                    out.write(held.getvalue())
+                yield pd.DataFrame({"file": [name], "n": [len(batch)]})
+
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    return rows.mapInPandas(write, "file string, n long")
+
+
+def map_page(df: DataFrame, geometry: str, properties: Sequence[str], title: str, *, points: DataFrame | None = None, most: int = 50_000) -> str:
+    """A page that draws polygons (WKT) and points (``lon, lat, title``) with nothing but itself; no tiles, no libraries.
+
+    A page is for looking at: more than ``most`` shapes are refused.
+    """
+    shapes = [r["value"] for r in geojson_features(df, geometry, properties).limit(most + 1).collect()]
+    marks = [[r["lon"], r["lat"], r["title"]] for r in points.select("lon", "lat", "title").limit(most + 1).collect()] if points is not None else []
+    if len(shapes) > most or len(marks) > most:
+        raise ValueError(f"more than {most} shapes")
+    safe = lambda text: text.replace("</", "<\\/")
+    script = """
+const all = shapes.flatMap(f => f.geometry.type === "Polygon" ? f.geometry.coordinates : f.geometry.coordinates.flat());
+const xs = all.flat().map(p => p[0]).concat(marks.map(m => m[0])), ys = all.flat().map(p => p[1]).concat(marks.map(m => m[1]));
+const least = v => v.reduce((a, b) => Math.min(a, b), Infinity), most = v => v.reduce((a, b) => Math.max(a, b), -Infinity);
+const x0 = least(xs), x1 = most(xs), y0 = least(ys), y1 = most(ys), k = Math.cos((y0 + y1) / 2 * Math.PI / 180);
+const c = document.getElementById("map"), g = c.getContext("2d"), s = Math.min(c.width / ((x1 - x0) * k || 1), c.height / (y1 - y0 || 1));
+const at = p => [(p[0] - x0) * k * s, c.height - (p[1] - y0) * s];
+for (const f of shapes) {
+  const rings = f.geometry.type === "Polygon" ? f.geometry.coordinates : f.geometry.coordinates.flat();
+  const hue = [...JSON.stringify(f.properties[colour] ?? "")].reduce((h, ch) => (h * 31 + ch.charCodeAt(0)) % 360, 7);
+  g.beginPath();
+  for (const r of rings) { r.forEach((p, i) => i ? g.lineTo(...at(p)) : g.moveTo(...at(p))); g.closePath(); }
+  g.fillStyle = `hsla(${hue}, 60%, 60%, 0.6)`; g.strokeStyle = "#444"; g.lineWidth = 0.3; g.fill("evenodd"); g.stroke();
+}
+g.fillStyle = "#b00";
+for (const m of marks) { const [x, y] = at(m); g.fillRect(x - 1, y - 1, 3, 3); }
+"""
+    colour = json.dumps(properties[-1] if properties else "")
+    data = f"const shapes = [{safe(','.join(shapes))}], marks = {safe(json.dumps(marks, ensure_ascii=False))}, colour = {colour};"
+    return f'<!doctype html>\n<meta charset="utf-8">\n<title>{html.escape(title)}</title>\n<canvas id="map" width="1200" height="900"></canvas>\n<script>\n{data}{script}</script>\n'
+
+
+def write_map(df: DataFrame, geometry: str, properties: Sequence[str], path: str, title: str, *, points: DataFrame | None = None) -> None:
+    """The page as a file, whole or not at all."""
+    write_text(path, map_page(df, geometry, properties, title, points=points))
