@@ -415,8 +415,8 @@ def planar_areas(regions: DataFrame) -> DataFrame:
 def sample_polygons(polygons: DataFrame, n: int, *, level: int = 2, seed: int = 42, exclude_artificial: bool = False) -> DataFrame:
     """``id, code_18, class_label, geometry, x, y, lon, lat`` of ``n`` polygons by digest, with their centres on the plane and in degrees.
 
-    ``class_label`` are the first ``level`` characters of the code. More polygons than there are
-    is an error, as is one asked for among none.
+    ``class_label`` are the first ``level`` characters of the code; an unreadable polygon has no
+    centre. More polygons than there are is an error.
     """
     rows = polygons.where(natural_class(F.col("code_18"))) if exclude_artificial else polygons
     # one rank over all: by digest buckets, so the polygons are never gathered
@@ -427,4 +427,4 @@ def sample_polygons(polygons: DataFrame, n: int, *, level: int = 2, seed: int =
     centres = planar_areas(planar(drawn, "id", "geometry", [])).select("id", "x", "y")
     lon, lat = lcc_inverse(F.col("x"), F.col("y"))
     label = F.substring("code_18", 1, level)
-    return drawn.join(F.broadcast(centres), "id").select("id", "code_18", label.alias("class_label"), "geometry", "x", "y", lon.alias("lon"), lat.alias("lat"))
+    return drawn.join(F.broadcast(centres), "id", "left").select("id", "code_18", label.alias("class_label"), "geometry", "x", "y", lon.alias("lon"), lat.alias("lat"))
