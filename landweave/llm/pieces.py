@@ -122,18 +122,6 @@ def _led(tables: pd.DataFrame) -> list[bool]:
     return found
 
 
-def longest_segment(tables: pd.DataFrame, kind: str) -> int:
-    """Longest text between separators of a kind, over the ranges of a text in order."""
-    rows = tables[kind] if kind != "sentence" else [b if led else a for a, b, led in zip(tables["sentence"], tables["sentence_led"], _led(tables))]
-    longest, run = 0, 0
-    for n, (head, inner, tail) in zip(tables["n"], rows):
-        if inner < 0 and head == n == tail:
-            run += n
-            continue
-        longest, run = max(longest, run + head, inner), tail
-    return max(longest, run)
-
-
 def stitched_ends(tables: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Where the ranges of a text begin (and where it ends), and the ends of each kind, as offsets in the text."""
     first = np.r_[0, np.cumsum(tables["n"].to_numpy(dtype=np.int64))]
@@ -257,19 +245,35 @@ def current_tables(tables: DataFrame, wanted: DataFrame) -> DataFrame:
     return once.join(w, same, "left_semi").select(*VERSION, "range", "t.*")
 
 
+def _longest(kind: str) -> Column:
+    """Longest text between separators of a kind, over the ranges ``t`` of a text in order."""
+    long = lambda x: F.lit(x).cast("long")
+    start = F.struct(long(0).alias("longest"), long(0).alias("run"), F.lit(False).alias("led"))
+
+    def step(s: Column, t: Column) -> Column:
+        parts = F.when(s["led"], t["sentence_led"]).otherwise(t["sentence"]) if kind == "sentence" else t[kind]
+        head, inner, tail = parts[0], parts[1], parts[2]
+        without = (inner < 0) & (head == t["n"]) & (tail == t["n"])
+        return F.struct(
+            F.when(without, s["longest"]).otherwise(F.greatest(s["longest"], s["run"] + head, inner)).alias("longest"),
+            F.when(without, s["run"] + t["n"]).otherwise(tail).alias("run"),
+            F.when((t["n"] > 0) & (t["stop"] != 2), t["stop"] == 1).otherwise(s["led"]).alias("led"),
+        )
+
+    return F.aggregate("t", start, step, lambda s: F.greatest(s["longest"], s["run"]))
+
+
 def coarsest_boundary(tables: DataFrame, limit: int) -> DataFrame:
     """``key, boundary``: the coarsest kind of boundary at which every part has at most ``limit``.
 
-    ``tables`` has one version of every key.
+    ``tables`` has one version of every key; the few numbers of a text's ranges meet, no ends.
     """
-
-    def stitch(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("range")
-        found = next((k for k in KINDS[:3] if longest_segment(table, k) <= limit), "none")
-        return pd.DataFrame({"key": [table["key"].iloc[0]], "boundary": [found]})
-
-    rows = tables.select("key", "range", "n", "stop", "paragraph", "sentence", "sentence_led", "word")
-    return rows.groupBy("key").applyInPandas(stitch, "key string, boundary string")
+    numbers = F.struct("range", "n", "stop", "paragraph", "sentence", "sentence_led", "word")
+    texts = tables.groupBy("key").agg(F.array_sort(F.collect_list(numbers)).alias("t"))
+    found = F.lit("none")
+    for kind in reversed(KINDS[:3]):
+        found = F.when(_longest(kind) <= limit, kind).otherwise(found)
+    return texts.select("key", found.alias("boundary"))
 
 
 def piece_offsets(tables: DataFrame, limit: int, overlap: int) -> DataFrame:

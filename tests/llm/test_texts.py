@@ -95,12 +95,17 @@ def tables_of(text, size, sparse=0):
     return pd.DataFrame([pieces.range_boundaries(p, sparse) for p in parts])
 
 
-@settings(max_examples=600, deadline=None)
-@given(st.lists(alphabet, max_size=50).map("".join), st.integers(1, 12), st.integers(1, 14))
-def test_stitched_segments(text, size, limit):
-    table = tables_of(text, size)
-    found = next((k for k in pieces.KINDS[:3] if pieces.longest_segment(table, k) <= limit), "none")
-    assert found == coarsest(text, limit)
+def test_stitched_segments(spark):
+    rng = random.Random(7)
+    signs = ["a", "b", "ab", "é", " ", ".", "!", "\n", "\r\n", "  ", " ", "…", "abc", "😀"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 50))) for _ in range(900)] + [". " * 20, " " * 30, ".\n" * 9, ""]
+    found = pd.concat([tables_of(t, rng.randint(1, 12)).assign(key=str(i)).reset_index(names="range") for i, t in enumerate(texts)])
+    for c in ("paragraph", "sentence", "sentence_led", "word"):
+        found[c] = found[c].map(list)
+    tables = spark.createDataFrame(found.drop(columns=["paragraph_ends", "sentence_ends", "word_ends"])).repartition(8).cache()
+    for limit in (1, 2, 3, 5, 8, 13):
+        got = {r.key: r.boundary for r in pieces.coarsest_boundary(tables, limit).collect()}
+        assert got == {str(i): coarsest(t, limit) for i, t in enumerate(texts)}
 
 
 ENDS = {"paragraph": f"\r\n|{BREAKS}", "sentence": r"(?<=[.!?…])[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+", "word": r"\s+"}
