@@ -46,8 +46,8 @@ def _summary(spans: Spans, n: int) -> tuple[int, int, int]:
     """Length before the first separator, longest between two, after the last; (n, -1, n) if there is none."""
     if not spans:
         return n, -1, n
-    inner = max((b[0] - a[1] for a, b in zip(spans, spans[1:])), default=-1)
-    return spans[0][0], inner, n - spans[-1][1]
+    at = np.array(spans, dtype=np.int64)
+    return spans[0][0], int((at[1:, 0] - at[:-1, 1]).max(initial=-1)), n - spans[-1][1]
 
 
 def _merged(spans: Spans) -> Spans:
@@ -66,8 +66,8 @@ def sparse_stretch(limit: int, overlap: int) -> int:
     return limit // 2 - overlap
 
 
-def range_boundaries(text: str, sparse: int = 0) -> dict:
-    """The boundary table of one range, as if white space before it followed no full stop.
+def range_boundaries(text: str, sparse: int = 0, with_ends: bool = True) -> dict:
+    """The boundary table of one range, as if white space before it followed no full stop; the ends only if they are asked for.
 
     Word ends are tabled in stretches without a coarser boundary that are longer than ``sparse``.
     The first and the last stretch may go on in other ranges, so theirs are always tabled.
@@ -82,6 +82,19 @@ def range_boundaries(text: str, sparse: int = 0) -> dict:
     inner = len(text.rstrip(_BLANKS))
     marks = _merged(breaks + ends)
     gaps = [m.span() for m in _SPACE.finditer(text)]
+    table = {
+        "n": n,
+        "first": text[:1],
+        "last": text[-1:],
+        "lead": lead,
+        "stop": 2 if lead == n else int(text[inner - 1] in _STOPS),
+        "paragraph": _summary(breaks, n),
+        "sentence": _summary(marks, n),
+        "sentence_led": _summary(_merged([(0, lead), *marks]), n) if lead else _summary(marks, n),
+        "word": _summary(gaps, n),
+    }
+    if not with_ends:
+        return table
     paragraph_ends = [b for _, b in breaks]
     sentence_ends = [b for _, b in ends]
     ends_inside = {*paragraph_ends, *sentence_ends}
@@ -93,20 +106,7 @@ def range_boundaries(text: str, sparse: int = 0) -> dict:
         stops = np.array([b for _, b in gaps], dtype=np.int64)
         stops = stops[bare[np.searchsorted(coarse, stops) - 1]]
         word_ends = [b for b in stops.tolist() if b not in ends_inside]
-    return {
-        "n": n,
-        "first": text[:1],
-        "last": text[-1:],
-        "lead": lead,
-        "stop": 2 if lead == n else int(text[inner - 1] in _STOPS),
-        "paragraph": _summary(breaks, n),
-        "sentence": _summary(marks, n),
-        "sentence_led": _summary(_merged([(0, lead), *marks]), n) if lead else _summary(marks, n),
-        "word": _summary(gaps, n),
-        "paragraph_ends": paragraph_ends,
-        "sentence_ends": sentence_ends,
-        "word_ends": word_ends,
-    }
+    return table | {"paragraph_ends": paragraph_ends, "sentence_ends": sentence_ends, "word_ends": word_ends}
 
 
 # ---- stitching the tables of a text ------------------------------------------------------------
@@ -210,14 +210,12 @@ def text_ranges(texts: DataFrame, key: str, text: str, stamp: str, limit: int, *
     return ranges.select(*VERSION, (F.col("slab") * SLAB + F.col("at")).cast("long").alias("range"), piece(F.col("at"), size).alias("text"))
 
 
-_TABLE = (
-    "n long, first string, last string, lead long, stop int, paragraph array<long>, sentence array<long>, sentence_led array<long>, word array<long>, "
-    "paragraph_ends array<long>, sentence_ends array<long>, word_ends array<long>"
-)
+_TABLE = "n long, first string, last string, lead long, stop int, paragraph array<long>, sentence array<long>, sentence_led array<long>, word array<long>"
+_ENDS = "paragraph_ends array<long>, sentence_ends array<long>, word_ends array<long>"
 
 
-def boundary_tables(ranges: DataFrame, sparse: int = 0) -> DataFrame:
-    """The boundary table of every range, with all other columns of the range kept.
+def boundary_tables(ranges: DataFrame, sparse: int = 0, *, with_ends: bool = True) -> DataFrame:
+    """The boundary table of every range, with all other columns of the range kept; without ends for ``coarsest_boundary``.
 
     ``sparse_stretch`` gives what a limit allows, 0 serves every limit.
     """
@@ -226,11 +224,11 @@ def boundary_tables(ranges: DataFrame, sparse: int = 0) -> DataFrame:
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                tables = pd.DataFrame([range_boundaries(t, sparse) for t in batch["text"]])
+                tables = pd.DataFrame([range_boundaries(t, sparse, with_ends) for t in batch["text"]])
                 yield pd.concat([batch[kept].reset_index(drop=True), tables], axis=1)
 
     kinds = dict(ranges.dtypes)
-    return ranges.mapInPandas(detect, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", " + _TABLE)
+    return ranges.mapInPandas(detect, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", " + ", ".join([_TABLE, *([_ENDS] if with_ends else [])]))
 
 
 def current_tables(tables: DataFrame, wanted: DataFrame) -> DataFrame:

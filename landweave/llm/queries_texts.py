@@ -51,16 +51,16 @@ PIECE_CHARS, OVERLAP_CHARS = 24_000, 200
 _CONTENTS = ("pageid", "content", "fetched_at", PIECE_CHARS)
 
 
-def _oversized_tables(spark: SparkSession, folder: str, *without: str) -> DataFrame:
+def _oversized_tables(spark: SparkSession, folder: str, *, with_ends: bool = True) -> DataFrame:
     """Boundary tables of the oversized current contents; no text is shuffled."""
     rows = table(spark, folder, "article_contents")
-    tables = boundary_tables(text_ranges(rows, *_CONTENTS), sparse_stretch(PIECE_CHARS, OVERLAP_CHARS)).drop(*without)
+    tables = boundary_tables(text_ranges(rows, *_CONTENTS), sparse_stretch(PIECE_CHARS, OVERLAP_CHARS), with_ends=with_ends)
     return current_tables(tables, oversized(rows, *_CONTENTS))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with an oversized current content, and the coarsest boundary that suffices."""
-    tables = _oversized_tables(spark, folder, "paragraph_ends", "sentence_ends", "word_ends")
+    tables = _oversized_tables(spark, folder, with_ends=False)
     return coarsest_boundary(tables, PIECE_CHARS).select(F.col("key").alias("pageid"), "boundary")
 
 
