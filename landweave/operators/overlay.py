@@ -263,8 +263,8 @@ def box_candidates(left: DataFrame, right: DataFrame, *, extent: float | None =
         # one coarser than fits, so that rounding of a box's corners does no harm
         known = min(FINEST, max(0, math.floor(math.log2(SPAN / extent)) - 1))
         sides[0] = left.withColumn("_level", F.lit(known))
-    used = {r[0] for df in (sides[1:] if extent is not None else sides) for r in df.select("_level").distinct().collect()}
-    used = sorted(used | ({known} if extent is not None else set()))
+    levels = sides[1].select("_level") if extent is not None else sides[0].select("_level").unionByName(sides[1].select("_level"))
+    used = sorted({r[0] for r in levels.distinct().collect()} | ({known} if extent is not None else set()))
     l, r = _entered(sides[0], used, ""), _entered(sides[1], used, "r_")
     corner = lambda a, b: grid_index(F.greatest(F.col(a), F.col(b)), F.col("_at"), SPAN)
     meets = (F.col("minx") <= F.col("r_maxx")) & (F.col("r_minx") <= F.col("maxx")) & (F.col("miny") <= F.col("r_maxy")) & (F.col("r_miny") <= F.col("maxy"))

@@ -12,6 +12,7 @@ from landweave.operators.regions import prepared_regions
 from landweave.operators.truth import in_either, labeled_regions, multi_label_truth, single_label_truth
 from landweave.plans import inputs
 from landweave.plans.inputs import CODE_LANDUSE, CODE_NATURAL, case_sql, with_sql
+from landweave.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -99,9 +100,9 @@ def _planar_points(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def e16_spatial_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """Shares of land cover in buffers of 250 m and 500 m, wide."""
-    points = _planar_points(spark, folder)
+    points = cut_lineage(_planar_points(spark, folder))  # read for the buffers and for the rows that come out
     rows = inputs.polygons(spark, folder).withColumn("label", level2(F.col("code_18"))).where(F.col("label").isNotNull())
-    shares = buffer_shares(points, planar(rows, "id", "geometry", ["label"]), "label", [250.0, 500.0])
+    shares = buffer_shares(points, cut_lineage(planar(rows, "id", "geometry", ["label"])), "label", [250.0, 500.0])
     long = spatial_confidence(points, shares, "pageid", "point_label", [250.0, 500.0])
     return spatial_confidence_wide(long, "pageid", "point_label", [250, 500])
 

@@ -174,19 +174,36 @@ def _splits(spark: SparkSession, folder: str) -> DataFrame:
     return quality.probe_splits(_weight_input(spark, folder).where("label IS NOT NULL").join(places, "pageid"))
 
 
-@query()
-def k13_probe_splits(spark: SparkSession, folder: str) -> DataFrame:
-    return _splits(spark, folder)
-
-
-_FOLDS = with_sql("articles").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _LCC + """,
-  sizes AS (SELECT CAST(floor(x / 20000) AS BIGINT) || '_' || CAST(floor(y / 20000) AS BIGINT) AS g, count(*) AS n FROM xy GROUP BY 1),
-  ordered AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM sizes),
+_PACK = """ordered AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM sizes),
   pack(i, g, fold, filled) AS (
     SELECT 0::BIGINT, NULL::VARCHAR, NULL::INT, [0, 0, 0, 0, 0]::BIGINT[]
     UNION ALL SELECT o.i, o.g, CAST(list_position(p.filled, list_min(p.filled)) - 1 AS INT),
       list_transform(p.filled, lambda v, k: CASE WHEN k = list_position(p.filled, list_min(p.filled)) THEN v + o.n ELSE v END)
     FROM pack p JOIN ordered o ON o.i = p.i + 1)"""
+_FOLDS = with_sql("articles").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _LCC + """,
+  sizes AS (SELECT CAST(floor(x / 20000) AS BIGINT) || '_' || CAST(floor(y / 20000) AS BIGINT) AS g, count(*) AS n FROM xy GROUP BY 1), """ + _PACK
+
+
+_TRUE = "lower(trim(dominant_matches_point_label_250m)) IN ('true','t','yes','y','oui','on','1','1.0')"
+_SPLITS = with_sql("articles", "evidence", "spatial", "quality", "pages").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _LCC + f""",
+  u AS (SELECT p.*, CAST(floor(x / 20000) AS BIGINT) || '_' || CAST(floor(y / 20000) AS BIGINT) AS g, coalesce(point_label_share_250m >= 0.8, false) AND coalesce({_TRUE}, false) AS sp,
+    coalesce(landcover_relevance IN ('medium', 'high'), false) AND coalesce(quality_bin IN ('quality_high', 'quality_very_high'), false) AND NOT coalesce(uncertainty = 'high', false) AS fine, coalesce(qwen = gemma AND qwen = label, false) AS agree
+    FROM pages p JOIN xy USING (pageid) WHERE label IS NOT NULL),
+  t AS (SELECT pageid, label, g, list_filter(['all', CASE WHEN sp THEN 'spatial_only' END, CASE WHEN sp AND fine THEN 'quality_spatial' END, CASE WHEN sp AND fine AND agree THEN 'text_spatial_agreement' END], lambda z: z IS NOT NULL) AS tiers FROM u),
+  sizes AS (SELECT g, count(*) AS n FROM t GROUP BY g), {_PACK},
+  pool AS (SELECT pageid, label FROM t WHERE list_contains(tiers, 'quality_spatial')),
+  evals AS (SELECT pageid, 'eval_strict' AS split, 'eval_strict' AS tier FROM (SELECT pageid, row_number() OVER (PARTITION BY label ORDER BY left(md5('42:' || pageid), 15), pageid) AS rk FROM pool) WHERE rk <= 5
+    UNION ALL SELECT pageid, 'repeated_eval_seed_' || r, 'eval_repeated' FROM (SELECT pageid, r, row_number() OVER (PARTITION BY r, label ORDER BY left(md5((42 + r) || ':' || pageid), 15), pageid) AS rk FROM pool CROSS JOIN range(0, 20) q(r)) WHERE rk <= 5
+    UNION ALL SELECT pageid, 'spatial_block_fold_' || fold, 'eval_spatial_block' FROM t JOIN pack USING (g)),
+  names AS (SELECT 'eval_strict' AS held, 'train' AS split UNION ALL SELECT 'eval_strict', 'train_for_eval_strict' UNION ALL SELECT 'repeated_eval_seed_' || r, 'train_for_repeated_eval_seed_' || r FROM range(0, 20) q(r)
+    UNION ALL SELECT 'spatial_block_fold_' || r, 'train_for_spatial_block_fold_' || r FROM range(0, 5) q(r)),
+  training AS (SELECT pageid, split, unnest(tiers) AS tier FROM t CROSS JOIN names n WHERE NOT EXISTS (SELECT 1 FROM evals e WHERE e.pageid = t.pageid AND e.split = n.held))
+  SELECT pageid, label, s.split, s.tier FROM (SELECT * FROM evals UNION ALL SELECT * FROM training) s JOIN t USING (pageid)"""
+
+
+@query(_SPLITS)
+def k13_probe_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return _splits(spark, folder)
 
 
 @query(_FOLDS + " SELECT g AS geo_group_20km, fold FROM pack WHERE i > 0")
