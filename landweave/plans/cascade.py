@@ -205,3 +205,16 @@ def m26_categories(spark: SparkSession, folder: str) -> DataFrame:
     payload = F.when(F.size(F.array_compact("evidence_types")) > 0, payload).otherwise('{"categories": [7]}')
     rows = inputs.evidence(spark, folder).where("evidence_types IS NOT NULL").select("pageid", C.payload_categories(payload).alias("c"))
     return rows.select("pageid", F.array_join("c", "|").alias("categories"))
+
+
+@query(with_sql("corners") + "SELECT 'way/' || CAST(id AS VARCHAR) AS osm_id, code_18 AS landuse FROM corners WHERE id % 2 = 1")
+def a37_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements of an answer as polygons, from land cover; the rings of even ids cross themselves and are left out."""
+    from landweave.functions.geo import polygon_rings
+    from landweave.sources.fetch import elements_to_polygons
+
+    ring = polygon_rings(F.col("geometry"))[0]
+    point = lambda i: F.struct(ring[i]["x"].alias("lon"), ring[i]["y"].alias("lat"))
+    order = F.when(F.col("id") % 2 == 1, F.array(*[point(i) for i in range(5)])).otherwise(F.array(*[point(i) for i in (0, 2, 1, 3, 0)]))
+    rows = inputs.polygons(spark, folder).select(F.lit("way").alias("type"), "id", F.create_map(F.lit("landuse"), F.col("code_18")).alias("tags"), order.alias("points"))
+    return elements_to_polygons(rows).select("osm_id", "landuse")

@@ -16,6 +16,7 @@ from landweave.plans.evaluation import LABELS
 from landweave.plans.inputs import with_sql
 from landweave.plans.texts import _SQUEEZE, _WS
 from landweave.sources import texts
+from landweave.streaming import resume
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -102,13 +103,16 @@ _FIELDS = {"evidence_sentences_no_place": "s", "evidence_types": "t", "landcover
 _ALLOWED = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-@query(with_sql("evidence").rstrip() + f""", p AS (SELECT pageid, title, landuse_evidence_summary AS m, landcover_relevance AS r, evidence_types AS t, evidence_sentences_no_place AS s, uncertainty AS u, {_SQUEEZE("landuse_evidence_summary")} AS q, {_LEAK("coalesce(title, '')")} AS name,
-    array_to_string(list_filter([{", ".join(f"CASE WHEN {c} IS NULL THEN '{n}' END" for n, c in _FIELDS.items())}], lambda x: x IS NOT NULL), ''', ''') AS lost FROM (SELECT pageid, title, landuse_evidence_summary, landcover_relevance, evidence_types, evidence_sentences_no_place, uncertainty FROM evidence))
-  SELECT pageid, CASE WHEN lost <> '' THEN 'missing fields: [''' || lost || ''']' WHEN q = '' THEN 'no summary'
+_JUDGED = with_sql("evidence").rstrip() + f""", p AS (SELECT pageid, title, landuse_evidence_summary AS m, landcover_relevance AS r, evidence_types AS t, evidence_sentences_no_place AS s, uncertainty AS u, {_SQUEEZE("landuse_evidence_summary")} AS q, {_LEAK("coalesce(title, '')")} AS name,
+    array_to_string(list_filter([{", ".join(f"CASE WHEN {c} IS NULL THEN '{n}' END" for n, c in _FIELDS.items())}], lambda x: x IS NOT NULL), ''', ''') AS lost FROM (SELECT pageid, title, landuse_evidence_summary, landcover_relevance, evidence_types, evidence_sentences_no_place, uncertainty FROM evidence)),
+  j AS (SELECT pageid, q, s, CASE WHEN lost <> '' THEN 'missing fields: [''' || lost || ''']' WHEN q = '' THEN 'no summary'
     WHEN r NOT IN {_ALLOWED(vocab.RELEVANCE_LEVELS)} THEN 'invalid landcover_relevance' WHEN u NOT IN {_ALLOWED(vocab.UNCERTAINTY_LEVELS)} THEN 'invalid uncertainty'
     WHEN len(list_filter(t, lambda x: x IS NULL OR x NOT IN {_ALLOWED(vocab.EVIDENCE_TYPES)})) > 0 THEN 'invalid evidence_types' WHEN len(list_filter(s, lambda x: x IS NULL)) > 0 THEN 'evidence_sentences_no_place holds no text'
     WHEN r = 'none' AND len(t) > 0 THEN 'evidence_types without relevance' WHEN r = 'none' AND len(s) > 0 THEN 'evidence_sentences_no_place without relevance' WHEN r = 'none' AND length(q) > 240 THEN 'long summary without relevance'
-    WHEN {_NAMES(_LEAK("q"), "name")} OR len(list_filter(s, lambda x: {_NAMES(_LEAK("x"), "name")})) > 0 THEN 'place name' END AS error FROM p""")
+    WHEN {_NAMES(_LEAK("q"), "name")} OR len(list_filter(s, lambda x: {_NAMES(_LEAK("x"), "name")})) > 0 THEN 'place name' END AS error FROM p)"""
+
+
+@query(_JUDGED + " SELECT pageid, error FROM j")
 def f40_evidence_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """What is wrong with the stored evidence as a model's response, if anything."""
     rows = inputs.evidence(spark, folder)
@@ -116,6 +120,15 @@ def f40_evidence_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("pageid", payloads.evidence_payload(raw, F.col("title"))["error"].alias("error"))
 
 
+@query(_JUDGED + """ SELECT j.pageid, CASE WHEN j.error IS NULL AND coalesce(length(q) = e.landuse_evidence_summary_char_count AND len(s) = e.evidence_sentences_count, false) THEN 'keep' ELSE 'compute' END AS action
+  FROM j JOIN evidence e USING (pageid)""")
+def c19_current_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Which stored evidence a run may keep, and which pages it does again."""
+    rows = inputs.evidence(spark, folder)
+    kept, wanted = resume.resumed(rows, rows.select("pageid"), resume.evidence_is_current(F.col("title")))
+    return kept.select("pageid", F.lit("keep").alias("action")).unionByName(wanted.select("pageid", F.lit("compute").alias("action")))
+
+
 @query(with_sql("evidence") + """SELECT pageid, CASE WHEN landuse_evidence_summary IS NULL OR trim(landuse_evidence_summary, ' ') = '' THEN 'no summary' END AS error,
   CASE WHEN trim(landuse_evidence_summary, ' ') <> '' THEN md5(trim(landuse_evidence_summary, ' ')) END AS digest FROM evidence""")
 def f39_summary_payloads(spark: SparkSession, folder: str) -> DataFrame:

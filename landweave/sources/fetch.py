@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.functions.columns import surely
+from landweave.functions.columns import bound, surely
 
 
 def tiles(spark: SparkSession, *, west: float, south: float, east: float, north: float, width: float = 0.26, height: float = 0.18) -> DataFrame:
@@ -79,13 +79,30 @@ def closed_ring(points: Column) -> Column:
     return surely((F.size(points) >= 4) & (points[0] == F.element_at(points, -1)))
 
 
+def simple_ring(points: Column) -> Column:
+    """A closed ring that covers an area and does not cross itself; false for null."""
+
+    def side(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"]))
+
+    def crossing(e: Column, f: Column) -> Column:
+        a, b, c, d = e["a"], e["b"], f["a"], f["b"]
+        return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+
+    n = F.size(points)
+    edges = F.zip_with(F.slice(points, 1, n - 1), F.slice(points, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    area = F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"])
+    good = lambda es: (area != 0) & ~F.exists(es, lambda e: F.exists(es, lambda f: crossing(e, f)))
+    return F.when(closed_ring(points), surely(bound(edges, good))).otherwise(False)
+
+
 def elements_to_polygons(elements: DataFrame) -> DataFrame:
-    """``osm_id`` (type/id), tags as columns, and ``geometry`` of elements whose ring is closed.
+    """``osm_id`` (type/id), tags as columns, and ``geometry`` of elements whose ring is closed, covers an area and does not cross itself.
 
     ``elements`` has ``type, id, tags`` (map) and ``points`` (array of struct lon, lat).
     """
     ring = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["lon"], p["lat"])), ", ")
     tags = [F.col("tags")[n].alias(n) for n in ("name", "landuse", "natural", "leisure", "amenity", "building")]
-    return elements.where(closed_ring(F.col("points"))).select(
+    return elements.where(simple_ring(F.col("points"))).select(
         F.concat_ws("/", "type", F.col("id").cast("string")).alias("osm_id"), *tags, F.concat(F.lit("POLYGON (("), ring, F.lit("))")).alias("geometry")
     )

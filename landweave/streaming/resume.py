@@ -14,7 +14,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landweave.functions.columns import surely, text_digest
+from landweave.functions.columns import bound, surely, text_digest
+from landweave.functions.payloads import EVIDENCE_FIELDS, evidence_payload
 
 
 def settings_fingerprint(**settings: object) -> str:
@@ -84,3 +85,45 @@ def cascade_counts(steps: Mapping[str, tuple[DataFrame, DataFrame]], kept: DataF
     for part in parts[1:]:
         found = found.unionByName(part)
     return found
+
+
+# ---- records of summaries and evidence ---------------------------------------------------------
+
+# Fixed value: what older records of summaries without places have in their prompt.
+NO_PLACE_PROMPT = "sans jamais mentionner le nom du lieu décrit"
+
+
+def summary_is_current(summary: Column, metadata: Column, mode: str) -> Column:
+    """Is a summary there and of the mode ``place`` or ``no_place``? Records without a mode are told by their prompt; ``metadata`` is a map of text."""
+    stated, prompt = metadata["summary_mode"], metadata["prompt"]
+    told = prompt.isNotNull() & (F.contains(prompt, F.lit(NO_PLACE_PROMPT)) == F.lit(mode == "no_place"))
+    return summary.isNotNull() & surely((stated == mode) | told)
+
+
+def evidence_is_current(title: Column, expected: Mapping[str, str] | None = None, metadata: Column | None = None) -> Column:
+    """Would a stored evidence record pass again as a response, with the stated counts, and with the expected metadata?
+
+    The record's fields are columns; the counts may be text. What is missing is not current.
+    """
+    payload = evidence_payload(F.to_json(F.struct(*EVIDENCE_FIELDS)), title)
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    counted = lambda p: surely(
+        p["error"].isNull() & (F.length(p["landuse_evidence_summary"]) == number("landuse_evidence_summary_char_count")) & (F.size(p["evidence_sentences_no_place"]) == number("evidence_sentences_count"))
+    )
+    current = bound(payload, counted)
+    for name, value in (expected or {}).items():
+        current = current & surely(metadata[name] == value)
+    return current
+
+
+def resumed(snapshot: DataFrame, inputs: DataFrame, current: Column, *, key: str = "pageid") -> tuple[DataFrame, DataFrame]:
+    """What of a snapshot is kept, and the inputs that are still to be done.
+
+    Records that are current or whose key is no input are kept, failed and stale ones go, and
+    every input without a current record is to be done, each key once.
+    """
+    wanted = inputs.where(F.col(key).isNotNull()).dropDuplicates([key])
+    judged = snapshot.withColumn("_current", surely(current))
+    asked = wanted.select(F.col(key).alias("_asked"))
+    kept = judged.join(asked, F.col(key) == F.col("_asked"), "left").where(F.col("_current") | F.col("_asked").isNull()).drop("_current", "_asked")
+    return kept, wanted.join(judged.where("_current").select(key), key, "left_anti")

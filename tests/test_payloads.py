@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from landweave.functions import payloads
 from landweave.functions.columns import payload_categories
 from landweave.operators import controls
-from landweave.sources import texts
+from landweave.sources import fetch, texts
+from landweave.streaming import resume
 
 GOOD = {"landuse_evidence_summary": "Des prairies\\nhumides.", "landcover_relevance": "high", "evidence_types": ["pasture"], "evidence_sentences_no_place": ["Des  prés."], "uncertainty": "low"}
 
@@ -141,3 +142,32 @@ def test_scores_of_selections(spark):
     assert {r.subset: (r.n, r.score) for r in controls.selection_scores(records, members, ["subset"], None).collect()} == {"s": (4, (1 + 0.5 + 0 + 1) / 4), "t": (1, 1.0)}
     single = records.select("pageid", F.try_element_at("target", F.lit(1)).alias("target"), F.try_element_at("prediction", F.lit(1)).alias("prediction"), "parse_status")
     assert {r.subset: r.score for r in controls.selection_scores(single, members, ["subset"], ["a", "b"]).collect()} == {"s": 0.5, "t": 0.0}
+
+
+# ---- records that are current ----
+
+
+def test_current_records(spark):
+    meta = [("a", {"summary_mode": "no_place"}), ("a", {"summary_mode": "place"}), (None, {"summary_mode": "no_place"}), ("a", None), ("a", {"prompt": f"x {resume.NO_PLACE_PROMPT} y"}), ("a", {"prompt": "x"})]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(meta)], "i int, s string, m map<string,string>").orderBy("i")
+    assert [r.x for r in df.select("i", resume.summary_is_current(F.col("s"), F.col("m"), "no_place").alias("x")).orderBy("i").collect()] == [True, False, False, False, True, False]
+    assert [r.x for r in df.select("i", resume.summary_is_current(F.col("s"), F.col("m"), "place").alias("x")).orderBy("i").collect()] == [False, True, False, False, False, True]
+    fields = "title string, landuse_evidence_summary string, landcover_relevance string, evidence_types array<string>, evidence_sentences_no_place array<string>, uncertainty string, landuse_evidence_summary_char_count string, evidence_sentences_count string, pageid string, m map<string,string>"
+    good = ("Beville", "Des prés.", "high", ["pasture"], ["Des prés."], "low", "9", "1")
+    rows = [(*good, "1", {"seed": "42"}), (*good, "2", {"seed": "7"}), (*good[:6], "8", "1", "3", {"seed": "42"}), (*good[:6], "x", "1", "4", {"seed": "42"}), (*good[:7], None, "5", {"seed": "42"}), ("Prés", *good[1:], "6", {"seed": "42"}), (*good, "7", None), (*good, "9", {"seed": "42"})]
+    records = spark.createDataFrame(rows, fields)
+    current = resume.evidence_is_current(F.col("title"), {"seed": "42"}, F.col("m"))
+    inputs = spark.createDataFrame([(str(i),) for i in (1, 2, 3, 4, 5, 6, 7, 8, 8)] + [(None,)], "pageid string")
+    kept, wanted = resume.resumed(records, inputs, current)
+    assert {r.pageid for r in kept.collect()} == {"1", "9"} and sorted(r.pageid for r in wanted.collect()) == ["2", "3", "4", "5", "6", "7", "8"]
+    assert set(kept.columns) == set(records.columns)
+
+
+def test_simple_rings(spark):
+    rings = [
+        [(0, 0), (1, 0), (1, 1), (0, 0)], [(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)], [(0, 0), (1, 0), (2, 0), (0, 0)], [(0, 0), (1, 0), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 1)], None, [],
+        [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)],
+    ]
+    rows = [(i, r if r is None else [(float(a), float(b)) for a, b in r]) for i, r in enumerate(rings)]
+    df = spark.createDataFrame(rows, "i int, points array<struct<lon:double,lat:double>>")
+    assert [r.x for r in df.select("i", fetch.simple_ring(F.col("points")).alias("x")).orderBy("i").collect()] == [True, False, False, False, False, False, False, True]
