@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave import vocab
 from landweave.functions import columns as C
 from landweave.functions import geo
 from landweave.operators import audit, metrics, overlay, quality, reports
-from landweave.operators.regions import prepared_regions
+from landweave.operators.regions import locate
 from landweave.operators.truth import in_either
 from landweave.plans import inputs
 from landweave.plans.evaluation import GROUP, _rounded
 from landweave.plans.inputs import with_sql
 from landweave.plans.spatial import _LU, _NA, _boxes, _natural, _tagged
-from landweave.plans.supervision import _WEIGHTS, _draws, _weight_input
+from landweave.plans.supervision import _WEIGHTS, ORACLE as _SUPERVISION, _draws, _weight_input, k10_zero_shot
+from landweave.plans.texts import _WS
 from landweave.sources.tables import table
 from landweave.streaming import resume
 
+ORACLE_K10 = _SUPERVISION["k10_zero_shot"].rpartition("\n")[0]
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -218,3 +221,56 @@ def a37_elements(spark: SparkSession, folder: str) -> DataFrame:
     order = F.when(F.col("id") % 2 == 1, F.array(*[point(i) for i in range(5)])).otherwise(F.array(*[point(i) for i in (0, 2, 1, 3, 0)]))
     rows = inputs.polygons(spark, folder).select(F.lit("way").alias("type"), "id", F.create_map(F.lit("landuse"), F.col("code_18")).alias("tags"), order.alias("points"))
     return elements_to_polygons(rows).select("osm_id", "landuse")
+
+
+@query(with_sql("articles", "corners").rstrip() + _PLANE + f""", pa AS (SELECT pageid, {geo.LCC_A * geo.LCC_C!r} * pow(tan(pi() / 4 - radians(lat) / 2) / pow((1 - {geo.LCC_E!r} * sin(radians(lat))) / (1 + {geo.LCC_E!r} * sin(radians(lat))), {geo.LCC_E / 2!r}), {geo.LCC_N!r}) AS rho, {geo.LCC_N!r} * radians(lon - 3.0) AS theta FROM articles),
+  p AS (SELECT pageid, rho * sin(theta) AS px, {geo.LCC_RHO0!r} - rho * cos(theta) AS py FROM pa),
+  b AS (SELECT id, code_18, list(x1 ORDER BY x1) AS xs, list(y1 ORDER BY y1) AS ys, list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2)) AS es FROM e GROUP BY id, code_18),
+  h AS (SELECT pageid, left(code_18, 2) AS label, list_transform(es, lambda s: (s.x2 - s.x1) * (py - s.y1) - (s.y2 - s.y1) * (px - s.x1)) AS d FROM p JOIN b ON px BETWEEN b.xs[1] AND b.xs[-1] AND py BETWEEN b.ys[1] AND b.ys[-1] WHERE code_18 IS NOT NULL)
+  SELECT pageid, min(label) AS label FROM h WHERE list_min(d) >= 0 OR list_max(d) <= 0 GROUP BY pageid HAVING count(DISTINCT label) = 1""")
+def d6_planar_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The only label around every place, tested on the plane in metres."""
+    rows = inputs.polygons(spark, folder).withColumn("label", C.level2(F.col("code_18"))).where("label IS NOT NULL")
+    regions = overlay.planar(rows, "id", "geometry", ["label"])
+    x, y = geo.lcc_forward(F.col("lon"), F.col("lat"))
+    points = inputs.articles(spark, folder).select("pageid", x.alias("x"), y.alias("y"))
+    edges = regions.select("id", "label", geo.ring_edges(F.col("rings")).alias("edges"), "minx", "maxx", "miny", "maxy")
+    found = locate(points, "x", "y", edges, span=overlay.SPAN).groupBy("pageid").agg(F.collect_set("label").alias("labels"))
+    return found.where(F.size("labels") == 1).select("pageid", F.col("labels")[0].alias("label"))
+
+
+@query("""WITH w AS (SELECT vec_id, embedding AS a, list_reverse(embedding) AS b FROM embeddings WHERE embedding IS NOT NULL)
+  SELECT 320 AS window_a, 2240 AS window_b, count(*) AS n, round(avg(list_sum(list_transform(list_zip(a, b), lambda z: abs(CAST(z[1] AS DOUBLE) - z[2]))) / len(a)), 5) AS mean_difference FROM w""")
+def e40_window_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean difference of the patches of two windows, with vectors and their reverse for patches."""
+    rows = table(spark, folder, "embeddings").where("embedding IS NOT NULL")
+    patches = rows.select("vec_id", F.lit(320).alias("window_m"), F.col("embedding").alias("patch")).unionByName(rows.select("vec_id", F.lit(2240).alias("window_m"), F.reverse("embedding").alias("patch")))
+    found = audit.window_differences(patches, "vec_id")
+    return found.select("window_a", "window_b", "n", F.round("mean_difference", 5).alias("mean_difference"))
+
+
+@query(ORACLE_K10 + """, guesses AS (SELECT vec_id, CAST(arg_max(label, s) AS VARCHAR) AS prediction FROM s GROUP BY vec_id), j AS (SELECT CAST(e.label AS VARCHAR) AS target, prediction FROM embeddings e JOIN guesses USING (vec_id) WHERE e.label IS NOT NULL)
+  SELECT target, count(*) AS n, round(avg((target = prediction)::INT), 6) AS recall FROM j GROUP BY target""")
+def k11_zero_shot_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the zero-shot labels per label."""
+    guesses = k10_zero_shot(spark, folder)
+    rows = table(spark, folder, "embeddings").where("label IS NOT NULL").select("vec_id", F.col("label").cast("string").alias("target")).join(guesses, "vec_id")
+    records = rows.select(F.col("vec_id").alias("pageid"), "target", "prediction", F.lit("ok").alias("parse_status"))
+    counts = metrics.confusion_counts(records, [])
+    labels = metrics.observed_labels(counts, predicted=False)
+    return metrics.per_label(counts, [], labels).select(F.col("label").alias("target"), F.col("support").alias("n"), F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT text_source, place FROM (VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(vocab.TEXT_SOURCES)) + ", ('another', " + str(len(vocab.TEXT_SOURCES)) + ")) v(text_source, place)")
+def h2_source_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of text sources in reports; unknown ones come last."""
+    from landweave.plans.jobs import source_order
+
+    rows = spark.createDataFrame([(s,) for s in (*vocab.TEXT_SOURCES, "another")], "text_source string")
+    return rows.select("text_source", source_order(F.col("text_source"))["place"].alias("place"))
+
+
+@query(with_sql("articles") + "SELECT pageid, coalesce(nullif(trim(regexp_replace(title, '" + _WS + "+', ' ', 'g')), ''), pageid) AS name FROM articles")
+def f4_coalesced(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles, or page ids where there is none."""
+    return inputs.articles(spark, folder).select("pageid", C.squeeze(F.coalesce(C.present(F.col("title")), C.present(F.col("pageid")))).alias("name"))

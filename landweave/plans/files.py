@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from landweave.operators.regions import prepared_regions
 from landweave.plans import inputs
+from landweave.plans.evaluation import LABELS, _single_sql
 from landweave.plans.inputs import with_sql
-from landweave.operators import audit
+from landweave.operators import audit, metrics
 from landweave.session import shared_folder
 from landweave.sources import readers, sinks
 from landweave.sources.tables import table
@@ -202,3 +203,17 @@ def a39_shown_bands(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").where("embedding IS NOT NULL")
     shown = audit.shown_bands(F.transform("embedding", lambda x: x.cast("double") * 9000))
     return rows.select("vec_id", F.aggregate(shown, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), audit.usable_patch(F.col("embedding")).alias("usable"))
+
+
+@query(with_sql("records").rstrip() + ", " + _single_sql("text_source", "(SELECT * FROM records WHERE model = 'model_q') ") + """ SELECT 'corine_level2' AS task, text_source, 'macro_recall' AS primary_metric, balanced_accuracy AS primary_score, round(accuracy, 6) AS accuracy, n FROM single""")
+def e26_metric_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics through the files of a run, one per text source."""
+    rows = inputs.records(spark, folder).where("model = 'model_q'")
+    table_ = metrics.single_label(metrics.confusion_counts(rows, ["text_source"], "row_idx"), ["text_source"], LABELS)
+    run = _new(spark, "run")
+    named = table_.select("text_source", "n", F.round("accuracy", 6).alias("accuracy"), F.round("balanced_accuracy", 6).alias("macro_recall"), F.lit("corine_level2").alias("task"))
+    for source in sorted(set(inputs.TIER_SOURCE.values())):
+        own = named.where(F.col("text_source") == source)
+        own.select(F.to_json(F.struct("task", "n", "accuracy", "macro_recall")).alias("value")).coalesce(1).write.text(f"{run}/corine_level2_{source}_metrics.json")
+    read = readers.metric_rows(spark, run)
+    return read.select("task", "text_source", "primary_metric", "primary_score", F.col("values")["accuracy"].alias("accuracy"), F.col("values")["n"].cast("long").alias("n"))

@@ -189,3 +189,22 @@ def npz(spark: SparkSession, path: str, *, key: str = "pageid", kind: str = "str
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content")
     rows = files.mapInPandas(read, f"key {kind}, vector array<double>")
     return rows.withColumnsRenamed({"key": key, "vector": vector})
+
+
+#: Names of metric files: task and text source.
+METRIC_FILE = r"^(corine_level2|osm)_(.*)_metrics\.json$"
+
+
+def metric_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``task, text_source, primary_metric, primary_score, values`` of the metric files of a run, one row per file.
+
+    ``values`` has the numbers of the file; the primary metric is the exact match of label sets,
+    else the macro recall, and its score is null where the file lacks it. A file may be a folder.
+    """
+    name = F.regexp_extract(F.url_decode("_metadata.file_path"), r"([^/]*_metrics\.json)(?:/|$)", 1)
+    rows = spark.read.option("recursiveFileLookup", True).text(f"{folder}/*_metrics.json", wholetext=True).select("value", name.alias("file"))
+    rows = rows.select("value", F.regexp_extract("file", METRIC_FILE, 1).alias("task"), F.regexp_extract("file", METRIC_FILE, 2).alias("text_source")).where(F.col("task") != "")
+    numbers = F.map_filter(F.transform_values(F.from_json("value", "map<string,string>"), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+    primary = F.when(F.col("task") == "osm", "exact_match_accuracy").otherwise("macro_recall")
+    read = rows.select("task", "text_source", numbers.alias("values"), primary.alias("primary_metric"))
+    return read.select("task", "text_source", "primary_metric", F.try_element_at("values", F.col("primary_metric")).alias("primary_score"), "values")
