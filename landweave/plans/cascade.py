@@ -14,7 +14,7 @@ from landweave.operators.truth import in_either
 from landweave.plans import inputs
 from landweave.plans.evaluation import GROUP, _rounded
 from landweave.plans.inputs import with_sql
-from landweave.plans.spatial import _LU, _NA, _boxes, _natural, _tagged
+from landweave.plans.spatial import _LU, _NA, _boxes, _natural, _tagged, confidence_by_radius, d5_landcover_around_articles
 from landweave.plans.supervision import _WEIGHTS, ORACLE as _SUPERVISION, _draws, _weight_input, k10_zero_shot
 from landweave.plans.texts import _WS
 from landweave.sources.tables import table
@@ -274,3 +274,66 @@ def h2_source_order(spark: SparkSession, folder: str) -> DataFrame:
 def f4_coalesced(spark: SparkSession, folder: str) -> DataFrame:
     """Titles, or page ids where there is none."""
     return inputs.articles(spark, folder).select("pageid", C.squeeze(F.coalesce(C.present(F.col("title")), C.present(F.col("pageid")))).alias("name"))
+
+
+# ---- overlays on the plane ---------------------------------------------------------------------
+
+
+def _clip_sql(keys: str) -> str:
+    """``areas``: of every row of ``c0`` (``keys``, ring ``p``, counter-clockwise corners ``q``) the area of ``p`` within ``q``, by clipping edge by edge."""
+    parts = []
+    for e in range(1, 5):
+        a, b = f"q[{e}]", f"q[{e % 4 + 1}]"
+        before = "CASE WHEN i = 1 THEN len(p) ELSE i - 1 END"
+        t = f"(s[{before}] / (s[{before}] - s[i]))"
+        cut = f"struct_pack(x := p[{before}].x + {t} * (p[i].x - p[{before}].x), y := p[{before}].y + {t} * (p[i].y - p[{before}].y))"
+        parts.append(f"s{e} AS (SELECT *, list_transform(p, lambda t: ({b}.x - {a}.x) * (t.y - {a}.y) - ({b}.y - {a}.y) * (t.x - {a}.x)) AS s FROM c{e - 1})")
+        parts.append(f"c{e} AS (SELECT {keys}, q, flatten(list_transform(range(1, len(p) + 1), lambda i: list_concat(CASE WHEN (s[i] >= 0) <> (s[{before}] >= 0) THEN [{cut}] ELSE [] END, CASE WHEN s[i] >= 0 THEN [p[i]] ELSE [] END))) AS p FROM s{e})")
+    turn = "p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y"
+    return ", ".join(parts) + f", areas AS (SELECT {keys}, CASE WHEN len(p) < 3 THEN 0.0 ELSE abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: {turn}))) / 2 END AS area FROM c4)"
+
+
+_QUADS = """, quads AS (SELECT xy.id, xy.code_18, CASE WHEN any_value(plane.a) >= 0 THEN list(struct_pack(x := px, y := py) ORDER BY i) FILTER (WHERE i <= 4) ELSE list(struct_pack(x := px, y := py) ORDER BY i DESC) FILTER (WHERE i <= 4) END AS q,
+    min(px) AS minx, max(px) AS maxx, min(py) AS miny, max(py) AS maxy FROM xy JOIN plane ON xy.id = plane.id AND xy.code_18 = plane.code_18 GROUP BY xy.id, xy.code_18)"""
+
+
+def _lcc_sql(source: str, keys: str, lon: str, lat: str) -> str:
+    """``keys, x, y`` on the plane of a view's longitudes and latitudes."""
+    t = f"pow((1 - {geo.LCC_E!r} * sin(radians({lat}))) / (1 + {geo.LCC_E!r} * sin(radians({lat}))), {geo.LCC_E / 2!r})"
+    rho, theta = f"{geo.LCC_A * geo.LCC_C!r} * pow(tan(pi() / 4 - radians({lat}) / 2) / {t}, {geo.LCC_N!r})", f"{geo.LCC_N!r} * radians({lon} - 3.0)"
+    return f"SELECT {keys}, 700000.0 + {rho} * sin({theta}) AS x, 6600000.0 + {geo.LCC_RHO0!r} - {rho} * cos({theta}) AS y FROM {source}"
+
+
+@query(with_sql("articles", "corners").rstrip() + _PLANE + _QUADS + ", turns AS (SELECT * FROM (VALUES (1, -1, -1), (2, 1, -1), (3, 1, 1), (4, -1, 1)) v(k, sx, sy)), boxed AS (" + _lcc_sql("articles CROSS JOIN turns", "pageid, k", "(lon + sx * 0.005)", "(lat + sy * 0.005)") + """),
+  rings AS (SELECT pageid, list(struct_pack(x := x, y := y) ORDER BY k) AS p, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM boxed GROUP BY pageid),
+  c0 AS (SELECT r.pageid, c.code_18, list_transform(c.q, lambda t: struct_pack(x := t.x - r.x0, y := t.y - r.y0)) AS q, list_transform(r.p, lambda t: struct_pack(x := t.x - r.x0, y := t.y - r.y0)) AS p
+    FROM rings r JOIN quads c ON r.x0 <= c.maxx AND r.x1 >= c.minx AND r.y0 <= c.maxy AND r.y1 >= c.miny), """ + _clip_sql("pageid, code_18") + """,
+  sums AS (SELECT pageid, code_18, sum(area) AS area FROM areas WHERE area > 0 GROUP BY ALL)
+  SELECT pageid, code_18, round(area / 10000, 2) AS hectares, round(area / sum(area) OVER (PARTITION BY pageid), 5) AS share FROM sums""")
+def d5_shares_on_the_plane(spark: SparkSession, folder: str) -> DataFrame:
+    """Hectares and share of each code in a box around every article."""
+    rows = d5_landcover_around_articles(spark, folder)
+    return rows.select("pageid", "code_18", F.round(F.col("area") / 10000, 2).alias("hectares"), F.round("share", 5).alias("share"))
+
+
+_WHOLE = "(32 * sin(2 * pi() / 64))"
+
+
+@query(with_sql("articles", "corners", "hits").rstrip() + _PLANE + _QUADS + """, own AS (SELECT pageid, min(left(code_18, 2)) AS point_label FROM hits WHERE code_18 IS NOT NULL GROUP BY pageid HAVING count(DISTINCT left(code_18, 2)) = 1),
+  placed AS (""" + _lcc_sql("articles JOIN own USING (pageid)", "pageid, point_label", "lon", "lat") + """), spine AS (SELECT pageid, point_label, x, y, r AS radius FROM placed CROSS JOIN (VALUES (250), (500)) v(r)),
+  c0 AS (SELECT s.pageid, s.radius, left(c.code_18, 2) AS label, list_transform(c.q, lambda t: struct_pack(x := t.x - s.x, y := t.y - s.y)) AS q, list_transform(range(0, 64), lambda k: struct_pack(x := s.radius * cos(2 * pi() * k / 64), y := s.radius * sin(2 * pi() * k / 64))) AS p
+    FROM spine s JOIN quads c ON s.x - s.radius <= c.maxx AND s.x + s.radius >= c.minx AND s.y - s.radius <= c.maxy AND s.y + s.radius >= c.miny), """ + _clip_sql("pageid, radius, label") + f""",
+  shares AS (SELECT pageid, radius, label, sum(area) / ({_WHOLE} * radius * radius) AS share FROM areas WHERE area > 0 GROUP BY pageid, radius, label),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY pageid, radius ORDER BY share DESC, label) AS rk, share / sum(share) OVER (PARTITION BY pageid, radius) AS part FROM shares),
+  agg AS (SELECT pageid, radius, max(label) FILTER (WHERE rk = 1) AS dominant_label, max(share) AS dominant_share, count(*) AS num_labels, -sum(part * ln(part)) AS entropy, least(sum(share), 1) AS coverage_share, coalesce(sum(share) FILTER (WHERE label LIKE '1%'), 0) AS artificial_share FROM ranked GROUP BY ALL)
+  SELECT s.pageid, s.radius, a.dominant_label, round(coalesce(a.dominant_share, 0), 5) AS dominant_share, round(coalesce((SELECT share FROM shares h WHERE h.pageid = s.pageid AND h.radius = s.radius AND h.label = s.point_label), 0), 5) AS point_label_share,
+    coalesce(a.dominant_label = s.point_label, false) AS dominant_matches_point_label, coalesce(a.num_labels, 0) AS num_labels, round(coalesce(a.entropy, 0), 5) + 0 AS entropy, round(coalesce(a.coverage_share, 0), 5) AS coverage_share, round(coalesce(a.artificial_share, 0), 5) AS artificial_share
+  FROM spine s LEFT JOIN agg a ON a.pageid = s.pageid AND a.radius = s.radius""")
+def e16_confidence_by_radius(spark: SparkSession, folder: str) -> DataFrame:
+    """Spatial confidence of every place, one row for each radius."""
+    rows = confidence_by_radius(spark, folder)
+    number = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    return rows.select(
+        "pageid", "radius", "dominant_label", number("dominant_share"), number("point_label_share"), "dominant_matches_point_label", F.col("num_labels").cast("long").alias("num_labels"),
+        number("entropy"), number("coverage_share"), number("artificial_share"),
+    )

@@ -97,14 +97,18 @@ def _planar_points(spark: SparkSession, folder: str) -> DataFrame:
     return places.join(labels, "pageid").select("pageid", "point_label", x.alias("x"), y.alias("y"))
 
 
-@query()
-def e16_spatial_confidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares of land cover in buffers of 250 m and 500 m, wide."""
+def confidence_by_radius(spark: SparkSession, folder: str) -> DataFrame:
+    """Spatial confidence in buffers of 250 m and 500 m, a row for each."""
     points = cut_lineage(_planar_points(spark, folder))  # read for the buffers and for the rows that come out
     rows = inputs.polygons(spark, folder).withColumn("label", level2(F.col("code_18"))).where(F.col("label").isNotNull())
     shares = buffer_shares(points, cut_lineage(planar(rows, "id", "geometry", ["label"])), "label", [250.0, 500.0])
-    long = spatial_confidence(points, shares, "pageid", "point_label", [250.0, 500.0])
-    return spatial_confidence_wide(long, "pageid", "point_label", [250, 500])
+    return spatial_confidence(points, shares, "pageid", "point_label", [250.0, 500.0])
+
+
+@query()
+def e16_spatial_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of land cover in buffers of 250 m and 500 m, wide."""
+    return spatial_confidence_wide(confidence_by_radius(spark, folder), "pageid", "point_label", [250, 500])
 
 
 @query()
