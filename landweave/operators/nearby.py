@@ -19,19 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.geo import EARTH_RADIUS_M, great_circle_m, usable_place
-from landweave.operators.scale import evaluated, heavy_join
+from landweave.operators.scale import evaluated, few, heavy_join
 from landweave.session import cut_lineage
 
 
-#: Crowded cells or places that are broadcast; more of them are met in a shuffle.
-BROADCAST = 100_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it has at most BROADCAST rows; the number is counted, not guessed."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
-
-
 def _band_height(radius_m: float) -> float:
     return math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
 
@@ -84,7 +75,7 @@ def near_places(places: DataFrame, radius_m: float, cell_rows: int = 2000) -> Da
     if crowded.isEmpty():
         home, probe = home.withColumn("part", F.lit(0)), probe.withColumn("part", F.lit(0))
     else:
-        parts, crowded = F.coalesce(F.col("parts"), F.lit(1)), _few(crowded)
+        parts, crowded = F.coalesce(F.col("parts"), F.lit(1)), few(crowded)
         home = home.join(crowded, "at", "left").withColumn("part", F.pmod(F.xxhash64("place"), parts).cast("int")).drop("parts")
         probe = probe.join(crowded, "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
 
@@ -131,7 +122,7 @@ def near_pairs(points: DataFrame, key: str, radius_m: float, cell_rows: int = 20
     right = members.select(F.col("key").alias("right"), F.col("place").alias("place_b"))
     crowded = places.where(F.col("n") > cell_rows).select("place", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
     if not crowded.isEmpty():
-        crowded, parts = _few(crowded), F.coalesce(F.col("parts"), F.lit(1))
+        crowded, parts = few(crowded), F.coalesce(F.col("parts"), F.lit(1))
         for side in ("place_a", "place_b"):
             named = crowded.withColumnRenamed("place", side)
             pairs = pairs.join(named, side, "left").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")

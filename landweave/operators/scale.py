@@ -29,6 +29,18 @@ def heavy_join(rows: DataFrame, side: DataFrame, on: str, count: str, total: int
     return here.unionByName(rest)
 
 
+#: Rows that are broadcast; a table of more is met in a shuffle.
+BROADCAST = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most BROADCAST rows; the number is counted, not guessed.
+
+    ``df`` should be cheap to read twice, as from a checkpoint.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with further columns that are computed once per row.
 

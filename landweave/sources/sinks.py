@@ -8,6 +8,7 @@ import io
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
@@ -20,7 +21,17 @@ from landweave.sources.files import read_bytes
 
 
 def write_text(path: str | Path, text: str) -> None:
-    """A small file, whole or not at all: written beside, flushed, renamed."""
+    """A small file, whole or not at all: written beside, flushed, renamed. The path may be a URI."""
+    if ":/" in str(path):
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(str(path))
+        beside = f"{inside.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        system.create_dir(inside.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(beside) as out:
+            out.write(text.encode())
+        system.move(beside, inside)
+        return
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")

@@ -143,6 +143,14 @@ def test_arrays_and_pages_of_maps(spark, tmp_path):
     assert bands[0].b == [0, 0, 127, 255, 255] and [r.u for r in bands] == [True, False, False]
 
 
+def test_small_files_by_path_and_uri(tmp_path):
+    for path in (f"{tmp_path}/a/b.txt", f"file://{tmp_path}/c/d.txt"):
+        sinks.write_text(path, "é")
+        sinks.write_text(path, "è\n")
+        assert files.read_bytes(path).decode() == "è\n"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["b.txt", "d.txt"]
+
+
 def test_json_in_parts(spark, tmp_path):
     df = spark.createDataFrame([(f'k"{i}', i, None if i % 2 else "é\n") for i in range(25)] + [(None, 1, "x")], "pageid string, n int, t string")
     sinks.write_json_map(df, "pageid", f"{tmp_path}/m.json", columns=["n", "t"], rows=10)

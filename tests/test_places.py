@@ -60,7 +60,7 @@ def test_a_place_with_a_third_of_all_rows(spark, monkeypatch):
     # sixty pages on the placeholder, neighbours of it, and others far away
     points = [(i, (48.0, 7.0)) for i in range(60)] + [(i, (48.0 + (i - 60) * 1e-5, 7.0)) for i in range(61, 80)] + [(i, (i - 100.0, 7.0)) for i in range(80, 130)] + [(200, (48.000155, 7.0)), (201, (48.000155, 7.0))]
     for broadcast in (100_000, 0):
-        monkeypatch.setattr("landweave.operators.nearby.BROADCAST", broadcast)
+        monkeypatch.setattr("landweave.operators.scale.BROADCAST", broadcast)
         found = near_pairs(frame(spark, points), "id", 250.0, cell_rows=10).collect()
         assert {(r.key_a, r.key_b) for r in found} == brute(points, 250.0) and len(found) == len(brute(points, 250.0))
     groups = {r.id: (r.place_key, r.n_near) for r in near_groups(frame(spark, points), "id", 250.0, cell_rows=10).collect()}
