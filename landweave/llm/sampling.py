@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.operators.ranks import smallest_by_digest
+from landweave.operators.scale import few
+from landweave.session import cut_lineage
 
 
 #: Counts are compared with ``share * size`` up to this much rounding error.
@@ -97,9 +99,11 @@ def proportional_sample(available: DataFrame, report: DataFrame, key: str, seed:
     The random key is a hash of the key and the seed, alike for every plan, so a smaller sample
     is part of a larger one; a key that is available for several categories may come out for each.
     """
-    most = report.groupBy("field", "category").agg(F.max("quota").alias("most"))
+    report = cut_lineage(report)
+    # plans are few, categories hold any part of the rows: these stay where they are
+    most = few(report.groupBy("field", "category").agg(F.max("quota").alias("most")))
     ranked = smallest_by_digest(available.join(most, ["field", "category"]), ["field", "category"], [key], "most", seed)
-    wanted = report.select("plan_id", "field", "category", "quota")
+    wanted = few(report.select("plan_id", "field", "category", "quota"))
     return ranked.join(wanted, ["field", "category"]).where(F.col("rank") <= F.col("quota")).select("plan_id", "field", "category", key)
 
 
