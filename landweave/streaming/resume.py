@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from landweave.functions.columns import bound, surely, text_digest
 from landweave.functions.payloads import EVIDENCE_FIELDS, evidence_payload
+from landweave.sources.files import exists
 
 
 def settings_fingerprint(**settings: object) -> str:
@@ -127,3 +128,20 @@ def resumed(snapshot: DataFrame, inputs: DataFrame, current: Column, *, key: str
     asked = wanted.select(F.col(key).alias("_asked"))
     kept = judged.join(asked, F.col(key) == F.col("_asked"), "left").where(F.col("_current") | F.col("_asked").isNull()).drop("_current", "_asked")
     return kept, wanted.join(judged.where("_current").select(key), key, "left_anti")
+
+
+def run_in_batches(inputs: DataFrame, compute: Callable[[DataFrame], DataFrame], folder: str, *, key: str = "pageid", batches: int = 32) -> DataFrame:
+    """``compute(inputs)`` in batches by hash of the key, each written before the next begins; what is written already is not done again.
+
+    A run that was stopped goes on with the batches that are missing when it is started again
+    with the same inputs and the same number of batches. A batch counts as written once its
+    ``_SUCCESS`` is there, so one that was cut off is done anew. Null keys are left out. The
+    folder must be one that all executors share.
+    """
+    spark = inputs.sparkSession
+    rows = inputs.where(F.col(key).isNotNull()).withColumn("_batch", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(batches)))
+    for n in range(batches):
+        path = f"{folder}/batch={n}"
+        if not exists(f"{path}/_SUCCESS"):
+            compute(rows.where(F.col("_batch") == n).drop("_batch")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(*[f"{folder}/batch={n}" for n in range(batches)])

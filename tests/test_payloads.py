@@ -171,3 +171,21 @@ def test_simple_rings(spark):
     rows = [(i, r if r is None else [(float(a), float(b)) for a, b in r]) for i, r in enumerate(rings)]
     df = spark.createDataFrame(rows, "i int, points array<struct<lon:double,lat:double>>")
     assert [r.x for r in df.select("i", fetch.simple_ring(F.col("points")).alias("x")).orderBy("i").collect()] == [True, False, False, False, False, False, False, True]
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    inputs = spark.createDataFrame([(str(i), f"t{i}") for i in range(60)] + [(None, "x")], "pageid string, text string").withColumn("batch", F.lit("clash"))
+    calls = []
+
+    def compute(rows):
+        calls.append(1)
+        if len(calls) == 4:
+            raise RuntimeError("stopped")
+        return rows.select("pageid", F.upper("text").alias("label"))
+
+    with pytest.raises(RuntimeError):
+        resume.run_in_batches(inputs, compute, f"file://{tmp_path}/run", batches=6)
+    found = resume.run_in_batches(inputs, compute, f"file://{tmp_path}/run", batches=6)
+    assert len(calls) == 7 and {(r.pageid, r.label) for r in found.collect()} == {(str(i), f"T{i}") for i in range(60)} and found.count() == 60
+    again = resume.run_in_batches(inputs, compute, f"file://{tmp_path}/run", batches=6)
+    assert len(calls) == 7 and again.count() == 60
