@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from landweave.plans.inputs import with_sql
 from landweave.operators import audit, metrics
 from landweave.session import shared_folder
 from landweave.sources import readers, sinks
+from landweave.sources.files import read_bytes
 from landweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -193,8 +195,11 @@ def b11_npz(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT count(*) AS n_shapes, 1 AS n_pages FROM (SELECT DISTINCT id, code_18, geometry FROM landcover_polygons)")
 def b15_map_page(spark: SparkSession, folder: str) -> DataFrame:
     """A page that draws all polygons, by the shapes in it."""
-    page = sinks.map_page(inputs.polygons(spark, folder), "geometry", ["id", "code_18"], "Land cover", points=inputs.articles(spark, folder), most=500_000)
-    return spark.createDataFrame([(page.count('"type": "Feature"'), page.count("<canvas"))], "n_shapes long, n_pages long")
+    path = _new(spark, "map")
+    sinks.write_map_parts(inputs.polygons(spark, folder), "geometry", ["id", "code_18"], path, "Land cover", points=inputs.articles(spark, folder))
+    page = read_bytes(f"{path}/index.html").decode()
+    drawn = spark.read.text([f"{path}/{part}" for part in re.findall(r'src="(shapes/[^"]+)"', page)])
+    return drawn.agg(F.count_if(F.col("value").contains('"type": "Feature"')).alias("n_shapes"), F.lit(page.count("<canvas")).cast("long").alias("n_pages"))
 
 
 @query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(floor(least(greatest(CAST(x AS DOUBLE) * 9000 / 3000, 0), 1) * 255) AS BIGINT))) AS total, len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings WHERE embedding IS NOT NULL")

@@ -27,6 +27,14 @@ def empty(path: str) -> bool:
     return info.size == 0 if info.type == fs.FileType.File else not system.get_file_info(fs.FileSelector(inside, recursive=True))
 
 
+def names(path: str) -> list[str]:
+    """The names of what lies in a folder, in order."""
+    from pyarrow import fs
+
+    system, inside, _ = _info(path)
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inside)))
+
+
 def read_bytes(path: str) -> bytes:
     """A small file as a whole."""
     system, inside, _ = _info(path)

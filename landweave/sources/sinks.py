@@ -14,10 +14,10 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from landweave.sources.files import read_bytes
+from landweave.sources.files import names, read_bytes
 
 
 def write_text(path: str | Path, text: str) -> None:
@@ -183,38 +183,77 @@ def write_npz(df: DataFrame, key: str, vector: str, path: str) -> DataFrame:
     return rows.mapInPandas(write, "file string, n long")
 
 
+#: What draws a shape and a point on the canvas of a page, once the bounds ``x0, x1, y0, y1`` are known.
+_DRAWING = """
+const k = Math.cos((y0 + y1) / 2 * Math.PI / 180);
+const c = document.getElementById("map"), g = c.getContext("2d"), s = Math.min(c.width / ((x1 - x0) * k || 1), c.height / (y1 - y0 || 1));
+const at = p => [(p[0] - x0) * k * s, c.height - (p[1] - y0) * s];
+const shape = f => {
+  const rings = f.geometry.type === "Polygon" ? f.geometry.coordinates : f.geometry.coordinates.flat();
+  const hue = [...JSON.stringify(f.properties[colour] ?? "")].reduce((h, ch) => (h * 31 + ch.charCodeAt(0)) % 360, 7);
+  g.beginPath();
+  for (const r of rings) { r.forEach((p, i) => i ? g.lineTo(...at(p)) : g.moveTo(...at(p))); g.closePath(); }
+  g.fillStyle = `hsla(${hue}, 60%, 60%, 0.6)`; g.strokeStyle = "#444"; g.lineWidth = 0.3; g.fill("evenodd"); g.stroke();
+};
+const mark = m => { const [x, y] = at(m); g.fillStyle = "#b00"; g.fillRect(x - 1, y - 1, 3, 3); };
+"""
+
+
+def _page(title: str, script: str, parts: Sequence[str] = ()) -> str:
+    drawn = "".join(f'<script src="{html.escape(p)}"></script>\n' for p in parts)
+    return f'<!doctype html>\n<meta charset="utf-8">\n<title>{html.escape(title)}</title>\n<canvas id="map" width="1200" height="900"></canvas>\n<script>\n{script}</script>\n{drawn}'
+
+
 def map_page(df: DataFrame, geometry: str, properties: Sequence[str], title: str, *, points: DataFrame | None = None, most: int = 50_000) -> str:
     """A page that draws polygons (WKT) and points (``lon, lat, title``) with nothing but itself; no tiles, no libraries.
 
-    A page is for looking at: more than ``most`` shapes are refused.
+    A page of one file is for looking at: more than ``most`` shapes are refused, ``write_map_parts`` takes any number.
     """
     shapes = [r["value"] for r in geojson_features(df, geometry, properties).limit(most + 1).collect()]
     marks = [[r["lon"], r["lat"], r["title"]] for r in points.select("lon", "lat", "title").limit(most + 1).collect()] if points is not None else []
     if len(shapes) > most or len(marks) > most:
         raise ValueError(f"more than {most} shapes")
     safe = lambda text: text.replace("</", "<\\/")
-    script = """
+    bounds = """
 const all = shapes.flatMap(f => f.geometry.type === "Polygon" ? f.geometry.coordinates : f.geometry.coordinates.flat());
 const xs = all.flat().map(p => p[0]).concat(marks.map(m => m[0])), ys = all.flat().map(p => p[1]).concat(marks.map(m => m[1]));
 const least = v => v.reduce((a, b) => Math.min(a, b), Infinity), most = v => v.reduce((a, b) => Math.max(a, b), -Infinity);
-const x0 = least(xs), x1 = most(xs), y0 = least(ys), y1 = most(ys), k = Math.cos((y0 + y1) / 2 * Math.PI / 180);
-const c = document.getElementById("map"), g = c.getContext("2d"), s = Math.min(c.width / ((x1 - x0) * k || 1), c.height / (y1 - y0 || 1));
-const at = p => [(p[0] - x0) * k * s, c.height - (p[1] - y0) * s];
-for (const f of shapes) {
-  const rings = f.geometry.type === "Polygon" ? f.geometry.coordinates : f.geometry.coordinates.flat();
-  const hue = [...JSON.stringify(f.properties[colour] ?? "")].reduce((h, ch) => (h * 31 + ch.charCodeAt(0)) % 360, 7);
-  g.beginPath();
-  for (const r of rings) { r.forEach((p, i) => i ? g.lineTo(...at(p)) : g.moveTo(...at(p))); g.closePath(); }
-  g.fillStyle = `hsla(${hue}, 60%, 60%, 0.6)`; g.strokeStyle = "#444"; g.lineWidth = 0.3; g.fill("evenodd"); g.stroke();
-}
-g.fillStyle = "#b00";
-for (const m of marks) { const [x, y] = at(m); g.fillRect(x - 1, y - 1, 3, 3); }
-"""
+const x0 = least(xs), x1 = most(xs), y0 = least(ys), y1 = most(ys);"""
     colour = json.dumps(properties[-1] if properties else "")
     data = f"const shapes = [{safe(','.join(shapes))}], marks = {safe(json.dumps(marks, ensure_ascii=False))}, colour = {colour};"
-    return f'<!doctype html>\n<meta charset="utf-8">\n<title>{html.escape(title)}</title>\n<canvas id="map" width="1200" height="900"></canvas>\n<script>\n{data}{script}</script>\n'
+    return _page(title, f"{data}{bounds}{_DRAWING}shapes.forEach(shape);\nmarks.forEach(mark);\n")
 
 
 def write_map(df: DataFrame, geometry: str, properties: Sequence[str], path: str, title: str, *, points: DataFrame | None = None) -> None:
     """The page as a file, whole or not at all."""
     write_text(path, map_page(df, geometry, properties, title, points=points))
+
+
+def write_map_parts(df: DataFrame, geometry: str, properties: Sequence[str], path: str, title: str, *, points: DataFrame | None = None, rows: int = 50_000) -> None:
+    """The page for any number of shapes: a folder of ``index.html`` and of parts of at most ``rows`` shapes or points each.
+
+    The parts are written where the rows lie; the page draws one after the other. Only the bounds
+    and the names of the parts reach the driver. ``index.html`` comes last, so a page that is
+    there is whole. A null or empty geometry is a shape without rings; points without a place are left out.
+    """
+    wkt = F.regexp_replace(F.coalesce(F.col(geometry), F.lit("POLYGON EMPTY")), "EMPTY", "()")
+    number = lambda n: F.transform(F.regexp_extract_all(F.col(geometry), F.lit(r"(-?[\d.eE+-]+)\s+(-?[\d.eE+-]+)"), n), lambda t: t.cast("double"))
+    kinds = {"shapes": (df.withColumn(geometry, wkt), F.array_min(number(1)), F.array_max(number(1)), F.array_min(number(2)), F.array_max(number(2)))}
+    if points is not None:
+        kinds["marks"] = (points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()), F.col("lon"), F.col("lon"), F.col("lat"), F.col("lat"))
+    bounds, parts = [], []
+    for name, (found, west, east, south, north) in kinds.items():
+        seen = Observation()
+        found = found.observe(seen, F.min(west).alias("x0"), F.max(east).alias("x1"), F.min(south).alias("y0"), F.max(north).alias("y1"))
+        if name == "shapes":
+            lines = geojson_features(found, geometry, properties).select(F.concat(F.lit("shape("), "value", F.lit(");")))
+        else:
+            called = F.regexp_replace(F.to_json(F.array("title")), r"^\[|\]$", "")
+            lines = found.select(F.concat(F.lit("mark(["), F.concat_ws(", ", F.col("lon").cast("string"), F.col("lat").cast("string"), called), F.lit("]);")))
+        lines.write.mode("overwrite").option("maxRecordsPerFile", rows).text(f"{path}/{name}")
+        bounds.append(seen.get)
+        parts += [f"{name}/{n}" for n in names(f"{path}/{name}") if n.startswith("part-")]
+    edge = lambda of, n: of((b[n] for b in bounds if b.get(n) is not None), default=0.0)
+    x0, x1, y0, y1 = edge(min, "x0"), edge(max, "x1"), edge(min, "y0"), edge(max, "y1")
+    colour = json.dumps(properties[-1] if properties else "")
+    write_text(f"{path}/index.html", _page(title, f"const x0 = {x0}, x1 = {x1}, y0 = {y0}, y1 = {y1}, colour = {colour};{_DRAWING}", parts))

@@ -1,6 +1,9 @@
 """Cascade, audits, samples of polygons, choices for reports, ranks, files of arrays and maps, training controls."""
 
 import hashlib
+import json
+import re
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -143,6 +146,34 @@ def test_arrays_and_pages_of_maps(spark, tmp_path):
     assert bands[0].b == [0, 0, 127, 255, 255] and [r.u for r in bands] == [True, False, False]
 
 
+def test_a_map_of_any_number_of_shapes_lies_in_parts(spark, tmp_path):
+    shapes = spark.range(25).select("id", F.lit(None).cast("string").alias("name"), F.concat(F.lit("POLYGON (("), "id", F.lit(" 0, 30 1.5, 30 2, "), "id", F.lit(" 0))")).alias("g"))
+    odd = spark.createDataFrame([(90, "a\n\"b\"", None), (91, "</script>", "POLYGON EMPTY"), (92, "\"type\": \"Feature\"", "MULTIPOLYGON (((0 -3, 1 0, 1 1, 0 -3)))")], "id long, name string, g string")
+    points = spark.createDataFrame([(-0.5, 0.5, "a \"b\""), (0.5, 7.25, None), (None, 1.0, "nowhere")], "lon double, lat double, title string")
+    for path in (f"{tmp_path}/one", f"file://{tmp_path}/two"):
+        sinks.write_map_parts(shapes.unionByName(odd), "g", ["id", "name"], path, "A <map>", points=points, rows=4)
+        page = files.read_bytes(f"{path}/index.html").decode()
+        named = re.findall(r'src="([^"]+)"', page)
+        lines = [x for part in named for x in files.read_bytes(f"{path}/{part}").decode().splitlines()]
+        assert "A &lt;map&gt;" in page and page.count("<canvas") == 1 and "x0 = -0.5, x1 = 30.0, y0 = -3.0, y1 = 7.25" in page
+        assert sum(x.startswith('shape({"type": "Feature"') for x in lines) == 28 and len([p for p in named if p.startswith("shapes/")]) >= 7
+        drawn = {f["properties"]["id"]: f for f in (json.loads(x[6:-2]) for x in lines if x.startswith("shape("))}
+        assert drawn[90]["geometry"]["coordinates"] == drawn[91]["geometry"]["coordinates"] == [] and drawn[92]["geometry"]["coordinates"] == [[[[0, -3], [1, 0], [1, 1], [0, -3]]]]
+        assert drawn[90]["properties"]["name"] == 'a\n"b"' and drawn[3]["geometry"] == {"type": "Polygon", "coordinates": [[[3, 0], [30, 1.5], [30, 2], [3, 0]]]}
+        assert sorted(x for x in lines if x.startswith("mark(")) == ['mark([-0.5, 0.5, "a \\"b\\""]);', "mark([0.5, 7.25, null]);"]
+    sinks.write_map_parts(shapes.limit(0), "g", ["id"], f"{tmp_path}/none", "t")
+    assert "x0 = 0.0, x1 = 0.0" in (tmp_path / "none/index.html").read_text()
+
+
+def test_the_query_of_the_map_page_draws_all_polygons(spark, tmp_path):
+    from landweave.plans import files as plan
+
+    polygons = spark.range(500_001).select(F.col("id").cast("int"), F.lit("211").alias("code_18"), F.concat(F.lit("POLYGON (("), "id", F.lit(" 0, 1 0, 1 1, 0 0))")).alias("geometry"))
+    polygons.unionByName(polygons.limit(5)).write.parquet(f"{tmp_path}/landcover_polygons.parquet")
+    spark.createDataFrame([(1, "a", 45.0, 1.0, datetime(2024, 1, 1))], "pageid long, title string, lat double, lon double, fetched_at timestamp").write.parquet(f"{tmp_path}/wiki_articles.parquet")
+    assert [tuple(r) for r in plan.b15_map_page(spark, str(tmp_path)).collect()] == [(500_001, 1)]
+
+
 def test_small_files_by_path_and_uri(tmp_path):
     for path in (f"{tmp_path}/a/b.txt", f"file://{tmp_path}/c/d.txt"):
         sinks.write_text(path, "é")
