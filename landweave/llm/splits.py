@@ -1,10 +1,10 @@
 """Splits that keep related records together.
 
 Records tied by a shared group, directly or through a chain, form a component, and a component
-lands in one split. Components of the same size and label profile are interchangeable and form
-a bundle. Size by size, the largest first, a min-cost flow sends the components of every bundle
+lands in one split. Components with the same records of every label are interchangeable and form
+a bundle, however many bundles that gives. Size by size, the largest first, a min-cost flow sends the components of every bundle
 to the splits: a split has room for so many components of the size under its quota, and a
-bundle's arc to a split costs what the deviations of all labels of its profile change by. Flows
+bundle's arc to a split costs what the deviations of all its labels change by. Flows
 are whole numbers of components, so nothing is rounded afterwards but what the next smaller
 sizes and single exchanges can repair; the members of a bundle are told apart by hash. The sizes
 of the splits come first, their labels second.
@@ -24,18 +24,13 @@ from landweave.operators.ranks import smallest_by_digest
 from landweave.operators.scale import few, heavy_join
 from landweave.session import cut_lineage
 
-#: Profiles from fine to coarse: label counts, label shares in 16 parts, in 4 parts, the main label, none ...
-PROFILES = ("exact", 16, 4, "main", "none")
-#: ... of which the finest is taken that gives about so many bundles at most. The counts of a bundle's labels are exact with any.
+#: Exchanges are compared in blocks of at most MOST_BUNDLES x MOST_LABELS label counts; this bounds memory and has no part in the result.
 MOST_BUNDLES = 5_000
-#: The most frequent labels have quotas of their own, all others one together.
 MOST_LABELS = 256
 #: What a record beyond the quota of its split costs; one beyond the quota of its (label, split) costs 1.
 SPLIT_COST = 8
 #: The components of one size are sent in so many portions, each at the costs that the ones before leave.
 PORTIONS = 4
-#: The search for exchanges that better the labels ends when none is left, or after so many comparisons of label counts.
-EFFORT = 4_000_000_000
 
 
 # ---- min-cost flow ---------------------------------------------------------------------------
@@ -112,6 +107,35 @@ def whole_quotas(total: int, shares: list[float]) -> list[int]:
     return quota
 
 
+class Counts:
+    """Records per label of one component of every bundle: rows of label numbers and counts, without the zeros."""
+
+    def __init__(self, rows: list[tuple[list[int], list[float]]]) -> None:
+        self.begin = np.cumsum([0, *(len(labels) for labels, _ in rows)])
+        self.label = np.array([x for labels, _ in rows for x in labels], dtype=np.int64)
+        self.n = np.array([x for _, counts in rows for x in counts], dtype=float)
+
+    @classmethod
+    def of(cls, counts: Counts | np.ndarray) -> Counts:
+        return counts if isinstance(counts, Counts) else cls([(np.flatnonzero(row).tolist(), row[row != 0].tolist()) for row in counts])
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.begin[i], self.begin[i + 1])
+        return self.label[own], self.n[own]
+
+    def rows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of some rows: which of them, label, count."""
+        first, entries = self.begin[of], self.begin[of + 1] - self.begin[of]
+        which = np.repeat(np.arange(len(of)), entries)
+        at = np.arange(len(which)) + (first - np.cumsum(entries) + entries)[which]
+        return which, self.label[at], self.n[at]
+
+
+def _change(a: np.ndarray, b: np.ndarray, x: np.ndarray, power: int = 1) -> np.ndarray:
+    """What the deviations ``a`` and ``b`` of labels (to a power) change by if ``x`` records go from the one split to the other."""
+    return np.abs(a + x) ** power + np.abs(b - x) ** power - np.abs(a) ** power - np.abs(b) ** power
+
+
 def allocate_bundles(bundles: list[tuple[str | dict[str, int], int, int]], shares: list[float]) -> list[list[int]]:
     """Of each bundle ``(labels, size of a component, components)``: components per split.
 
@@ -122,15 +146,15 @@ def allocate_bundles(bundles: list[tuple[str | dict[str, int], int, int]], share
     tallies = [labels if isinstance(labels, dict) else {labels: size * n} for labels, size, n in bundles]
     names = sorted({label for tally in tallies for label in tally})
     at = {label: i for i, label in enumerate(names)}
-    counts = np.zeros((len(bundles), len(names)))  # records of a component per label; the mean of its bundle
-    for i, tally in enumerate(tallies):
-        for label, records in tally.items():
-            counts[i, at[label]] = records / bundles[i][2]
+    # records of a component per label; the mean of its bundle
+    counts = Counts([([at[x] for x in tally], [n / b[2] for n in tally.values()]) for tally, b in zip(tallies, bundles)])
     sizes = np.array([b[1] for b in bundles], dtype=np.int64)
     waiting = np.array([b[2] for b in bundles], dtype=np.int64)
     quota = whole_quotas(int(sizes @ waiting), shares)
     left = list(quota)
-    per_label = [whole_quotas(int(round(float(waiting @ counts[:, i]))), shares) for i in range(len(names))]
+    which, label, n = counts.rows(np.arange(len(bundles)))
+    totals = np.bincount(label, weights=n * waiting[which], minlength=len(names))
+    per_label = [whole_quotas(int(round(x)), shares) for x in totals.tolist()]
     label_left = np.array(per_label, dtype=float).reshape(len(names), len(shares)).T
     dealt = np.zeros((len(bundles), len(shares)), dtype=np.int64)
     for size in sorted(set(sizes.tolist()), reverse=True):
@@ -138,12 +162,13 @@ def allocate_bundles(bundles: list[tuple[str | dict[str, int], int, int]], share
         for portions in range(PORTIONS, 0, -1):
             # bundles of one size share labels, which the costs of one flow do not know of each other
             portion = -(-waiting[own] // portions)
-            sent = _send(portion, counts[own], size, left, label_left)
+            sent = _send(portion, counts, own, size, left, label_left)
             dealt[own] += sent
             waiting[own] -= sent.sum(1)
+            which, label, n = counts.rows(own)
             for k in splits:
                 left[k] -= int(sent[:, k].sum()) * size
-                label_left[k] -= sent[:, k] @ counts[own]
+                np.subtract.at(label_left[k], label, n * sent[which, k])
     result = [[int(n) for n in row] for row in dealt]
     _improve(bundles, result, left, label_left, counts)
     # squares first level out single large deviations where sums see no gain; with few components sums alone may do better
@@ -172,7 +197,7 @@ def _steps(have: np.ndarray, room: np.ndarray, most: int) -> list[tuple[int, int
     return steps
 
 
-def _send(portion: np.ndarray, counts: np.ndarray, size: int, left: list[int], label_left: np.ndarray) -> np.ndarray:
+def _send(portion: np.ndarray, counts: Counts, own: np.ndarray, size: int, left: list[int], label_left: np.ndarray) -> np.ndarray:
     """Components of every bundle of one size per split, at least cost, by a flow of whole components."""
     splits = range(len(left))
     flow, source, sink = Flow(), 0, 1
@@ -181,11 +206,12 @@ def _send(portion: np.ndarray, counts: np.ndarray, size: int, left: list[int], l
     for i, n in enumerate(portion.tolist()):
         if not n:
             continue
+        label, have = counts.row(own[i])
         node = 2 + len(left) + i
         flow.arc(source, node, n, 0)
         for k in splits:
             # costs must not be negative: a component can gain its size at most
-            arcs += [(i, k, flow.arc(node, 2 + k, cap, size + cost)) for cap, cost in _steps(counts[i], label_left[k], n)]
+            arcs += [(i, k, flow.arc(node, 2 + k, cap, size + cost)) for cap, cost in _steps(have, label_left[k][label], n)]
     for k in splits:
         room = max(0, left[k]) // size
         rest = max(0, left[k]) - room * size  # a component more is beyond the quota with what is not left
@@ -199,13 +225,14 @@ def _send(portion: np.ndarray, counts: np.ndarray, size: int, left: list[int], l
     return sent
 
 
-def _improve(bundles: list[tuple], result: list[list[int]], left: list[int], label_left: np.ndarray, counts: np.ndarray) -> None:
+def _improve(bundles: list[tuple], result: list[list[int]], left: list[int], label_left: np.ndarray, counts: Counts | np.ndarray) -> None:
     """Move or exchange single components while the splits' deviation falls.
 
     Shifting x records from a to b helps most where x is nearest to half of the difference of
     their deviations; so for every size in a, the size in b that comes nearest is looked up.
     """
     sizes = np.array([b[1] for b in bundles], dtype=np.int64)
+    counts = Counts.of(counts)
     held = np.array(result)
     splits = range(len(left))
     while bundles:
@@ -231,29 +258,37 @@ def _improve(bundles: list[tuple], result: list[list[int]], left: list[int], lab
             if size:
                 # of the components of the size, the one that suits the labels
                 own = np.flatnonzero((sizes == size) & (held[:, source] > 0))
-                cost = np.abs(label_left[source] + counts[own]).sum(1) + np.abs(label_left[target] - counts[own]).sum(1)
-                e = own[cost.argmin()]
+                which, label, n = counts.rows(own)
+                e = own[np.bincount(which, weights=_change(label_left[source][label], label_left[target][label], n), minlength=len(own)).argmin()]
+                label, n = counts.row(e)
                 for k, sign in ((source, -1), (target, 1)):
                     held[e, k] += sign
                     left[k] -= sign * size
-                    label_left[k] -= sign * counts[e]
+                    label_left[k, label] -= sign * n
     result[:] = [[int(n) for n in row] for row in held]
 
 
-def _improve_labels(bundles: list[tuple], result: list[list[int]], left: list[int], label_left: np.ndarray, counts: np.ndarray, power: int = 1) -> None:
-    """Move or exchange single components while the labels' deviation (or the sum of its squares) falls and the splits' does not rise."""
+def _improve_labels(bundles: list[tuple], result: list[list[int]], left: list[int], label_left: np.ndarray, counts: Counts, power: int = 1) -> None:
+    """Move or exchange single components while the labels' deviation (or the sum of its squares) falls and the splits' does not rise.
+
+    The search goes on until no exchange is left that betters the labels; every one lowers the sum, so it ends.
+    """
     if not bundles:
         return
     # the last is no component: exchanging for it is a move
     sizes = np.array([*(b[1] for b in bundles), 0])
-    counts = np.vstack([counts, np.zeros(counts.shape[1])])
+    counts = Counts([*((label.tolist(), n.tolist()) for label, n in map(counts.row, range(len(bundles)))), ([], [])])
+    block = max(1, MOST_BUNDLES * MOST_LABELS // int(np.diff(counts.begin).max()))
     held = np.vstack([np.array(result), np.full(len(left), len(bundles) + 1)])
     order = np.argsort(sizes, kind="stable")
     ordered = sizes[order]
-    effort, changed = EFFORT, True
-    while changed and effort > 0:
+    # records of the component that goes, and what its labels' deviations change by if nothing comes back
+    gone, alone = np.zeros(label_left.shape[1]), np.zeros(label_left.shape[1])
+    changed = True
+    while changed:
         changed = False
         for i in range(len(bundles)):
+            label, n = counts.row(i)
             for a in np.flatnonzero(held[i]):
                 for b in range(len(left)):
                     if a == b or not held[i, a]:
@@ -265,18 +300,25 @@ def _improve_labels(bundles: list[tuple], result: list[list[int]], left: list[in
                     back = back[(held[back, b] > 0) & (back != i)]
                     if not len(back):
                         continue
-                    effort -= counts.shape[1] * len(back)
-                    shift = counts[i] - counts[back]
-                    before = (np.abs(label_left[a]) ** power).sum() + (np.abs(label_left[b]) ** power).sum()
-                    gain = before - (np.abs(label_left[a] + shift) ** power).sum(1) - (np.abs(label_left[b] - shift) ** power).sum(1)
-                    best = int(gain.argmax())
-                    if gain[best] > 1e-6:
-                        j = back[best]
+                    here, there = label_left[a], label_left[b]
+                    own = _change(here[label], there[label], n, power)
+                    gone[label], alone[label] = n, own
+                    best, j = 1e-6, -1
+                    for start in range(0, len(back), block):
+                        part = back[start : start + block]
+                        which, of, m = counts.rows(part)
+                        gain = -own.sum() - np.bincount(which, weights=_change(here[of], there[of], gone[of] - m, power) - alone[of], minlength=len(part))
+                        at = int(gain.argmax())
+                        if gain[at] > best:
+                            best, j = gain[at], part[at]
+                    gone[label], alone[label] = 0, 0
+                    if j >= 0:
                         held[i, a], held[i, b] = held[i, a] - 1, held[i, b] + 1
                         if j < len(bundles):
                             held[j, a], held[j, b] = held[j, a] + 1, held[j, b] - 1
-                        label_left[a] += shift[best]
-                        label_left[b] -= shift[best]
+                        for (of, m), sign in (((label, n), 1), (counts.row(j), -1)):
+                            here[of] += sign * m
+                            there[of] -= sign * m
                         net = int(sizes[i] - sizes[j])
                         left[a], left[b] = left[a] + net, left[b] - net
                         changed = True
@@ -295,22 +337,6 @@ def whole_pair(text: Column) -> Column:
     return F.when(plain.rlike(pattern), F.concat_ws("_", part(1), part(2)))
 
 
-def _profile(kind: str | int) -> Column:
-    """Text of a component's label profile in the given resolution."""
-    if kind == "none":
-        return F.lit("")
-    if kind == "main":
-        return F.array_max(F.transform("tally", lambda t: F.struct(t["n"], t["label"])))["label"]
-    part = lambda n: n if kind == "exact" else F.round(n * kind / F.col("size")).cast("long")
-    return F.array_join(F.transform("tally", lambda t: F.concat_ws(":", t["label"], part(t["n"]))), ",")
-
-
-def _finest(components: DataFrame) -> Column:
-    """The finest profile that gives about MOST_BUNDLES bundles at most; the numbers are estimated in one pass."""
-    guesses = components.agg(*[F.approx_count_distinct(F.struct("size", _profile(p).alias("p"))).alias(str(p)) for p in PROFILES]).first()
-    return _profile(next((p for p in PROFILES if guesses[str(p)] <= MOST_BUNDLES), PROFILES[-1]))
-
-
 def related_splits(
     records: DataFrame,
     key: str,
@@ -327,7 +353,10 @@ def related_splits(
     component by itself. ``flags`` are conditions on rows: ``name`` tells whether any row of the
     key meets it, ``name_tied`` whether any row of its component does. Rows with a null key are
     left out; repeats count once; an empty input gives an empty result. ``label`` only steers
-    the balance (null is a label of its own).
+    the balance (null counts as an empty label).
+
+    The bundles, one per size and counts of labels that occur, reach the driver, and their
+    splits are found there; there is no limit to their number.
     """
     flags = flags or {}
     rows = records.where(F.col(key).isNotNull()).select(
@@ -356,9 +385,7 @@ def related_splits(
 
     placed = cut_lineage(placed.select("key", "label", "component", *[f"f_{n}" for n in flags]))
 
-    frequent = placed.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).select("label", F.lit(True).alias("own"))
-    named = placed.join(F.broadcast(frequent.withColumnRenamed("label", "known")), F.col("label").eqNullSafe(F.col("known")), "left")
-    named = named.withColumn("label", F.when(F.col("own"), F.coalesce("label", F.lit(""))).otherwise("all others"))
+    named = placed.withColumn("label", F.coalesce("label", F.lit("")))
     counts = named.groupBy("component", "label").agg(F.count("*").alias("n"), *any_flag)
     components = counts.groupBy("component").agg(
         F.sum("n").alias("size"),
@@ -366,18 +393,13 @@ def related_splits(
         *[F.max(f"f_{n}").alias(f"{n}_tied") for n in flags],
     )
     components = cut_lineage(components.select("component", "size", "tally", *[f"{n}_tied" for n in flags]))
-    components = components.withColumn("profile", _finest(components))
-    # bundles: MOST_BUNDLES, or the sizes that fit into the records (the root of twice their number) if even they are more
-    inlined = components.select("size", "profile", F.inline("tally"))
-    held_labels = inlined.groupBy("size", "profile", "label").agg(F.sum("n").alias("n"))
-    # the records of a bundle are its components times their size
-    bundles = held_labels.groupBy("size", "profile").agg(
-        (F.sum("n") / F.col("size")).cast("long").alias("n"), F.collect_list(F.struct("label", "n")).alias("labels")
-    ).toPandas()
-    bundles = bundles.sort_values(["size", "profile"], ascending=[False, True], ignore_index=True)
+    components = components.withColumn("profile", F.md5(F.to_json("tally")))
+    bundles = components.groupBy("size", "profile").agg(F.count("*").alias("n"), F.any_value("tally").alias("tally")).toPandas()
+    bundles["text"] = [",".join(f"{t['label']}:{t['n']}" for t in tally) for tally in bundles["tally"]]
+    bundles = bundles.sort_values(["size", "text", "profile"], ascending=[False, True, True], ignore_index=True)
     names = list(shares)
     dealt = allocate_bundles(
-        [({t["label"]: int(t["n"]) for t in labels}, int(s), int(n)) for labels, s, n in zip(bundles["labels"], bundles["size"], bundles["n"])],
+        [({t["label"]: int(t["n"]) * int(n) for t in tally}, int(s), int(n)) for tally, s, n in zip(bundles["tally"], bundles["size"], bundles["n"])],
         [shares[n] for n in names],
     ) if len(bundles) else []
     spark = records.sparkSession

@@ -220,3 +220,31 @@ def test_profiles_get_coarser_where_bundles_are_too_many(spark, monkeypatch):
         found = related_splits(df, "k", F.col("g"), SHARES, label=F.col("label")).collect()
         assert Counter(r.split for r in found) == {"train": 1152, "validation": 144, "test": 144}
         assert len({(r.component, r.split) for r in found}) == 120
+
+
+def test_splits_do_not_depend_on_how_many_bundles_and_labels_there_are(spark, monkeypatch):
+    from landweave.llm import splits
+
+    rows = [(f"p{c}_{i}", f"{c}_1", str(random.Random(c * 100 + i).randrange(30))) for c in range(120) for i in range(12)]
+    df = spark.createDataFrame(rows, "k string, g string, label string")
+    split = lambda: {r.k: r.split for r in related_splits(df, "k", F.col("g"), SHARES, label=F.col("label")).collect()}
+    once = split()
+    for most, labels in ((10, 256), (5_000, 3), (2, 1)):
+        monkeypatch.setattr(splits, "MOST_BUNDLES", most)
+        monkeypatch.setattr(splits, "MOST_LABELS", labels)
+        assert split() == once
+
+
+def test_every_label_has_its_quota(spark):
+    # three hundred labels of ten single records each
+    df = spark.range(3000).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("g"), F.concat(F.lit("l"), F.col("id") % 300).alias("label"))
+    found = related_splits(df, "k", F.col("g"), SHARES, label=F.col("label")).collect()
+    assert set(Counter((r.k % 300, r.split) for r in found).values()) == {8, 1} and Counter(r.split for r in found) == {"train": 2400, "validation": 300, "test": 300}
+
+
+def test_label_texts_that_look_like_two_labels_are_no_profile_of_others(spark):
+    # each of the two kinds has one label with the signs that join labels in a text
+    rows = [(f"{c}a", f"{c}", "a:1,b" if c % 2 else "a") for c in range(20)] + [(f"{c}b", f"{c}", "c:1,d" if c % 2 else "b:1,c:1,d") for c in range(20)]
+    df = spark.createDataFrame(rows, "k string, g string, label string")
+    split = {r.k: r.split for r in related_splits(df, "k", F.col("g"), SHARES, label=F.col("label")).collect()}
+    assert {label: Counter(split[k] for k, _, x in rows if x == label) for label in {x for _, _, x in rows}} == {x: {"train": 8, "validation": 1, "test": 1} for _, _, x in rows}
