@@ -23,6 +23,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from landweave.session import cut_lineage
 TYPES = ("prose", "prose: wrapped", "list", "table", "junk: signs", "junk: repetition", "junk: order")
 #: Common words, which go to all workers; a larger table is refused, as that is no list of function words.
 MOST_WORDS = 100_000
-#: Pairs of neighbouring common words whose counts go to all workers, the most frequent ones; a rarer one counts as chance has it.
+#: Pairs of neighbouring common words whose counts go to all workers, the most frequent ones; those of rarer ones meet their texts in a shuffle.
 MOST_PAIRS = 4_000_000
 #: Patterns of votes that are learned from on the driver; more are learned from where they lie, by the same steps.
 MOST_PATTERNS = 200_000
@@ -299,8 +300,7 @@ def cohesion(pairs: list[np.ndarray], codes: np.ndarray, seen: np.ndarray, expec
     begins = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])])
     own = np.diff(np.r_[begins, len(of)])
     of, code = of[begins], code[begins]
-    at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-    known = codes[at] == code if len(codes) else np.zeros(len(code), dtype=bool)
+    at, known = _found(code, codes)
     have, chance = (np.where(known, x[at], 0.0) if len(codes) else np.zeros(len(code)) for x in (seen, expected))
     tie = np.log((np.maximum(0.0, have - own) + 0.5) / (chance + 0.5))
     total = np.bincount(of, weights=own * tie, minlength=len(pairs))
@@ -407,13 +407,60 @@ def information(pairs: pd.DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return code, n, a * b / np.maximum(total, 1.0)
 
 
+def _all_information(counted: DataFrame, words: int) -> DataFrame:
+    """``information`` of any number of pairs, where they lie: ``code, n, expected``."""
+    words = max(1, words)
+    parts = counted.select("code", "n", F.expr(f"code div {words}").alias("first"), F.expr(f"code % {words}").alias("second"), F.expr(f"code div {words} div {words}").alias("lang"))
+    a = parts.groupBy("first").agg(F.sum("n").cast("double").alias("a"))
+    b = parts.groupBy("lang", "second").agg(F.sum("n").cast("double").alias("b"))
+    total = parts.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
+    expected = F.col("a") * F.col("b") / F.greatest("total", F.lit(1.0))
+    return parts.join(a, "first").join(b, ["lang", "second"]).join(F.broadcast(total), "lang").select("code", F.col("n").cast("double").alias("n"), expected.alias("expected"))
+
+
+def _rare(measured: DataFrame, sent: Broadcast, rest: DataFrame) -> DataFrame:
+    """``measured`` with the ``rest`` of the pairs that its texts have: arrays of ``code``, ``n`` and ``expected``.
+
+    The frequent pairs, which ``sent`` holds, do not travel; one of the others has few texts.
+    """
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = sent.value[0]
+        for batch in batches:
+            own = [np.unique(np.asarray(p, dtype=np.int64)) for p in batch["pairs"]]
+            of, code = np.repeat(batch["_row"].to_numpy(), [len(p) for p in own]), np.concatenate([*own, np.zeros(0, dtype=np.int64)])
+            new = ~_found(code, codes)[1]
+            yield pd.DataFrame({"_row": of[new], "code": code[new]})
+
+    pairs = measured.where(F.size("pairs") > 0).select("_row", "pairs").mapInPandas(others, "_row long, code long")
+    lists = pairs.join(rest, "code").groupBy("_row").agg(F.collect_list(F.struct("code", "n", "expected")).alias("rest"))
+    return measured.join(lists, "_row", "left").select(*measured.columns, *[F.col(f"rest.{c}").alias(f"rest_{c}") for c in ("code", "n", "expected")])
+
+
+def _found(code: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where every one of ``code`` would lie in ``codes``, which are sorted, and whether it is there."""
+    at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+    return at, codes[at] == code if len(codes) else np.zeros(len(code), dtype=bool)
+
+
+def _of_batch(pairs: list, known: tuple[np.ndarray, ...], rest: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Codes, counts and expected counts of all pairs of a batch, from the frequent ones and from those that came with the rows."""
+    own = np.unique(np.concatenate([*(np.asarray(p, dtype=np.int64) for p in pairs), np.zeros(0, dtype=np.int64)]))
+    at, there = _found(own, known[0])
+    code, first = np.unique(rest[0], return_index=True)
+    both = [np.concatenate([k[at[there]], r]) for k, r in zip(known, (code, rest[1][first], rest[2][first]))]
+    order = np.argsort(both[0])
+    return tuple(x[order] for x in both)
+
+
 def text_statistics(documents: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
     """``key``, the STATISTICS and the pattern of ``votes``; one row per document.
 
     Null, empty and blank texts (white space and characters that show nothing) have null
     statistics and votes. One pass over the text column, no shuffle of texts; what it measures,
     and the pairs of common words as numbers, is written to the checkpoint folder. The counts
-    of pairs over all documents give ``cohesion``, and then the votes.
+    of pairs over all documents give ``cohesion``, and then the votes; beyond MOST_PAIRS pairs
+    the statistics travel once, with the counts of their rarer pairs.
     """
     lists = word_lists(common)
     spark = documents.sparkSession
@@ -437,15 +484,28 @@ def text_statistics(documents: DataFrame, key: str, text: str, common: DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("key"), *columns, pa.array(pairs, pa.list_(pa.int64()))], ["key", *plain, "pairs"])
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    measured = cut_lineage(rows.mapInArrow(measure, f"key {kind}, {', '.join(f'{n} double' for n in plain)}, pairs array<long>"))
+    measured = cut_lineage(rows.mapInArrow(measure, f"key {kind}, {', '.join(f'{n} double' for n in plain)}, pairs array<long>").withColumn("_row", F.monotonically_increasing_id()))
     counted = measured.select(F.explode("pairs").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    known = spark.sparkContext.broadcast(information(counted.orderBy(F.desc("n"), "code").limit(MOST_PAIRS).toPandas(), len(lists.number)))
+    frequent = counted.orderBy(F.desc("n"), "code")
+    head = frequent.limit(MOST_PAIRS + 1).toPandas()
+    if many := len(head) > MOST_PAIRS:
+        pairs = cut_lineage(_all_information(counted, len(lists.number)))
+        last = head.iloc[MOST_PAIRS - 1]
+        rarer = (F.col("n") < float(last["n"])) | ((F.col("n") == float(last["n"])) & (F.col("code") > int(last["code"])))
+        head = pairs.where(~rarer).toPandas().sort_values("code", ignore_index=True)
+        known = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("code", "n", "expected")))
+        measured = _rare(measured, known, pairs.where(rarer))
+    else:
+        known = spark.sparkContext.broadcast(information(head, len(lists.number)))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             there = batch["n_words"].notna().to_numpy()
             pairs = [p if p is not None else () for p in batch["pairs"]]
-            batch = batch.assign(cohesion=np.where(there, cohesion(pairs, *known.value), np.nan))
+            counts = known.value
+            if many:
+                counts = _of_batch(pairs, counts, [np.concatenate([*batch[f"rest_{c}"].dropna(), np.zeros(0, dtype=of)]) for c, of in (("code", np.int64), ("n", float), ("expected", float))])
+            batch = batch.assign(cohesion=np.where(there, cohesion(pairs, *counts), np.nan))
             chosen = np.full(len(batch), None, dtype=object)
             chosen[there] = votes(batch[there])
             yield batch.assign(votes=chosen)[["key", *STATISTICS, "votes"]]

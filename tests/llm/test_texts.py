@@ -465,6 +465,18 @@ def test_many_patterns_are_learned_where_they_lie(spark, monkeypatch):
     assert set(rare) == set(once) and None not in rare.values()
 
 
+def test_rare_pairs_count_in_full(spark, monkeypatch):
+    rows = [(k, t) for k, _, t in corpus()] + [("prose0", "It is on the hill and in the pond."), (None, "the mill and the pond of it"), ("blank", " "), ("none", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    common = spark.createDataFrame([("en", w) for w in COMMON] + [("fr", w) for w in "le la de des a on".split()], "lang string, word string")
+    result = lambda: sorted(map(str, prose.text_statistics(df, "doc_id", "text", common).collect()))
+    once = result()
+    assert len(once) == len(rows)
+    for most in (1, 5, 60, 100_000):
+        monkeypatch.setattr(prose, "MOST_PAIRS", most)
+        assert result() == once
+
+
 def test_cohesion_leaves_the_text_itself_out():
     codes, seen, expected = np.array([3, 7]), np.array([10.0, 2.0]), np.array([4.0, 5.0])
     found = prose.cohesion([[3, 3, 7], [], [99]], codes, seen, expected)
